@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sortament.functions.text import CYRILLIC_TWINS, LATIN_TWINS
+from sortament.session import ship_package
 
 # Beginnings of the words that name a profile.
 PROFILE_STEMS = (
@@ -251,6 +252,7 @@ def split_field(df: DataFrame, keys: list[str], text: str, form: Format | None =
                 columns = [part.column(f"k{i}").take(parent) for i in range(len(keys))]
                 yield pa.RecordBatch.from_arrays([*columns, position, values.cast(pa.string())], [*(f"k{i}" for i in range(len(keys))), "pos", "value"])
 
+    ship_package(df.sparkSession)
     split = chosen.mapInArrow(run, schema)
     return split.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "pos", F.col("value").alias(value))
 

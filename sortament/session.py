@@ -1,8 +1,13 @@
-"""Session helpers: the settings the engine relies on, and reliable checkpoints."""
+"""Session helpers: the settings the engine relies on, and tables that cut lineage."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,17 +39,56 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="sortament-checkpoint-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
     return folder
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write ``df`` as a Parquet table into the shared folder and read it.
+
+    Unlike ``DataFrame.checkpoint`` the result has statistics, so Spark knows the size of
+    what it joins, and none of the constraints of its origin, which grow with every round
+    of a loop. Lost executors cost only their own tasks. The session's tables are deleted
+    when its driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{_table_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _table_folder(spark: SparkSession) -> str:
+    folder = f"{ensure_checkpoint_dir(spark)}/sortament-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+_FOLDERS: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, once per session's
+    context. Spark's own file server hands it out, also to executors that join later."""
+    context = spark.sparkContext
+    if getattr(context, "_sortament_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="sortament-")) / "sortament.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, Path(root.name) / path.relative_to(root))
+    context.addPyFile(str(archive))
+    context._sortament_shipped = True
