@@ -6,10 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sortament.llm.canonical_values import match_grades
 from sortament.llm.components import grade_groups
+from sortament.llm.eval_leaks import leak_matches, leaked_items
 from sortament.llm.format_duplicates import offer_duplicates
+from sortament.llm.product_groups import product_groups, product_pairs
 from sortament.tables import read_table
 
 
+def _offers_and_list(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [read_table(spark, folder, t) for t in ("offers", "grades", "aliases")]
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of offers of the same product."""
+    return product_pairs(*_offers_and_list(spark, folder))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each offer with its product's group and the number of its links."""
+    return product_groups(*_offers_and_list(spark, folder))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each linked grade record with the smallest record of its whole group."""
     return grade_groups(read_table(spark, folder, "equivalences"))
@@ -17,8 +33,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Grades as typed to the canonical list."""
-    tables = (read_table(spark, folder, t) for t in ("offers", "grades", "aliases"))
-    return match_grades(*tables)
+    return match_grades(*_offers_and_list(spark, folder))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,9 +41,26 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return offer_duplicates(read_table(spark, folder, "offers"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_found)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Test items and the documents that share a run of words with them."""
+    return leaked_items(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
+
+
+def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the longest phrase and all words found in place."""
+    return leak_matches(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p6_found, p7_found, p8_found, p8_matches)}
+
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 
 SQL = {
+    "p8_found": rf"""WITH i AS (SELECT item_id, {_WORDS.format('passage')} AS w FROM eval_items),
+    d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+    ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+    dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d))
+    SELECT DISTINCT item_id, doc_id FROM ig JOIN dg USING (g)""",
     "p2_found": """WITH RECURSIVE edges AS (
       SELECT DISTINCT source_grade_id AS a, target_grade_id AS b FROM equivalences
       WHERE source_grade_id IS NOT NULL AND target_grade_id IS NOT NULL AND source_grade_id <> target_grade_id
@@ -54,9 +86,11 @@ SQL = {
 }
 
 
-def queries():
+def queries() -> dict:
+    """name -> query."""
     return QUERIES
 
 
-def oracle_sql():
+def oracle_sql() -> dict[str, str]:
+    """name -> SQL that gives the same rows."""
     return SQL
