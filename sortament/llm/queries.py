@@ -9,6 +9,7 @@ from sortament.llm.components import grade_groups
 from sortament.llm.eval_leaks import leak_matches, leaked_items
 from sortament.llm.format_duplicates import offer_duplicates
 from sortament.llm.product_groups import product_groups, product_pairs
+from sortament.llm.spam_pages import score_pages, spam_pages
 from sortament.tables import read_table
 
 
@@ -51,7 +52,17 @@ def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
     return leak_matches(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p6_found, p7_found, p8_found, p8_matches)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of keywords, links or tags instead of sentences."""
+    return spam_pages(read_table(spark, folder, "documents"))
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The measures of every document."""
+    return score_pages(read_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p6_found, p7_found, p8_found, p8_matches, p10_found, p10_scores)}
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 
