@@ -1,11 +1,11 @@
 """Records that are the same but for how they are written: one each, with its copies.
 
 Every record gets a canonical form of all compared columns. Records are range-partitioned
-by that form and their id and sorted outside memory by Spark; each partition is scanned
-once and adjacent records compared by their full form. As the id takes part in the
-ranges, a form with a third of all records is spread over many partitions; only the
-first and the last run of a partition can go on in another, so merging runs concerns two
-rows a partition.
+by the form's hash and their id and sorted outside memory by Spark; each partition is
+scanned once and adjacent records compared by their full form. As the id takes part in
+the ranges, a form with a third of all records is spread over many partitions; only runs
+with the first or the last hash of a partition can go on in another, so merging runs
+concerns two rows a partition.
 """
 
 from __future__ import annotations
@@ -35,11 +35,13 @@ def canonical_form(exact: list[str], texts: list[str]) -> Column:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of equal forms in a sorted partition. Rows of runs inside the partition come
-    out finished if the run has two or more; the first and the last run come out as rows
-    with a null ``copies``, and each once more as (null id, first, its length, run, form).
-    Kept at once: a batch, and eight bytes for each row of the run that is open."""
-    held: list[np.ndarray] = []  # ids of the open run, by batch
-    form, ends = None, 0
+    out finished if the run has two or more. Runs with the first or the last hash of the
+    partition may go on in another: their rows come out with a null ``copies``, and each
+    such run once more as (null id, first, its length, run, form). Kept at once: a batch,
+    and eight bytes for each row of the hash that is open."""
+    held: dict[str, list[np.ndarray]] = {}  # ids of the open hash's runs, by form
+    open_hash = first_hash = None
+    edges = 0
     partition = TaskContext.get().partitionId()
 
     def rows(ids: np.ndarray, first: np.ndarray, copies: np.ndarray | None, run: int | None = None) -> pa.RecordBatch:
@@ -48,53 +50,48 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = pa.array(np.full(n, run), pa.int64()) if run is not None else pa.nulls(n, pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int64()), counts, runs, pa.nulls(n, pa.string())], _NAMES)
 
-    def edge(ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        nonlocal ends
-        run = 2 * partition + ends
-        ends += 1
-        yield rows(ids, np.full(len(ids), ids[0]), None, run)
-        one = [pa.nulls(1, pa.int64()), *(pa.array([x], pa.int64()) for x in (ids[0], len(ids), run)), pa.array([form], pa.string())]
-        yield pa.RecordBatch.from_arrays(one, _NAMES)
-
-    def close(last: bool = False) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate(held)
-        if last or not ends:
-            yield from edge(ids)
-        elif len(ids) > 1:
-            yield rows(ids, np.full(len(ids), ids[0]), np.full(len(ids), len(ids)))
+    def close(edge: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal edges
+        for form, parts in held.items():
+            ids = np.concatenate(parts)
+            if edge:
+                run = (partition << 24) + edges
+                edges += 1
+                yield rows(ids, np.full(len(ids), ids[0]), None, run)
+                one = [pa.nulls(1, pa.int64()), *(pa.array([x], pa.int64()) for x in (ids[0], len(ids), run)), pa.array([form], pa.string())]
+                yield pa.RecordBatch.from_arrays(one, _NAMES)
+            elif len(ids) > 1:
+                yield rows(ids, np.full(len(ids), ids[0]), np.full(len(ids), len(ids)))
+        held.clear()
 
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
-        ids, forms = batch.column("id").to_numpy(), batch.column("form")
-        new = np.concatenate([[True], pc.not_equal(forms.slice(1), forms.slice(0, len(forms) - 1)).to_numpy(zero_copy_only=False)])
+        ids, hashes, forms = batch.column("id").to_numpy(), batch.column("hash").to_numpy(), batch.column("form")
+        if first_hash is None:
+            open_hash = first_hash = hashes[0]
+        new = np.concatenate([[True], pc.not_equal(forms.slice(1), forms.slice(0, n - 1)).to_numpy(zero_copy_only=False)])
         starts = np.flatnonzero(new)
-        if form is not None and forms[0].as_py() == form:
-            head = starts[1] if len(starts) > 1 else len(ids)
-            held.append(ids[:head])
-            starts = starts[1:]
-        if not len(starts):
+        stops = np.append(starts[1:], n)
+        before = np.searchsorted(hashes[starts], open_hash, "right")  # runs that go on with the open hash
+        for k in range(before):
+            held.setdefault(forms[int(starts[k])].as_py(), []).append(ids[starts[k] : stops[k]])
+        if before == len(starts):
             continue
-        if held:
-            yield from close()
-        elif form is None:
-            # The partition's first run may end inside this batch.
-            head = starts[1] if len(starts) > 1 else None
-            if head is not None:
-                held, form = [ids[:head]], forms[0].as_py()
-                yield from close()
-                starts = starts[1:]
-        inner = starts[:-1]
-        if len(inner):
-            length = np.diff(starts)
-            many = length > 1
-            count = np.repeat(length[many], length[many])
-            at = np.concatenate([np.arange(a, a + n) for a, n in zip(inner[many], length[many], strict=True)]) if many.any() else np.zeros(0, int)
-            if len(at):
-                yield rows(ids[at], np.repeat(ids[inner[many]], length[many]), count)
-        held, form = [ids[starts[-1] :]], forms[int(starts[-1])].as_py()
-    if held:
-        yield from close(last=True)
+        yield from close(open_hash == first_hash)
+        open_hash = hashes[-1]
+        after = np.searchsorted(hashes[starts], open_hash, "left")  # runs of the hash that stays open
+        length = (stops - starts)[before:after]
+        many = length > 1
+        if many.any():
+            begin, length = starts[before:after][many], length[many]
+            count = np.repeat(length, length)
+            at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(begin, length)
+            yield rows(ids[at], np.repeat(ids[begin], length), count)
+        for k in range(after, len(starts)):
+            held.setdefault(forms[int(starts[k])].as_py(), []).append(ids[starts[k] : stops[k]])
+    yield from close(True)
 
 
 def duplicate_sets(records: DataFrame, id_column: str, *, exact: list[str], texts: list[str]) -> DataFrame:
@@ -108,9 +105,10 @@ def duplicate_sets(records: DataFrame, id_column: str, *, exact: list[str], text
     forms = records.select(F.col(id_column).cast("long").alias("id"), canonical_form(exact, texts).alias("form"))
     forms = forms.where("id is not null and form is not null")
     ship_package(records.sparkSession)
-    ordered = forms.repartitionByRange("form", "id").sortWithinPartitions("form", "id")
+    hashed = forms.withColumn("hash", F.xxhash64("form"))  # ranges of 16 bytes, so that Spark's sample of them is small
+    ordered = hashed.repartitionByRange("hash", "id").sortWithinPartitions("hash", "form", "id")
     scanned = materialise(ordered.mapInArrow(_scan, _SCHEMA))
-    # Two rows a partition at most, so this is bounded by the shuffle's width.
+    # Two rows a partition, unless hashes collide there, so this is bounded by the shuffle's width.
     edges = scanned.where("id is null").select("first", "copies", "run", "form")
     merged = edges.groupBy("form").agg(F.min("first").alias("whole"), F.sum("copies").alias("total"))
     of_run = edges.join(F.broadcast(merged), "form").where("total > 1").select("run", "whole", "total")
