@@ -8,6 +8,7 @@ from sortament.llm.canonical_values import match_grades
 from sortament.llm.components import grade_groups
 from sortament.llm.eval_leaks import leak_matches, leaked_items
 from sortament.llm.format_duplicates import offer_duplicates
+from sortament.llm.mixing import Mixture, mix, mixture_copies, mixture_report
 from sortament.llm.product_groups import product_groups, product_pairs
 from sortament.llm.spam_pages import score_pages, spam_pages
 from sortament.tables import read_table
@@ -52,6 +53,20 @@ def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
     return leak_matches(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
 
 
+def _mixture(spark: SparkSession, folder: str) -> Mixture:
+    return mix(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"))
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and reached share of each source."""
+    return mixture_report(_mixture(spark, folder))
+
+
+def p9_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents used, with their copies."""
+    return mixture_copies(_mixture(spark, folder))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of keywords, links or tags instead of sentences."""
     return spam_pages(read_table(spark, folder, "documents"))
@@ -62,7 +77,7 @@ def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
     return score_pages(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p6_found, p7_found, p8_found, p8_matches, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p6_found, p7_found, p8_found, p8_matches, p9_copies, p9_report, p10_found, p10_scores)}
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 
