@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sortament.plans import data_quality
+from sortament.plans import data_quality, reference
 
-MODULES = (data_quality,)
+MODULES = (data_quality, reference)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
