@@ -14,7 +14,6 @@ PROFILES = {
     "труб": "ТРУБА", "втул": "ВТУЛКА", "круг": "КРУГ", "квадрат": "КВАДРАТ", "шестигранник": "ШЕСТИГРАННИК",
     "проволок": "ПРОВОЛОКА", "прут": "ПРУТОК", "анод": "АНОД", "уголок": "УГОЛОК", "швеллер": "ШВЕЛЛЕР",
 }
-NO_PROFILE = ("НЕ УКАЗАН", "НЕ ОПРЕДЕЛЁН")
 
 # Micrometres in a unit.
 MICROMETRES = {

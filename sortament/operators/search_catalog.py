@@ -42,16 +42,19 @@ def grade_tiers(query_grades: DataFrame, item_grades: DataFrame, grades: DataFra
         review = (F.col("status") != "CONFIRMED") | (F.upper(F.trim("relation_type")) != "EQUIVALENT")
         relation = related.select("query_grade", "item_grade", kind.alias("tier"), score.alias("grade_score"), F.coalesce(review, F.lit(True)).alias("tier_review"))
         known = known.unionByName(relation.join(known.select("query_grade", "item_grade"), ["query_grade", "item_grade"], "left_anti"))
-    # Fuzzy: the item's spelling and all names of its grade. An upper bound from the
-    # lengths alone leaves out pairs that can't reach the threshold.
+    # Fuzzy: the item's spelling and all names of its grade. A bound leaves out pairs that
+    # can't reach the threshold: matched blocks are a common subsequence, so their ratio
+    # is at most 1 less edits over both lengths.
     spelled = i.select("item_grade", F.col("ik").alias("spelling"))
     others = i.join(names_of_grades(grades, aliases).select(F.col("grade_id").alias("iid"), compact_key(F.col("name")).alias("spelling")), "iid").select("item_grade", "spelling")
     spelled = spelled.unionByName(others).distinct()
     a, b = F.length("qk").cast("double"), F.length("spelling").cast("double")
-    bound = 0.82 * 2 * F.least(a, b) / (a + b) + 0.15 * F.least(a, b) / F.greatest(a, b) + 0.03
+    edits = F.levenshtein("qk", "spelling").cast("double")
+    same_start = (F.substring("qk", 1, 2) == F.substring("spelling", 1, 2)).cast("double")
+    bound = 0.82 * (1 - edits / (a + b)) + 0.15 * F.least(a, b) / F.greatest(a, b) + 0.03 * same_start
     # The queries are few; each meets the distinct spellings, not the items.
     pairs = spelled.join(broadcast_if_small(q.select("query_grade", "qk").distinct(), 10_000), F.abs(F.length("qk") - F.length("spelling")) <= F.length("qk"))
-    pairs = pairs.where(bound >= threshold).join(known.select("query_grade", "item_grade"), ["query_grade", "item_grade"], "left_anti")
+    pairs = pairs.where(bound >= threshold - 1e-9).join(known.select("query_grade", "item_grade"), ["query_grade", "item_grade"], "left_anti")
     scored = pairs.withColumn("s", fuzzy_similarity("qk", "spelling")).where(F.col("s") >= threshold)
     best = scored.groupBy("query_grade", "item_grade").agg(F.max("s").alias("s"))
     fuzzy = best.select("query_grade", "item_grade", F.lit("FUZZY").alias("tier"), F.least("s", F.lit(FUZZY_CEILING)).alias("grade_score"), F.lit(True).alias("tier_review"))
