@@ -87,7 +87,7 @@ def _fit(counts: np.ndarray, labels: np.ndarray, domains: tuple[str, ...], steps
     x, n = _inputs(counts), len(labels)
     wanted = np.eye(len(domains), dtype=np.float32)[labels]
     weights = np.zeros((x.shape[1], len(domains)), np.float32)
-    for _ in range(steps):
+    for _ in range(steps if n else 0):  # without a sample every domain is as likely
         z = x @ weights
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
