@@ -10,11 +10,14 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sortament.functions import attributes
 from sortament.functions import dimensions as dim
 from sortament.functions import profiles, text
 from sortament.functions.distances import osa_distance
 from sortament.operators import catalog, decision_log, documents, evidence, mail, metrics, search_catalog, search_mask
+from sortament.operators.adapters import read_price_lists
 from sortament.operators.cells import detect_headers, fill_down, stack_blocks
+from sortament.operators.find_names import find_names
 from sortament.operators.parse_items import parse_items
 from sortament.operators.persist import stable_id
 from sortament.operators.reject_rows import split_line
@@ -353,3 +356,59 @@ def header_detection(spark: SparkSession, folder: str) -> DataFrame:
     lines = read_table(spark, folder, "raw_lines").select(F.col("source_file").alias("file"), "line_no", split_line(F.col("raw_line"))["cells"].alias("c"))
     cells = lines.select("file", F.lit("lines").alias("sheet"), F.lit(0).alias("sheet_ix"), F.col("line_no").alias("row_no"), F.transform("c", lambda v: F.struct(v.alias("v"), F.lit(False).alias("is_num"))).alias("cells"))
     return detect_headers(cells)
+
+
+_NAMES = "(SELECT min(grade_id) AS name_id, k FROM (SELECT grade_id, {0} AS k FROM grades UNION ALL SELECT canonical_grade_id, {1} FROM aliases WHERE status <> 'REJECTED') WHERE k <> '' GROUP BY k)".format(
+    _KEY.format("canonical"), _KEY.format("alias")
+)
+
+
+@_query(
+    rf"""WITH w AS (SELECT offer_id, list_filter(string_split_regex(translate(upper(raw_description), 'АВЕКМНОРСТУХЁ', 'ABEKMHOPCTYXE'), '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '') AS w FROM offers WHERE raw_description IS NOT NULL),
+  p AS (SELECT offer_id, pos, n AS words, array_to_string(w[pos:pos + n - 1], '') AS k FROM (SELECT offer_id, w, unnest(range(1, len(w) + 1)) AS pos FROM w), (VALUES (1), (2), (3)) t(n) WHERE pos + n - 1 <= len(w)),
+  m AS (SELECT DISTINCT offer_id, pos, words, name_id FROM p JOIN {_NAMES} USING (k))
+  SELECT offer_id, pos, CAST(words AS BIGINT) AS words, name_id FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.offer_id = a.offer_id AND b.pos < a.pos + a.words AND a.pos < b.pos + b.words
+    AND (b.words > a.words OR (b.words = a.words AND b.pos < a.pos)))"""
+)
+def names_in_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalogue names inside the descriptions of offers."""
+    names = catalog.names_of_grades(read_table(spark, folder, "grades"), read_table(spark, folder, "aliases")).withColumnRenamed("grade_id", "name_id")
+    return find_names(read_table(spark, folder, "offers"), "offer_id", "raw_description", names)
+
+
+@_query("""SELECT offer_id, concat_ws(' ', upper(profile[1]) || lower(profile[2:]), grade) AS shown FROM offers WHERE profile IS NULL OR profile NOT LIKE '% %'""")
+def display_names(spark: SparkSession, folder: str) -> DataFrame:
+    one_word = F.col("profile").isNull() | ~F.col("profile").contains(" ")
+    shown = attributes.display_name(F.col("profile"), F.col("grade"), F.lit(None).cast("string"))
+    return read_table(spark, folder, "offers").where(one_word).select("offer_id", shown.alias("shown"))
+
+
+@_query("""SELECT offer_id, CASE WHEN profile IN ('КРУГ', 'ПРОВОЛОКА', 'ШЕСТИГРАННИК', 'ПРУТОК') THEN 2 ELSE 3 END AS sizes FROM offers
+  WHERE dim1 IS NOT NULL AND dim2 IS NOT NULL AND dim3 IS NOT NULL AND profile IS NOT NULL""")
+def structured_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """How many sizes come out of two columns of sizes."""
+    whole = read_table(spark, folder, "offers").where("dim1 is not null and dim2 is not null and dim3 is not null and profile is not null")
+    sizes = attributes.structured_sizes(F.col("profile"), F.concat_ws("x", F.col("dim1").cast("string"), F.col("dim2").cast("string")), F.col("dim3").cast("string"))
+    return whole.select("offer_id", F.size(sizes).alias("sizes"))
+
+
+@_query("""SELECT offer_id, list_has(review_reasons, 'business_rule_pending') OR list_has(review_reasons, 'grade_conflict') AS normalisation, coalesce(len(review_reasons), 0) > 0 AS any_reason FROM offers WHERE requires_review""")
+def review_queues(spark: SparkSession, folder: str) -> DataFrame:
+    """Offers in review, and whether they belong to the queue of conflicting rows; queues overlap."""
+    conflict = F.array_contains("review_reasons", "business_rule_pending") | F.array_contains("review_reasons", "grade_conflict")
+    return read_table(spark, folder, "offers").where("requires_review").select("offer_id", conflict.alias("normalisation"), (F.coalesce(F.size("review_reasons"), F.lit(0)) > 0).alias("any_reason"))
+
+
+@_query("""SELECT source_file, bool_and(coalesce(step >= 0, true)) AS in_order FROM (SELECT source_file, line_no - lag(line_no) OVER (PARTITION BY source_file ORDER BY line_id) AS step FROM raw_lines) GROUP BY source_file""")
+def order_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the lines of each file are numbered in the order of their ids."""
+    step = F.col("line_no") - F.lag("line_no").over(Window.partitionBy("source_file").orderBy("line_id"))
+    return read_table(spark, folder, "raw_lines").withColumn("step", step).groupBy("source_file").agg(F.every(F.coalesce(F.col("step") >= 0, F.lit(True))).alias("in_order"))
+
+
+@_query()
+def price_lists_by_layout(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of delimited lines as cells, read by layout, header or as bare rows."""
+    lines = read_table(spark, folder, "raw_lines").select(F.col("source_file").alias("file"), "line_no", split_line(F.col("raw_line"))["cells"].alias("c"))
+    cells = lines.select("file", F.lit("lines").alias("sheet"), F.lit(0).alias("sheet_ix"), F.col("line_no").alias("row_no"), F.transform("c", lambda v: F.struct(v.alias("v"), F.lit(False).alias("is_num"))).alias("cells"))
+    return read_price_lists(cells)

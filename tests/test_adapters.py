@@ -1,0 +1,71 @@
+from pyspark.sql import functions as F
+
+from sortament.functions import attributes
+from sortament.operators.adapters import layouts_of, read_price_lists, snapshot
+from sortament.operators.find_names import find_names
+from tests.conftest import rows
+
+CELLS = "file string, sheet string, sheet_ix int, row_no int, cells array<struct<v:string,is_num:boolean>>"
+
+
+def cells(spark, files):
+    data = []
+    for name, lines in files.items():
+        for n, line in enumerate(lines, 1):
+            data.append((name, "s", 0, n, [(None if v is None else str(v), isinstance(v, (int, float))) for v in line]))
+    return spark.createDataFrame(data, CELLS)
+
+
+FILES = {
+    "a.xlsx": [["Остатки и резервы товаров"], ["", "Товар", "", "", "Свободный остаток"], [None, "Труба 5х1", 10, 2, 8], [None, "Лист 3", 4, 0, 4], [None, "Итого", 1, 1, 1], [None, "Раздел", None, None, None]],
+    "supplier_alpha.xlsx": [["x"]] * 5 + [["Круг 20", "5 кг", 100, None, "Лист 3", None, 7], ["Раздел", None, None, None, None, None, None]],
+    "g.xlsx": [["Supplier Gamma сплав"]] + [[""]] * 7 + [["Химки", "БрБ2", "Пруток 20", 0, "3 бухты", 50, "01.02.2025"], ["", "", "ВСЕГО", 9, "", "", ""], ["", "М1", "Лист 1", 7, "", 0, None]],
+    "h.xlsx": [["Наименование", "Цена"], ["Труба 9", 5]],
+    "bare.xlsx": [["ab", "Полоса 5х40", "12 кг", 90], ["x", None, 5]],
+}
+
+
+def test_layouts(spark):
+    df = cells(spark, FILES)
+    assert dict(rows(layouts_of(df))) == {"a.xlsx": "BETA", "supplier_alpha.xlsx": "ALPHA", "g.xlsx": "GAMMA", "h.xlsx": "GENERIC", "bare.xlsx": "GENERIC"}
+    got = rows(read_price_lists(df).select("layout", "row_no", "description", "availability", "price", "grade_hint"))
+    assert got == sorted(
+        [
+            ("BETA", 3, "Труба 5х1", "8", None, None), ("BETA", 4, "Лист 3", "4", None, None), ("ALPHA", 6, "Круг 20", "5 кг", "100", None), ("ALPHA", 6, "Лист 3", None, "7", None),
+            ("GAMMA", 9, "Пруток 20", "В производстве: 50 кг", None, "БрБ2"), ("GAMMA", 11, "Лист 1", "7", None, "М1"), ("HEADER", 2, "Труба 9", None, "5", None), ("BARE", 1, "Полоса 5х40", "12 кг", "90", None),
+        ],
+        key=repr,
+    )
+    assert read_price_lists(df.where("false")).count() == 0
+
+
+def test_snapshot(spark):
+    df = cells(spark, {"f.xlsx": [["Наименование", "Склад", "", "Склад"], ["Труба", "Химки", "z", "Тула", "over"]]})
+    assert snapshot(df).first().by_header == {"Наименование": "Труба", "Склад": "Химки", "COL_3": "z", "Склад [2]": "Тула", "COL_5": "over"}
+
+
+def test_names(spark):
+    names = spark.createDataFrame([("g1", "БрБ2"), ("g2", "LIGIZ 912K"), ("g3", "912K"), ("g4", None), ("g0", "CU BE 2")], "name_id string, name string")
+    data = [(1, "Лист брб-2 / ligiz-912k; 912К"), (2, "ХБрБ2 х"), (3, None), (4, "cu be 2"), (5, "")]
+    df = spark.createDataFrame(data, "key long, t string")
+    assert rows(find_names(df, "key", "t", names)) == [(1, 2, 2, "g1"), (1, 4, 2, "g2"), (1, 6, 1, "g3"), (4, 1, 3, "g0")]
+
+
+def test_attributes(spark):
+    df = spark.createDataFrame([("Лом гр.Б26 (м/лом, кусок) 12Х18Н10Т",), ("Сетка П32 шир. 1,5",), (None,)], "t string")
+    scrap = [tuple(r[0]) for r in df.select(attributes.scrap_attributes(F.col("t"))).collect()]
+    assert scrap == [("Б26", "12Х18Н10Т", "КУСОК"), (None, None, None), (None, None, None)]
+    mesh = [tuple(r[0]) for r in df.select(attributes.mesh_attributes(F.col("t"))).collect()]
+    assert mesh[1] == ("П32", "1.5", 32, "0.60", "0.40") and mesh[2][0] is None
+    sizes = spark.createDataFrame([("КРУГ", "ф105", "360мм"), ("ЛИСТ", "0,8х980", "1350-1500"), ("ТРУБА", "5x1x9", "2000"), ("ЛИСТ", None, None)], "p string, a string, b string")
+    got = [[float(v) for v in r[0]] for r in sizes.select(attributes.structured_sizes(F.col("p"), F.col("a"), F.col("b"))).collect()]
+    assert got == [[105.0, 360.0], [0.8, 980.0, 1350.0], [5.0, 1.0, 2000.0], []]
+
+
+def test_texts(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    assert value(attributes.safe_file_name(F.lit("..\\a/b<c>.xlsx"))) == "b_c_.xlsx" and value(attributes.safe_file_name(F.lit(" . "))) == "attachment"
+    assert value(attributes.redact(F.lit("sk-abcdefgh1 Bearer x.y db://u:pw@h/d"))) == "[REDACTED] Bearer [REDACTED] db://u:***@h/d"
+    assert value(attributes.append_comment(F.lit("a; b"), F.lit("b"))) == "a; b" and value(attributes.append_comment(F.lit(None), F.lit("b"))) == "b"
+    assert value(attributes.display_name(F.lit("ТРУБА"), F.lit("М1"), F.lit(None).cast("string"))) == "Труба М1"
