@@ -71,14 +71,14 @@ def relation_edges(relations: DataFrame) -> DataFrame:
     return first.select("a", "b", "r.*")
 
 
-def tolerance_pairs(items: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pairs of items of a profile whose first sizes differ by at most the profile's
-    tolerance: a band join. Items are put into bins as wide as the tolerance, so each
-    meets only its own and the next bin."""
+def tolerance_pairs(items: DataFrame, rules: DataFrame, same: tuple[str, ...] = ("profile",)) -> DataFrame:
+    """(offer_a, offer_b): items equal in ``same`` whose first sizes differ by at most the
+    profile's tolerance: a band join. Items are put into bins as wide as the tolerance, so
+    each meets only its own and the neighbouring bins. Nulls match nothing."""
     banded = items.join(broadcast_if_small(rules), "profile").where("dim1 is not null and tolerance > 0")
-    a = banded.select("profile", F.col("offer_id").alias("offer_a"), F.col("dim1").alias("dim_a"), "tolerance", F.floor(F.col("dim1") / F.col("tolerance")).alias("bin"))
-    b = a.select("profile", F.col("offer_a").alias("offer_b"), F.col("dim_a").alias("dim_b"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    return a.join(b, ["profile", "bin"]).where("offer_a < offer_b and abs(dim_a - dim_b) <= tolerance").select("profile", "offer_a", "offer_b")
+    a = banded.select(*same, F.col("offer_id").alias("offer_a"), F.col("dim1").alias("dim_a"), "tolerance", F.floor(F.col("dim1") / F.col("tolerance")).alias("bin"))
+    b = a.select(*same, F.col("offer_a").alias("offer_b"), F.col("dim_a").alias("dim_b"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    return a.join(b, [*same, "bin"]).where("offer_a < offer_b and abs(dim_a - dim_b) <= tolerance").select(*same, "offer_a", "offer_b")
 
 
 def names_of_grades(grades: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from sortament.functions.profiles import search_profiles
 from sortament.functions.text import compact_key
 from sortament.operators.catalog import names_of_grades, relation_edges, resolve_names
 from sortament.operators.joins import broadcast_if_small
+from sortament.session import materialise
 
 # The weight of a kind of match, and its place in the order.
 TIERS = ("EXACT", "ALIAS", "CONFIRMED_RELATION", "PROPOSED_RELATION", "FUZZY")
@@ -29,8 +30,8 @@ def grade_tiers(query_grades: DataFrame, item_grades: DataFrame, grades: DataFra
     match. A relation that exists but isn't usable gives no fuzzy fallback."""
     q = resolve_names(query_grades.select(F.col("grade").alias("query_grade")).distinct(), "query_grade", grades, aliases)
     i = resolve_names(item_grades.select(F.col("grade").alias("item_grade")).where("item_grade is not null").distinct(), "item_grade", grades, aliases)
-    q = q.select("query_grade", compact_key(F.col("query_grade")).alias("qk"), F.col("grade_id").alias("qid"))
-    i = i.select("item_grade", compact_key(F.col("item_grade")).alias("ik"), F.col("grade_id").alias("iid")).where("ik <> ''")
+    q = materialise(q.select("query_grade", compact_key(F.col("query_grade")).alias("qk"), F.col("grade_id").alias("qid")))
+    i = materialise(i.select("item_grade", compact_key(F.col("item_grade")).alias("ik"), F.col("grade_id").alias("iid")).where("ik <> ''"))
     exact = q.join(i, q["qk"] == i["ik"]).select("query_grade", "item_grade", F.lit("EXACT").alias("tier"), F.lit(1.0).alias("grade_score"), F.lit(False).alias("tier_review"))
     alias = q.join(i, (q["qid"] == i["iid"]) & (q["qk"] != i["ik"])).select("query_grade", "item_grade", F.lit("ALIAS").alias("tier"), F.lit(BASE_SCORE["ALIAS"]).alias("grade_score"), F.lit(True).alias("tier_review"))
     known = exact.unionByName(alias)
@@ -42,6 +43,7 @@ def grade_tiers(query_grades: DataFrame, item_grades: DataFrame, grades: DataFra
         review = (F.col("status") != "CONFIRMED") | (F.upper(F.trim("relation_type")) != "EQUIVALENT")
         relation = related.select("query_grade", "item_grade", kind.alias("tier"), score.alias("grade_score"), F.coalesce(review, F.lit(True)).alias("tier_review"))
         known = known.unionByName(relation.join(known.select("query_grade", "item_grade"), ["query_grade", "item_grade"], "left_anti"))
+    known = materialise(known)  # distinct pairs of grades, not of items
     # Fuzzy: the item's spelling and all names of its grade. A bound leaves out pairs that
     # can't reach the threshold: matched blocks are a common subsequence, so their ratio
     # is at most 1 less edits over both lengths.
@@ -89,13 +91,13 @@ def catalog_search(
     if not 1 <= limit <= 200 or not 0 <= threshold <= 1:
         raise ValueError("limit is 1 to 200 and threshold 0 to 1")
     asked = queries.select("query_id", F.explode(search_profiles(F.upper(F.trim("profile")))).alias("profile"), F.col("grade").alias("query_grade"), "q1", "q2", "q3", "q_unit")
-    tiers = grade_tiers(queries, items, grades, aliases, relations, threshold)
-    wanted = asked.join(tiers, "query_grade")
+    tiers = materialise(grade_tiers(queries, items, grades, aliases, relations, threshold))
+    wanted = materialise(asked.join(tiers, "query_grade"))
     hits = items.withColumnRenamed("grade", "item_grade").join(broadcast_if_small(wanted), ["profile", "item_grade"])
     want, have = [F.col(c) for c in ("q1", "q2", "q3")], [F.col(c) for c in SIZES]
     exact = sizes_match(want, have) & units_agree(F.col("q_unit"), F.col("dim1_unit"))
     near = F.coalesce(size_similarity(want, have), F.lit(1.0))
-    hits = hits.withColumn("fits", exact).withColumn("near", near).where("fits or near > 0")
+    hits = materialise(hits.withColumn("fits", exact).withColumn("near", near).where("fits or near > 0"))
     # Whether a query has an exact item, and how many grades share a fuzzy score, are
     # aggregates of few rows joined back: no window gathers all hits of a query.
     any_exact = hits.groupBy("query_id").agg(F.max("fits").alias("has_exact"))

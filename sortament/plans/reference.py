@@ -144,14 +144,13 @@ def singleton_keys(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.singleton_keys(names)
 
 
-@_query("""WITH r(profile, tolerance) AS (VALUES ('ШЕСТИГРАННИК', 0.5), ('КВАДРАТ', 0.5))
-  SELECT a.profile, a.offer_id AS offer_a, b.offer_id AS offer_b FROM offers a JOIN offers b ON a.profile = b.profile AND a.offer_id < b.offer_id
-  JOIN r ON r.profile = a.profile WHERE abs(a.dim1 - b.dim1) <= tolerance AND a.dim2 BETWEEN 1000 AND 2000 AND b.dim2 BETWEEN 1000 AND 2000""")
+@_query("""SELECT a.profile, a.grade, a.dim2, a.offer_id AS offer_a, b.offer_id AS offer_b
+  FROM offers a JOIN offers b ON a.profile = b.profile AND a.grade = b.grade AND a.dim2 = b.dim2 AND a.offer_id < b.offer_id WHERE abs(a.dim1 - b.dim1) <= 0.5""")
 def tolerance_band_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Bars of one to two metres whose widths differ by half a millimetre at most."""
-    items = read_table(spark, folder, "offers").where("dim2 between 1000 and 2000").select("profile", "offer_id", "dim1")
-    rules = spark.createDataFrame([("ШЕСТИГРАННИК", 0.5), ("КВАДРАТ", 0.5)], "profile string, tolerance double").withColumn("tolerance", F.col("tolerance").cast("decimal(18,6)"))
-    return catalog.tolerance_pairs(items, rules)
+    """Offers of one profile, grade and second size whose first sizes differ by half a unit at most."""
+    offers = read_table(spark, folder, "offers")
+    rules = offers.where("profile is not null").select("profile", F.lit("0.5").cast("decimal(18,6)").alias("tolerance")).distinct()
+    return catalog.tolerance_pairs(offers.select("profile", "grade", "dim2", "offer_id", "dim1"), rules, ("profile", "grade", "dim2"))
 
 
 @_query("SELECT profile, offer_id FROM offers WHERE dim1_unit IS NULL OR upper(dim1_unit) = 'MM'")
