@@ -39,11 +39,12 @@ def fingerprint(*columns: str):
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
-def apply_latest(items: DataFrame, log: DataFrame, key: str, changes: tuple[str, ...], *order: str) -> DataFrame:
+def apply_latest(items: DataFrame, log: DataFrame, key: str, changes: tuple[str, ...], *order: str, clear: bool = False) -> DataFrame:
     """``items`` with the non-null ``changes`` of their latest decision where it is
     CONFIRMED and its ``source_fingerprint`` is the item's; ``apply_status`` is APPLIED,
     SKIPPED_SOURCE_MISMATCH or null. Reasons that the decision resolved leave
-    ``review_reasons``, whose other repetitions stay."""
+    ``review_reasons``, whose other repetitions stay; with ``clear`` all reasons go, as a
+    store does whose decisions settle a row."""
     newest = latest(log, key, *order)
     renamed = newest.select(key, *[F.col(c).alias(f"_{c}") for c in newest.columns if c != key])
     joined = items.join(renamed, key, "left")
@@ -55,6 +56,8 @@ def apply_latest(items: DataFrame, log: DataFrame, key: str, changes: tuple[str,
     for c in changes:
         joined = joined.withColumn(c, F.when(done, F.coalesce(f"_{c}", c)).otherwise(F.col(c)))
     left = F.filter("review_reasons", lambda r: ~F.array_contains(F.coalesce("_resolved_review_reasons", F.array().cast("array<string>")), r))
+    if clear:
+        left = F.array().cast("array<string>")
     joined = joined.withColumn("review_reasons", F.when(done, left).otherwise(F.col("review_reasons")))
     joined = joined.withColumn("requires_review", F.when(done, F.size("review_reasons") > 0).otherwise(F.col("requires_review")))
     return joined.select(*items.columns, "apply_status")

@@ -16,11 +16,13 @@ from sortament.functions import profiles, text
 from sortament.functions.distances import osa_distance
 from sortament.operators import catalog, decision_log, documents, evidence, mail, metrics, search_catalog, search_mask
 from sortament.operators.adapters import read_price_lists
+from sortament.operators.candidates import candidates, payload
 from sortament.operators.cells import detect_headers, fill_down, stack_blocks
 from sortament.operators.find_names import find_names
 from sortament.operators.parse_items import parse_items
 from sortament.operators.persist import stable_id
 from sortament.operators.reject_rows import split_line
+from sortament.sources.exports import source_text
 from sortament.tables import read_table
 
 QUERIES, SQL = {}, {}
@@ -411,3 +413,22 @@ def price_lists_by_layout(spark: SparkSession, folder: str) -> DataFrame:
     lines = read_table(spark, folder, "raw_lines").select(F.col("source_file").alias("file"), "line_no", split_line(F.col("raw_line"))["cells"].alias("c"))
     cells = lines.select("file", F.lit("lines").alias("sheet"), F.lit(0).alias("sheet_ix"), F.col("line_no").alias("row_no"), F.transform("c", lambda v: F.struct(v.alias("v"), F.lit(False).alias("is_num"))).alias("cells"))
     return read_price_lists(cells)
+
+
+@_query("""WITH r AS (SELECT offer_id, requires_review, confidence, CASE WHEN grade = 'предпол.' AND NOT list_has(list_distinct(coalesce(review_reasons, [])), 'unconfirmed_grade') THEN len(list_distinct(coalesce(review_reasons, []))) + 1
+    ELSE len(list_distinct(coalesce(review_reasons, []))) END AS n FROM offers)
+  SELECT offer_id, CASE WHEN n = 0 THEN 1 ELSE n END AS reasons FROM r WHERE n > 0 OR requires_review OR confidence < 0.9""")
+def candidate_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Offers for a second look, with the number of their reasons."""
+    return candidates(read_table(spark, folder, "offers")).select("offer_id", F.size("reasons").cast("long").alias("reasons"))
+
+
+@_query("""SELECT offer_id, concat_ws(' / ', source_file, source_sheet, 'строка ' || source_row, source_block) AS source FROM offers""")
+def source_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "offers").select("offer_id", source_text().alias("source"))
+
+
+@_query()
+def review_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """What a reviewer is shown of each offer in review."""
+    return payload(read_table(spark, folder, "offers").where("requires_review"))
