@@ -45,6 +45,13 @@ def mock_answers(offers: DataFrame) -> DataFrame:
     return offers.select(F.col("offer_id").alias("source_id"), decision.alias("decision"), "profile", "grade")
 
 
+def replayed_answers(payloads: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(offer_id, answer): recorded answers (payload_hash, answer) by the SHA-256 of what
+    was sent; a payload without record has a null answer."""
+    keyed = payloads.select("offer_id", F.sha2("payload", 256).alias("payload_hash"))
+    return keyed.join(recorded.dropDuplicates(["payload_hash"]), "payload_hash", "left").select("offer_id", "answer")
+
+
 def reconcile(results: DataFrame, changed: Column) -> DataFrame:
     """``results`` (decision, warnings, research_required, ...) with ``final_decision`` and
     ``removed_warnings``. Warnings of a grade conflict are false where the grade is not

@@ -63,6 +63,19 @@ def apply_latest(items: DataFrame, log: DataFrame, key: str, changes: tuple[str,
     return joined.select(*items.columns, "apply_status")
 
 
+def invalid_decisions(log: DataFrame, numbers: tuple[str, ...], texts: tuple[str, ...]) -> DataFrame:
+    """(decision_id, problem): decisions without operator or comment, of an unknown action,
+    updates without rule, changes of numbers that aren't above 0 and of texts to blanks."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    problems = [
+        F.when(blank("operator"), "operator"), F.when(blank("comment"), "comment"), F.when(~F.coalesce(F.col("action").isin("KEEP", "UPDATE", "DEFER"), F.lit(False)), "action"),
+        F.when((F.col("action") == "UPDATE") & (blank("rule_id") | blank("rule_version")), "rule"),
+        *[F.when(F.col(c).isNotNull() & ~F.coalesce(F.translate(F.col(c).cast("string"), ",", ".").try_cast("decimal(18,6)") > 0, F.lit(False)), c) for c in numbers],
+        *[F.when(F.col(c).isNotNull() & blank(c), c) for c in texts],
+    ]
+    return log.select("decision_id", F.explode(F.array_compact(F.array(*problems))).alias("problem"))
+
+
 def unmatched_decisions(log: DataFrame, items: DataFrame, key: str) -> DataFrame:
     """Decisions on rows that don't exist."""
     return log.join(items.select(key).distinct(), key, "left_anti")

@@ -49,3 +49,17 @@ def bundle_hash(files: DataFrame) -> str:
     for row in digests:
         whole.update(f"{row['name']}\0{row['digest']}".encode())
     return whole.hexdigest()
+
+
+def blob_path(folder: str, digest: Column, suffix: str = "") -> Column:
+    """Where a content-addressed store keeps a blob: a folder by the digest's first two signs."""
+    return F.concat(F.lit(f"{folder}/"), F.substring(digest, 1, 2), F.lit("/"), digest, F.lit(suffix))
+
+
+def store_blobs(blobs: DataFrame, content: str, folder: str) -> DataFrame:
+    """(digest, size, path) of the distinct contents; each is written once by the executors
+    as a row of a Parquet table partitioned by the digest's beginning, which keeps many
+    small blobs in few files."""
+    distinct = blobs.where(F.col(content).isNotNull()).select(F.sha2(F.col(content), 256).alias("digest"), F.col(content).alias("content")).dropDuplicates(["digest"])
+    distinct.withColumn("part", F.substring("digest", 1, 2)).write.mode("append").partitionBy("part").parquet(folder)
+    return distinct.select("digest", F.octet_length("content").cast("long").alias("size"), blob_path(folder, F.col("digest")).alias("path"))

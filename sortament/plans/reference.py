@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sortament.functions import attributes
 from sortament.functions import dimensions as dim
-from sortament.functions import profiles, text
+from sortament.functions import profiles, size_text, text
 from sortament.functions.distances import osa_distance
 from sortament.operators import catalog, decision_log, documents, evidence, mail, metrics, search_catalog, search_mask
 from sortament.operators.adapters import read_price_lists
@@ -432,3 +432,9 @@ def source_texts(spark: SparkSession, folder: str) -> DataFrame:
 def review_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """What a reviewer is shown of each offer in review."""
     return payload(read_table(spark, folder, "offers").where("requires_review"))
+
+
+@_query(r"""SELECT item_id, len(regexp_extract_all(' ' || coalesce(description, ''), '[^0-9A-Za-zА-Яа-яЁё.,/-][0-9]+(?:[.,][0-9]+)?(?:\s*[xхXХ×*]\s*[0-9]+(?:[.,][0-9]+)?){1,3}(?:\s*(?:мм|см|м|mm|cm|m))?(?:[^0-9A-Za-zА-Яа-яЁё]|$)')) > 0 AS written FROM raw_items""")
+def size_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether a description holds a sequence of sizes."""
+    return read_table(spark, folder, "raw_items").select("item_id", (F.size(size_text.size_sequences(F.col("description"))) > 0).alias("written"))
