@@ -5,11 +5,22 @@ its words in links, its words by how many function words their unit has, its wor
 price rows, the words of sentences without function words, and the shares of its top word,
 its repeated word triples, its repeated units and its separators. How rare function words
 must be for a unit to be no sentence is calibrated per language from all documents: a
-fixed part of their rate in that language's well-formed sentences. A page is spam if more
-than half of its words stand in links or in units that are no sentences.
+fixed part of their rate in that language's well-formed sentences. So is from where on each
+of the four shares is unusual: a high percentile of the language's pages of sentences. On
+a page without sentences of which one share is unusual, every word outside price rows
+counts as a keyword, also where search phrases hold function words. A page is spam if more
+than half of its words stand in links, are such keywords or are in units that are no
+sentences.
+
+Quoted threads, repeated forum sentences and sentences on one subject repeat themselves
+too, but have function words in well-formed sentences, or in ever other places.
+
+The language is told by the letters, unless ``lang`` names one without a list of function
+words and the text doesn't speak against it. There the rate of function words says
+nothing: sentences are told by their form alone, keywords by the four shares.
 
 Arrow batches go to Python because one scan of a text yields all features; everything
-after it are built-in expressions. The calibration is two numbers per language.
+after it are built-in expressions. The calibration is five numbers per language.
 """
 
 from __future__ import annotations
@@ -17,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,7 +59,14 @@ MOST_SHARE = 0.5
 #: Share of repeated triples from which sentences without function words count as keywords,
 #: on pages whose well-formed sentences have as few of them as units that are no sentences.
 REPEATED_TRIPLES = 0.4
+#: A page's share is unusual above this percentile of its language's pages of sentences.
+USUAL = 0.99
+#: So often must a page's top word occur for its share to say anything.
+TOP_COUNT = 3
 BINS, STEP = 12, 0.025
+MEASURES = ("top_word_share", "repeated_triples", "repeated_units", "separator_density")
+# Codes of the languages with a list.
+CODES = {"ru": "ru", "rus": "ru", "en": "en", "eng": "en"}
 
 _STRONG = {w for ws in FUNCTION_WORDS.values() for w in ws}
 _WEAK = {w for ws in PREPOSITIONS.values() for w in ws}
@@ -66,7 +85,8 @@ def page_features(text: str) -> tuple:
     """(words, link words, words of units by bin of function words, words of units in
     price rows, words of sentences without function words, separators, top word's share,
     share of repeated triples, share of repeated units, function words and words of
-    well-formed sentences, share of Cyrillic words)."""
+    well-formed sentences, share of Cyrillic words, function words that follow or precede
+    ever other words)."""
     links = 0
 
     def cut(m: re.Match) -> str:
@@ -79,6 +99,7 @@ def page_features(text: str) -> tuple:
     separators = good_hits = good_words = 0
     units: Counter[tuple] = Counter()
     all_words: list[str] = []
+    varied: set[tuple] = set()  # function words in their places
     for line in rest.split("\n"):
         low = line.lower()
         if ("—" in line or "–" in line or "- " in line) and _DASH.search(line) and len(_NUMBER.findall(line)) >= 3 and _AMOUNT.search(line):
@@ -101,7 +122,10 @@ def page_features(text: str) -> tuple:
                 if run == 1:
                     lone = strong
                 else:
-                    hits += lone + strong + (weak and not strong and w not in PHRASE_ENDS)
+                    more = lone + strong + (weak and not strong and w not in PHRASE_ENDS)
+                    if more:
+                        hits += more
+                        varied.add((words[-2], w))
                     lone = False
                 weak = w in _WEAK
                 continue
@@ -126,7 +150,7 @@ def page_features(text: str) -> tuple:
     copies = sum(c - 1 for c in units.values()) / max(1, sum(units.values()))
     cyrillic, letters = sum("а" <= w[0] <= "ё" for w in all_words), sum(w[0].isalpha() for w in all_words)
     cyrillic = cyrillic / letters if letters else 0.0
-    return n, links, by_bin, rows, plain, separators, top, repeated, copies, good_hits, good_words, cyrillic
+    return n, links, by_bin, rows, plain, separators, top, repeated, copies, good_hits, good_words, cyrillic, len(varied)
 
 
 def _close(words, hits, unit, mark, by_bin, units, good_hits, good_words, plain):
@@ -145,55 +169,90 @@ def _close(words, hits, unit, mark, by_bin, units, good_hits, good_words, plain)
 
 
 _FEATURES = (
-    "doc bigint, words bigint, link_words bigint, by_bin array<bigint>, row_words bigint, plain_words bigint, separators bigint, top_word_share double, "
-    "repeated_triples double, repeated_units double, good_hits bigint, good_words bigint, cyrillic double"
+    "doc bigint, code string, words bigint, link_words bigint, by_bin array<bigint>, row_words bigint, plain_words bigint, separators bigint, top_word_share double, "
+    "repeated_triples double, repeated_units double, good_hits bigint, good_words bigint, cyrillic double, varied_hits bigint"
 )
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
-        [("doc", pa.int64()), ("words", pa.int64()), ("link_words", pa.int64()), ("by_bin", pa.list_(pa.int64())), ("row_words", pa.int64()), ("plain_words", pa.int64())]
+        [("doc", pa.int64()), ("code", pa.string()), ("words", pa.int64()), ("link_words", pa.int64()), ("by_bin", pa.list_(pa.int64())), ("row_words", pa.int64()), ("plain_words", pa.int64())]
         + [("separators", pa.int64()), ("top_word_share", pa.float64()), ("repeated_triples", pa.float64()), ("repeated_units", pa.float64())]
-        + [("good_hits", pa.int64()), ("good_words", pa.int64()), ("cyrillic", pa.float64())]
+        + [("good_hits", pa.int64()), ("good_words", pa.int64()), ("cyrillic", pa.float64()), ("varied_hits", pa.int64())]
     )
     for batch in batches:
         ids, texts = batch.column("doc").to_pylist(), batch.column("text")
+        codes = batch.column("code").to_pylist()
         for at in range(0, len(ids), 1000):
-            rows = [(i, *page_features(t.as_py())) for i, t in zip(ids[at : at + 1000], texts[at : at + 1000], strict=True)]
+            rows = [(i, c, *page_features(t.as_py())) for i, c, t in zip(ids[at : at + 1000], codes[at : at + 1000], texts[at : at + 1000], strict=True)]
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def document_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of features per document with a text; ``lang`` is told by its letters."""
+def document_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """One row of features per document with a text; ``lang`` is told by its letters, or
+    by the column ``lang``, if there is one, where it names a language without a list."""
     ship_package(docs.sparkSession)
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    return chosen.mapInArrow(_scan, _FEATURES).withColumn("lang", F.when(F.col("cyrillic") >= 0.5, "ru").otherwise("en"))
+    code = F.lower(F.trim(F.col(lang).cast("string"))) if lang in docs.columns else F.lit(None).cast("string")
+    named = F.when(code.rlike("^[a-z]{2,3}$") & ~code.isin(*CODES), code).alias("code")
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), named).where("doc is not null and text is not null")
+    told = F.when(F.col("cyrillic") >= 0.5, "ru").otherwise("en")
+    # A list's words in one of ten places: the text is in the list's language, whatever the column says.
+    other = F.col("varied_hits") * 10 < F.col("words")
+    read = chosen.mapInArrow(_scan, _FEATURES).withColumn("lang", F.when(other, F.coalesce("code", told)).otherwise(told))
+    return read.withColumn("separator_density", F.col("separators") / F.greatest("words", F.lit(1)))
+
+
+def _listed_language() -> Column:
+    return F.col("lang").isin(*FUNCTION_WORDS)
+
+
+def _lacks_sentences() -> Column:
+    """Whether a page has too few function words, outside price rows, both in well-formed
+    sentences and in different places; without a list, too few words in well-formed
+    sentences. A page of price rows has no need of sentences."""
+    words = F.col("words") - F.col("row_words")
+    least = F.coalesce("rate", F.lit(0.0)) * PART_OF_RATE * words
+    few = F.when(_listed_language(), (F.col("good_hits") < least) & (F.col("varied_hits") < least)).otherwise(F.col("good_words") < words * MOST_SHARE)
+    return few & (F.col("row_words") <= F.col("words") * MOST_SHARE)
 
 
 def calibrate(features: DataFrame) -> DataFrame:
-    """(lang, rate): function words per word in all well-formed sentences of a language."""
+    """(lang, rate, most_...): function words per word in all well-formed sentences of a
+    language, and what its pages of sentences reach of each measure; null without any."""
     sums = features.groupBy("lang").agg(F.sum("good_hits").alias("hits"), F.sum("good_words").alias("of"))
-    return sums.select("lang", (F.col("hits") / F.greatest(F.col("of"), F.lit(1))).alias("rate"))
+    rates = materialise(sums.select("lang", (F.col("hits") / F.greatest(F.col("of"), F.lit(1))).alias("rate")))
+    # Of shares rounded to hundredths an exact percentile keeps a hundred counts.
+    own = features.join(broadcast_if_small(rates), "lang", "left").where((F.col("words") > 0) & (F.col("row_words") <= F.col("words") * MOST_SHARE) & ~_lacks_sentences())
+    most = own.groupBy("lang").agg(*[F.percentile(F.round(m, 2), F.lit(USUAL)).alias(f"most_{m}") for m in MEASURES])
+    return rates.join(broadcast_if_small(most), "lang", "left")
 
 
 def _spam_share() -> Column:
-    """Share of a document's words in links and units that are no sentences."""
+    """Share of a document's words in links, in units that are no sentences and, without
+    sentences on the page, in keywords."""
     limit = F.greatest(F.lit(1.0), F.round(F.coalesce("rate", F.lit(0.0)) * PART_OF_RATE / STEP)).cast("int")  # bins below it
     listed = F.aggregate(F.slice("by_bin", F.lit(1), F.least(limit, F.lit(BINS))), F.lit(0).cast("long"), lambda total, x: total + x)
     few = F.col("good_hits") < F.coalesce("rate", F.lit(0.0)) * PART_OF_RATE * F.col("good_words")
     keywords = F.when((F.col("repeated_triples") >= REPEATED_TRIPLES) & few, F.col("plain_words")).otherwise(0)
-    return (F.col("link_words") + listed + keywords) / F.greatest("words", F.lit(1))
+    by_units = F.when(_listed_language(), listed + keywords).otherwise(0)
+    often = F.col("top_word_share") * F.col("words") >= TOP_COUNT - 0.5
+    # Separators make lists only outside well-formed sentences.
+    apart = F.col("good_words") <= F.col("words") * MOST_SHARE
+    also = dict.fromkeys(MEASURES, F.lit(True)) | {"top_word_share": often, "separator_density": apart}
+    unusual = reduce(Column.__or__, [F.coalesce((F.col(m) > F.col(f"most_{m}")) & also[m], F.lit(False)) for m in MEASURES])
+    pages = F.when(unusual & _lacks_sentences(), F.col("words") - F.col("row_words")).otherwise(0)
+    return F.greatest(F.col("link_words") + by_units, pages) / F.greatest("words", F.lit(1))
 
 
-def score_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, lang, spam_share, link_share, separator_density, top_word_share,
     repeated_triples, repeated_units): one row per document with a text.
 
     A null text or id gives no row; an empty text has share 0. Repeated rows are scored
     each. Whole texts are read. Other columns are not.
     """
-    features = materialise(document_features(docs, doc_id, text))
+    features = materialise(document_features(docs, doc_id, text, lang))
     scored = features.join(broadcast_if_small(calibrate(features)), "lang", "left")
     words = F.greatest("words", F.lit(1))
     return scored.select(
@@ -201,14 +260,14 @@ def score_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "lang",
         F.round(_spam_share(), 6).alias("spam_share"),
         F.round(F.col("link_words") / words, 6).alias("link_share"),
-        F.round(F.col("separators") / words, 6).alias("separator_density"),
+        F.round("separator_density", 6).alias("separator_density"),
         F.round("top_word_share", 6).alias("top_word_share"),
         F.round("repeated_triples", 6).alias("repeated_triples"),
         F.round("repeated_units", 6).alias("repeated_units"),
     )
 
 
-def spam_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def spam_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id): documents of which more than half of the words belong to repeated
     keywords, lists of links or lists of tags."""
-    return score_pages(docs, doc_id, text).where(F.col("spam_share") > MOST_SHARE).select("doc_id").distinct()
+    return score_pages(docs, doc_id, text, lang).where(F.col("spam_share") > MOST_SHARE).select("doc_id").distinct()

@@ -67,3 +67,38 @@ def test_words_are_counted_once():
     for text in [*SPAM.values(), *CLEAN.values()]:
         n, links, by_bin, price_words, plain, *_ = page_features(text)
         assert links + sum(by_bin) + price_words + plain == n
+
+
+def _more(spark, texts):
+    data = [(i, t, lang) for i, (t, lang) in enumerate(texts.values())]
+    found = spam_pages(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    return sorted(list(texts)[r.doc_id] for r in found.collect())
+
+
+def test_shares_take_part_where_phrases_hold_function_words(spark):
+    towns = ["Ольшанский", "Лужанск", "Тихоборье", "Приветлужск"]
+    links = [f"{w} {k} {t} в каталог" for w in ("труба", "лист", "круг", "шина") for k in ("дёшево", "оптом", "цена") for t in towns]
+    random.shuffle(links)
+    sentences = PROSE.strip().split(". ")
+    texts = {
+        "navigation": (" | ".join(links), "ru"),
+        "lines": ("\n".join(x.capitalize() for x in links), None),
+        "thread": ("\n".join("> " * d + s.rstrip(".") + "." for d in (0, 1, 2, 3) for s in sentences), "ru"),
+        "forum": (PROSE + "\n" + "\n".join([sentences[0] + "."] * 6), "ru"),
+        "chat": (PROSE.lower().replace(". ", "\n"), "ru"),
+        **{f"prose{i}": (" ".join(random.sample(PROSE.replace(". ", ".|").split("|"), 5)), "ru") for i in range(20)},
+    }
+    assert _more(spark, texts) == ["lines", "navigation"]
+
+
+def test_languages_without_a_list(spark):
+    german = "Wir haben drei Angebote verglichen, aber der Preis blieb gleich. Nach dem Schneiden bleibt ein Rest, den man abholen kann. Das Lager meldet morgen neue Mengen. "
+    texts = {
+        "keywords": (" ".join(random.choices(["rohr kaufen", "blech preis", "stahl rohr"], k=60)), "de"),
+        "prose": (german * 2, "de"),
+        "notes": (german.replace(". ", "\n"), "de"),
+        "english": (SPAM["english"], "en"),
+        "wrong": (ENGLISH, "de"),
+        **{f"prose{i}": (german, "de") for i in range(5)},
+    }
+    assert _more(spark, texts) == ["english", "keywords"]
