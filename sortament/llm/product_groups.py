@@ -105,19 +105,25 @@ def product_tokens(offers: DataFrame, grades: DataFrame, aliases: DataFrame) ->
 
 
 def order_by_rarity(rows: DataFrame, most: int = 5) -> DataFrame:
-    """``rows`` with ``tokens`` sorted, the rarest first, and ``weights`` to match: the
-    logarithm of how many rows there are for each that has the token. The frequencies are
-    combined before they are shuffled; each token is looked up, not exploded and gathered."""
+    """``rows`` with ``tokens`` sorted, the rarest first, and ``counts`` to match: how many
+    rows there are that have the token. The frequencies are combined before they are
+    shuffled. Of sets of up to ``most`` tokens each token is looked up, not exploded and
+    gathered; larger ones, of any number of tokens, are exploded once per distinct set."""
     counts = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     counts = broadcast_if_small(materialise(counts), 2_000_000)
-    found = rows
+    others = [c for c in rows.columns if c != "tokens"]
+    found = rows.where(F.size("tokens") <= most)
     for i in range(most):
         at = counts.select(F.col("token").alias(f"_t{i}"), F.col("n").alias(f"_n{i}"))
         found = found.withColumn(f"_k{i}", F.get("tokens", F.lit(i))).join(at, F.col(f"_k{i}") == F.col(f"_t{i}"), "left")
     pairs = F.array(*[F.struct(F.col(f"_n{i}").alias("n"), F.col(f"_k{i}").alias("token")) for i in range(most)])
     ranked = F.array_sort(F.filter(pairs, lambda p: p["token"].isNotNull()))
-    ordered = found.withColumn("_r", ranked).select(*[c for c in rows.columns if c != "tokens"], F.col("_r.token").alias("tokens"), F.col("_r.n").alias("counts"))
-    return ordered
+    ordered = found.withColumn("_r", ranked).select(*others, F.col("_r.token").alias("tokens"), F.col("_r.n").alias("counts"))
+    large = rows.where(F.size("tokens") > most).withColumn("_set", F.array_join("tokens", "\n"))
+    each = large.select("_set", "tokens").distinct().select("_set", F.explode("tokens").alias("token")).join(counts, "token")
+    sets = materialise(each.groupBy("_set").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("_r")))  # one offer's tokens
+    longer = hot_key_join(large, sets, "_set").select(*others, F.col("_r.token").alias("tokens"), F.col("_r.n").alias("counts"))
+    return ordered.unionByName(longer)
 
 
 def _key(tokens: Column, size: Column) -> Column:

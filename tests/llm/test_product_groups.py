@@ -1,8 +1,9 @@
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
-from sortament.llm.product_groups import product_groups, product_pairs, product_tokens
+from sortament.llm.product_groups import order_by_rarity, product_groups, product_pairs, product_tokens
 from tests.conftest import rows
 
 OFFERS = "offer_id long, raw_description string, profile string, grade string, dim1 decimal(18,6), dim2 decimal(18,6), dim3 decimal(18,6), dim1_unit string, tokens string, whole string"
@@ -64,3 +65,18 @@ def test_incomplete_offers_join_the_star_that_contains_them(spark, tables):
 def test_empty_lists(spark, tables):
     none = tables[1].where("false"), tables[2].where("false")
     assert (8, 9) in rows(product_pairs(tables[0], *none))
+
+
+def test_every_token_counts(spark, tables):
+    four = [(30, "Уголок 93Г12Д7УГ 50х50х5 L=6000"), (31, "уголок 93г12д7уг L=6000 50x50x5"), (32, "Уголок 93Г12Д7УГ 50х50х5 L=12000"), (33, "Уголок 93Г12Д7УГ 50х50х5")]
+    five = [(40, "Лента 93Г12Д7УГ 50х50х5 40х20 L=6000"), (41, "лента 93Г12Д7УГ 50х50х5 40х20 L=6 м"), (42, "Лента 93Г12Д7УГ 50х50х5 40х30 L=6000")]
+    offers = spark.createDataFrame([(*r, *[None] * 6, "x", "y") for r in four + five], OFFERS)
+    assert rows(product_pairs(offers, *tables[1:])) == [(30, 31), (40, 41)]
+    assert {r.offer_id: r.group_id for r in product_groups(offers, *tables[1:]).collect()} == {30: 30, 31: 30, 32: 32, 33: 33, 40: 40, 41: 40, 42: 42}
+
+
+def test_large_sets_that_many_offers_share(spark):
+    many = spark.range(12_000).select("id", F.array(*[F.lit(t) for t in "abcdef"]).alias("tokens"))
+    few = spark.range(3).select("id", F.array(*[F.lit(t) for t in "abcdegh"]).alias("tokens"))
+    got = order_by_rarity(many.unionByName(few)).groupBy(F.array_join("tokens", "").alias("t"), "counts").count()
+    assert rows(got) == [("fabcde", [12_000] + [12_003] * 5, 12_000), ("ghabcde", [3, 3] + [12_003] * 5, 3)]
