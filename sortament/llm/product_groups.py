@@ -53,7 +53,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, (key, text, profile, typed, sizes) in enumerate(rows):
                 if i not in packed:
                     own, designation, stated = read_product(text) if text else (None, None, [])
-                    out.append((key, own or profile, designation, None if designation else typed, stated if len(stated) > 1 or not sizes else sizes))
+                    out.append((key, own or profile, designation, None if designation else typed, stated if len(stated) > 1 or len(stated) >= len(sizes or ()) else sizes))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()))
             columns = zip(*out, strict=True) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "profile", "designation", "typed", "sizes"])
@@ -75,7 +75,8 @@ def product_tokens(offers: DataFrame, grades: DataFrame, aliases: DataFrame) ->
 
     Tokens are the profile, the grade (the id of the canonical entry, an alias being its
     grade, or the folded designation of a grade outside the list) and the sizes in order.
-    An offer is complete with a profile, a grade and two sizes.
+    An offer is complete with a profile, a grade and a size: products may be sold by one
+    size, so fewer sizes make another product and are no missing attribute.
     """
     ship_package(offers.sparkSession)
     profile = F.upper(F.trim("profile"))
@@ -100,7 +101,7 @@ def product_tokens(offers: DataFrame, grades: DataFrame, aliases: DataFrame) ->
     grade = F.coalesce(F.concat(F.lit("g="), "entry"), F.concat(F.lit("n="), "token"))
     sizes = F.transform("sizes", lambda v, i: F.concat((i + 1).cast("string"), F.lit("="), v.cast("string")))
     tokens = F.concat(F.filter(F.array(F.concat(F.lit("p="), "profile"), grade), lambda t: t.isNotNull()), sizes)
-    complete = F.col("profile").isNotNull() & grade.isNotNull() & (F.size("sizes") >= 2)
+    complete = F.col("profile").isNotNull() & grade.isNotNull() & (F.size("sizes") >= 1)
     return whole.select("id", tokens.alias("tokens"), F.coalesce(complete, F.lit(False)).alias("complete"))
 
 
@@ -135,7 +136,8 @@ def attach_incomplete(rows: DataFrame) -> DataFrame:
     """(lacking, whole): for each incomplete set of tokens the complete set to whose star
     it belongs. It must contain the incomplete one wholly and be one token larger; of
     several, that in which the contained tokens weigh most, then the first by its tokens.
-    Sets of fewer than PREFIX tokens say too little and stay alone."""
+    Sets of fewer than PREFIX tokens say too little and get no star, nor do those that no
+    complete set contains: what they lack may differ."""
     lacking = rows.where(~F.col("complete") & (F.size("tokens") >= PREFIX)).select(F.col("tokens").alias("lacking")).distinct()
     lacking = materialise(lacking.withColumn("key", _key(F.col("lacking"), F.size("lacking"))))
     wholes = rows.where("complete").select(F.col("tokens").alias("whole"), F.col("counts").alias("counts"))

@@ -80,3 +80,12 @@ def test_large_sets_that_many_offers_share(spark):
     few = spark.range(3).select("id", F.array(*[F.lit(t) for t in "abcdegh"]).alias("tokens"))
     got = order_by_rarity(many.unionByName(few)).groupBy(F.array_join("tokens", "").alias("t"), "counts").count()
     assert rows(got) == [("fabcde", [12_000] + [12_003] * 5, 12_000), ("ghabcde", [3, 3] + [12_003] * 5, 3)]
+
+
+def test_products_of_one_size(spark, tables):
+    texts = [(50, "Круг 93Г12Д7УГ ф20"), (51, "круг 93г12д7уг 20 мм"), (52, "Круг 93Г12Д7УГ ф20 L=6000"), (53, "круг 93г12д7уг 6 м ф20"), (54, "круг 93Г12Д7УГ ф25"), (55, "ф20 L=6000 93г12д7уг")]
+    alone = [(56, "93Г12Д8УГ ф20 L=6000"), (57, "93Г12Д8УГ L=6 м ф20")]  # of unknown profiles
+    offers = [(*r, *[None] * 6, "x", "y") for r in texts + alone]
+    offers.append((58, "круг 93г12д7уг 20 мм", None, None, D(25), None, None, "MM", "x", "y"))  # the text wins
+    got = rows(product_pairs(spark.createDataFrame(offers, OFFERS), *tables[1:]))
+    assert got == [(50, 51), (50, 58), (51, 58), (52, 53), (52, 55), (53, 55)]
