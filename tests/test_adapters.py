@@ -51,6 +51,13 @@ def test_names(spark):
     assert rows(find_names(df, "key", "t", names)) == [(1, 2, 2, "g1"), (1, 4, 2, "g2"), (1, 6, 1, "g3"), (4, 1, 3, "g0")]
 
 
+def test_names_of_many_parts(spark):
+    names = spark.createDataFrame([("g1", "AB CD EF GH 7"), ("g2", "БрБ2"), ("g3", "CD")], "name_id string, name string")
+    df = spark.createDataFrame([(1, "лист ab-cd/ef gh 7; cd"), (2, "б р б 2"), (3, "a b c d e f g h 7")], "key long, t string")
+    assert rows(find_names(df, "key", "t", names)) == [(1, 2, 5, "g1"), (1, 7, 1, "g3"), (2, 1, 4, "g2"), (3, 1, 9, "g1")]
+    assert find_names(df, "key", "t", names.where("false")).count() == 0
+
+
 def test_attributes(spark):
     df = spark.createDataFrame([("Лом гр.Б26 (м/лом, кусок) 12Х18Н10Т",), ("Сетка П32 шир. 1,5",), (None,)], "t string")
     scrap = [tuple(r[0]) for r in df.select(attributes.scrap_attributes(F.col("t"))).collect()]
