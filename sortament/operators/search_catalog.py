@@ -55,7 +55,10 @@ def grade_tiers(query_grades: DataFrame, item_grades: DataFrame, grades: DataFra
     same_start = (F.substring("qk", 1, 2) == F.substring("spelling", 1, 2)).cast("double")
     bound = 0.82 * (1 - edits / (a + b)) + 0.15 * F.least(a, b) / F.greatest(a, b) + 0.03 * same_start
     # The queries are few; each meets the distinct spellings, not the items.
-    pairs = spelled.join(broadcast_if_small(q.select("query_grade", "qk").distinct(), 10_000), F.abs(F.length("qk") - F.length("spelling")) <= F.length("qk"))
+    # Edits are at least the difference of the lengths, so these bound the bound.
+    reach = 0.82 * 2 * F.least(a, b) / (a + b) + 0.15 * F.least(a, b) / F.greatest(a, b) + 0.03
+    asked = q.where("qk <> ''").select("query_grade", "qk").distinct()
+    pairs = spelled.where("spelling <> ''").join(broadcast_if_small(asked, 10_000), reach >= threshold - 1e-9)
     pairs = pairs.where(bound >= threshold - 1e-9).join(known.select("query_grade", "item_grade"), ["query_grade", "item_grade"], "left_anti")
     scored = pairs.withColumn("s", fuzzy_similarity("qk", "spelling")).where(F.col("s") >= threshold)
     best = scored.groupBy("query_grade", "item_grade").agg(F.max("s").alias("s"))

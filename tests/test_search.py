@@ -101,6 +101,12 @@ def test_alias_relation_and_fuzzy(spark, lists):
     assert search(spark, ("ЛИСТ", "БРБ2", (None, None, None)), data, lists) == []
 
 
+def test_low_thresholds_reach_longer_spellings(spark, lists):
+    data = [(1, "КРУГ", "304LABCDE", ("20", None, None), None)]
+    assert search(spark, ("КРУГ", "304L", ("20", None, None)), data, lists, threshold=0.55) == [(1, "FUZZY", True, False)]
+    assert search(spark, ("КРУГ", "304L", ("20", None, None)), data, lists) == search(spark, ("КРУГ", "-", ("20", None, None)), data, lists, threshold=0.0) == []
+
+
 def test_tie_and_units(spark, lists):
     data = [(1, "ОТВОД", "AISI 304L", ("168", None, None), None), (2, "ОТВОД", "AISI 904L", ("168", None, None), None)]
     assert search(spark, ("ОТВОД", "AISI 04L", ("168", None, None)), data, lists, threshold=0.7) == [(1, "FUZZY", True, True), (2, "FUZZY", True, True)]
