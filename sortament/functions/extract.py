@@ -8,27 +8,28 @@ from __future__ import annotations
 
 import re
 
-# Profiles and how their names begin.
-PROFILES = {
-    "лент": "ЛЕНТА", "лист": "ЛИСТ", "плит": "ПЛИТА", "поков": "ПОКОВКА", "полос": "ПОЛОСА", "шин": "ШИНА",
-    "труб": "ТРУБА", "втул": "ВТУЛКА", "круг": "КРУГ", "квадрат": "КВАДРАТ", "шестигранник": "ШЕСТИГРАННИК",
-    "проволок": "ПРОВОЛОКА", "прут": "ПРУТОК", "анод": "АНОД", "уголок": "УГОЛОК", "швеллер": "ШВЕЛЛЕР",
-}
+from sortament.functions.profiles import FORM_STEMS, WORD_ENDINGS
 
 # Micrometres in a unit.
 MICROMETRES = {
     "мм": 1e3, "mm": 1e3, "см": 1e4, "cm": 1e4, "м": 1e6, "m": 1e6, "дюйм": 25400.0, "in": 25400.0, "inch": 25400.0,
 }
 
-_PROFILE = re.compile(rf"(?<!\w)({'|'.join(PROFILES)})(?:а|и|ы|у|к|ка|ки|ок)?(?!\w)")
-_NOISE = re.compile(r"(?<!\w)стп\s*\d+-\d+|(?<![\w-])\d+\s+дн(?:ей|я|ь|\.)?(?!\w)")
+# Bodies whose standards are cited with a number, and words of a time of delivery.
+STANDARDS = ("гост", "ост", "ту", "стп", "сто", "din", "astm", "asme", "iso", "en", "ams")
+DELIVERY = r"(?:дн(?:ей|я|ь)?|недел[ьяию]|нед|мес(?:яц\w*)?|days?|weeks?)"
+
+_PROFILE = re.compile(rf"(?<!\w)({'|'.join(FORM_STEMS)}){WORD_ENDINGS}(?!\w)")
+_NOISE = re.compile(rf"(?<!\w)(?:{'|'.join(STANDARDS)})\s*(?:р\s*)?\d[\d.–-]*\d(?![\w-])|(?<![\w-])\d+(?:-\d+)?\s+{DELIVERY}\.?(?!\w)")
 _NUM = r'(?:\d+\.\d+/\d+"|\d+/\d+"|\d+"|\d+(?:[.,]\d+)?)'
 _BY = r"\s*[xх×*]\s*"
 _SIZE = re.compile(
     rf"(?<![\w.,/-])(?:(s|l|раскрой|длина|дл|диам|сторона|ф|ø|d)(?:\.|=|\s)*\s*)?({_NUM}(?:{_BY}{_NUM}){{0,2}})\s*(мм|mm|см|cm|м|m)?(?![\w/-]|[.,]\d)"
 )
 _SPLIT = re.compile(_BY)
-_GRADE = re.compile(r"(?<!\w)(?:[a-z]{5}\d\d/\d\d|[a-z]{5}\s+\d{3}[a-z]|[a-z]{2}-\d{5}-[a-z]|\w*\d\w*[а-яёa-z][\w-]*|[а-яёa-z]+\d[\w-]*)(?!\w)")
+#: A designation: a name with a number and letter after a space, or a run of letters and
+#: digits, both at least once, with parts after a hyphen or, between digits, a slash.
+_GRADE = re.compile(r"(?<!\w)(?:[a-z]{3,}\s+\d{2,}[a-z]|(?=[\w-]*\d)(?=[\d_-]*[^\W\d_])\w+(?:-\w+|(?<=\d)/\d+)*)(?!\w)")
 
 
 def _micrometres(number: str, unit: str | None) -> int:
@@ -67,4 +68,4 @@ def read_product(text: str) -> tuple[str | None, str | None, list[int]]:
     if length is not None:
         sizes.append(length)
     grade = _GRADE.search(_SIZE.sub(" ", plain))
-    return PROFILES[named[1]] if named else None, grade[0] if grade else None, sizes
+    return FORM_STEMS[named[1]] if named else None, grade[0] if grade else None, sizes

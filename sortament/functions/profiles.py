@@ -17,6 +17,10 @@ PROFILE_STEMS = {
     "ГАЙКА": ("гайк",), "ШАЙБА": ("шайб",), "ШПИЛЬКА": ("шпильк",), "ЭЛЕКТРОД": ("электрод",), "ЗАГОТОВКА": ("заготовк",),
     "СЛИТОК": ("слит",), "ШИХТА": ("шихт",), "ЛОМ": ("лом",),
 }
+# Further words that name a form of goods in price lists.
+OTHER_FORM_STEMS = {"БАЛКА": ("балк",), "ПРОФИЛЬ": ("профил",), "ШТРИПС": ("штрипс",), "РУЛОН": ("рулон",)}
+# How the words of a profile end.
+WORD_ENDINGS = r"(?:[аеиоуыйяь]|о?к[аи]?|ник[аи]?|н?ец|н?ц[аыу]|ок|ов|ев|ей|ам[иь]?)?"
 # Round bars go by either name in a search.
 ROUND_BARS = ("КРУГ", "ПРУТОК")
 UNKNOWN_PROFILE = "НЕ ОПРЕДЕЛЁН"
@@ -27,6 +31,12 @@ MATERIALS = {
 }
 _LETTER = "[0-9A-Za-zА-Яа-яЁё]"
 
+#: Every beginning of a word that names a form, longest first, with the form's name.
+FORM_STEMS = {
+    stem: name
+    for stem, name in sorted(((s, n) for n, stems in {**PROFILE_STEMS, **OTHER_FORM_STEMS}.items() for s in stems), key=lambda x: (-len(x[0]), x[0]))
+}
+
 
 def _begins(text: Column, stem: str) -> Column:
     return text.rlike(rf"(?<!{_LETTER}|_){stem}")

@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortament.session import shuffle_width
+from sortament.session import is_table, materialise, shuffle_width
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unchanged,
-    so that the join shuffles. The count stops after one row more than the bound."""
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+#: Rows and bytes up to which a side is broadcast.
+MAX_ROWS, MAX_BYTES = 100_000, 32 << 20
+
+
+def measured(df: DataFrame, max_rows: int) -> tuple[int, int]:
+    """Rows and bytes (as text) of ``df``, counted no further than one row more than the bound."""
+    one = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(one.cast("long"))).first()
+    return row[0], row[1] or 0
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows of ``max_bytes`` in
+    all, else without, so that the join shuffles. What isn't a written table yet is
+    written first, so that measuring doesn't run it a second time."""
+    table = df if is_table(df) else materialise(df)
+    rows, size = measured(table, max_rows)
+    return F.broadcast(table) if rows <= max_rows and size <= max_bytes else table
 
 
 def hot_key_join(left: DataFrame, right: DataFrame, key: str, *, share: int | None = None) -> DataFrame:

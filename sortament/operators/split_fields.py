@@ -18,15 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sortament.functions.profiles import FORM_STEMS
 from sortament.functions.text import CYRILLIC_TWINS, LATIN_TWINS
 from sortament.session import ship_package
 
-# Beginnings of the words that name a profile.
-PROFILE_STEMS = (
-    "лент", "лист", "плит", "поков", "полос", "шин", "труб", "втул", "круг", "квадрат", "шестигран", "проволок",
-    "прут", "уголок", "уголк", "швеллер", "балк", "анод", "катод", "фольг", "сетк", "отвод", "фланец", "фланц", "болт", "гайк", "электрод", "профил", "штрипс", "рулон", "заготовк",
-)
-
 # Signs that may stand between two values.
 DELIMITERS = "|/+;•,\t\n\r"
 SPACES = " \u00a0\u202f\u2009"
@@ -40,7 +35,7 @@ class Format:
     """How fields are packed: the delimiters, and how a value begins."""
 
     delimiters: str = DELIMITERS
-    starts: tuple[str, ...] = PROFILE_STEMS
+    starts: tuple[str, ...] = tuple(FORM_STEMS)
 
 
 @lru_cache(maxsize=8)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -33,13 +34,18 @@ def build_session(app: str = "sortament", master: str | None = None, **conf: str
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the session's ``spark.checkpoint.dir``, which all
-    executors share. Only where that is unset (tests on one machine) a temporary
-    folder is made."""
+    executors share. Where that is unset and the master is this one process (tests) a
+    temporary folder is made, once; on any other master this raises, as executors would
+    each write to a disk of their own."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="sortament-checkpoint-")
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {context.master} share")
+    if context.applicationId not in _OWN_FOLDERS:
+        _OWN_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="sortament-checkpoint-")
+    return _OWN_FOLDERS[context.applicationId]
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -48,12 +54,26 @@ def materialise(df: DataFrame) -> DataFrame:
     Unlike ``DataFrame.checkpoint`` the result has statistics, so Spark knows the size of
     what it joins, and none of the constraints of its origin, which grow with every round
     of a loop. Lost executors cost only their own tasks. The session's tables are deleted
-    when its driver ends.
+    when its driver ends, or before by ``discard``.
     """
     spark = df.sparkSession
     path = f"{_table_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._sortament_path = path
+    return table
+
+
+def is_table(df: DataFrame) -> bool:
+    """Whether ``df`` is a written table as ``materialise`` returns it."""
+    return getattr(df, "_sortament_path", None) is not None
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing will read any more."""
+    for table in tables:
+        if is_table(table):
+            _remove(table.sparkSession, table._sortament_path)
 
 
 def _table_folder(spark: SparkSession) -> str:
@@ -65,6 +85,7 @@ def _table_folder(spark: SparkSession) -> str:
 
 
 _FOLDERS: set[str] = set()
+_OWN_FOLDERS: dict[str, str] = {}  # by application
 
 
 def _remove(spark: SparkSession, folder: str) -> None:

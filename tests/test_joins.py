@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from sortament.operators.joins import broadcast_if_small, hot_key_join
+from sortament.operators.joins import broadcast_if_small, hot_key_join, measured
+from sortament.session import is_table, materialise
 
 
 def test_hot_keys_keep_all_rows(spark):
@@ -22,3 +23,13 @@ def test_broadcast_is_checked(spark):
     small, large = broadcast_if_small(spark.range(5), 5), broadcast_if_small(spark.range(6), 5)
     assert "ResolvedHint" in small._jdf.queryExecution().logical().toString() or "hint" in small._jdf.queryExecution().logical().toString().lower()
     assert "hint" not in large._jdf.queryExecution().logical().toString().lower()
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+
+    few = materialise(spark.range(100).selectExpr("id", "repeat('x', 1000) AS text"))
+    assert measured(few, 1000)[0] == 100 and measured(few, 1000)[1] > 100_000 and measured(few, 50)[0] == 51
+    assert hinted(broadcast_if_small(few)) and not hinted(broadcast_if_small(few, max_rows=99)) and not hinted(broadcast_if_small(few, max_bytes=50_000))
+    assert is_table(broadcast_if_small(spark.range(9), max_rows=1))
