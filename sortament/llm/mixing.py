@@ -3,13 +3,15 @@
 Every document gets its size in tokens, the posterior of each domain from a classifier
 trained on labelled documents, and a rate: how often it is expected to be used. Rates
 minimise the squared distance between the domains' expected token totals and their
-targets, with 0 <= rate <= the document's cap, by projected gradient steps. A step needs
-one sum per domain over all documents; a document's rate is folded from the few residuals
-so far, so no state is written between steps.
+targets, with 0 <= rate <= the document's cap, by projected gradient steps. Documents of
+one membership and cap move alike, so the steps run over those kinds with their tokens;
+labelled documents make one kind a domain. A step is one sum per domain inside the JVM; a
+kind's rate is folded from the few residuals so far, so nothing is written between steps.
 
-A labelled document belongs to its source for certain: its membership is its label, and
-the classifier's posterior stands in where the source is null. The statement wants shares
-by source, which posteriors of labelled documents would blur.
+With ``labels`` a labelled document belongs to its source for certain: its membership is
+its label, and the classifier's posterior stands in where the source is null. The statement
+wants shares by source, which posteriors of labelled documents blur; without ``labels`` all
+memberships are posteriors.
 
 Rates become whole copies by a threshold on a hash of the id, set per source from a
 histogram of all documents, so that the total comes as near to the target as documents of
@@ -26,7 +28,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sortament.operators.joins import broadcast_if_small
@@ -101,17 +103,22 @@ def _ship_vocabulary(docs: DataFrame, vocabulary: str) -> str:
     return Path(vocabulary).name
 
 
+def _sampled(labelled: DataFrame, per_source: int) -> Column:
+    """Whether a document's hash puts it into the sample of its source."""
+    sizes = {r["source"]: r["n"] for r in labelled.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a domain
+    part = F.lit(0.0)
+    for source, n in sizes.items():
+        part = F.when(F.col("source") == source, min(1.0, per_source / n)).otherwise(part)
+    return F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_003)) < part * 1_000_003
+
+
 def fit_domains(docs: DataFrame, domains: tuple[str, ...], *, per_source: int = SAMPLE_PER_SOURCE, vocabulary: str = VOCABULARY) -> DomainClassifier:
     """A classifier fitted on a sample of ``per_source`` labelled documents of each
     domain in expectation, chosen by a hash of the id; fewer where there are fewer. The
     driver gets the sample's hashed token counts, a bounded amount."""
     name = _ship_vocabulary(docs, vocabulary)
     labelled = docs.where(F.col("source").isin(*domains) & F.col("text").isNotNull())
-    sizes = {r["source"]: r["n"] for r in labelled.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a domain
-    part = F.lit(0.0)
-    for source, n in sizes.items():
-        part = F.when(F.col("source") == source, min(1.0, per_source / n)).otherwise(part)
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_003)) < part * 1_000_003)
+    chosen = labelled.where(_sampled(labelled, per_source))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,32 +144,40 @@ def measure(docs: DataFrame, classifier: DomainClassifier, *, vocabulary: str =
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids = _encoder(name).encode_ordinary_batch([t or "" for t in part.column("text").to_pylist()], num_threads=1)
-                found = classifier.posteriors(np.stack([_token_counts(x) for x in ids]))
+                found = classifier.posteriors(np.stack([_token_counts(x) for x in ids])).astype(float)
+                n, k = found.shape
+                posterior = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(found.ravel()))
                 arrays = [part.column("doc_id"), part.column("source"), pa.array([len(x) for x in ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found.astype(float).tolist(), pa.list_(pa.float64()))], ["doc_id", "source", "tokens", "posterior"])
+                yield pa.RecordBatch.from_arrays([*arrays, posterior], ["doc_id", "source", "tokens", "posterior"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     return chosen.mapInArrow(run, "doc_id bigint, source string, tokens bigint, posterior array<double>")
 
 
-def _rates(member: np.ndarray, cap: np.ndarray, history: list[list[float]]) -> np.ndarray:
-    """Rates after the steps of ``history``: each moves every document against its
-    domains' residuals (as a part of the domain's size) and projects into [0, cap]."""
-    rate = np.minimum(1.0, cap)
-    for residual in history:
-        rate = np.clip(rate - member @ np.asarray(residual), 0.0, cap)
-    return rate
+def held_out_accuracy(docs: DataFrame, domains: tuple[str, ...], *, per_source: int = SAMPLE_PER_SOURCE, vocabulary: str = VOCABULARY) -> tuple[float, int]:
+    """(accuracy, documents): how often the likeliest domain is the source, over the
+    labelled documents that the classifier wasn't fitted on."""
+    classifier = fit_domains(docs, domains, per_source=per_source, vocabulary=vocabulary)
+    labelled = docs.where(F.col("source").isin(*domains) & F.col("text").isNotNull())
+    others = labelled.where(~_sampled(labelled, per_source))
+    names = F.array(*[F.lit(d) for d in domains])
+    likeliest = F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1)
+    row = measure(others, classifier, vocabulary=vocabulary).agg(F.avg((likeliest == F.col("source")).cast("double")), F.count(F.lit(1))).first()
+    return row[0] or 0.0, row[1]
 
 
-def _with_rates(sized: DataFrame, history: list[list[float]]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                member = np.array(batch.column("member").to_pylist())
-                rate = _rates(member, batch.column("cap").to_numpy(), history)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"])
+def _rate(history: list[list[float]]) -> Column:
+    """The rate of a (member, cap) after the steps of ``history``: each moves it against its
+    domains' residuals (as a part of the domain's size) and projects it into [0, cap]."""
+
+    def step(rate: Column, residual: Column) -> Column:
+        slope = F.aggregate(F.zip_with("member", residual, lambda m, r: m * r), F.lit(0.0), lambda a, x: a + x)
+        return F.greatest(F.lit(0.0), F.least("cap", rate - slope))
 
-    return sized.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sized.schema.fields) + ", rate double")
+    start = F.least(F.lit(1.0), F.col("cap"))
+    if not history:
+        return start
+    return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in h]) for h in history]), start, step)
 
 
 @dataclass(frozen=True)
@@ -176,13 +191,13 @@ class Mixture:
     total: int
 
 
-def mix(docs: DataFrame, targets: DataFrame, *, vocabulary: str = VOCABULARY, classifier: DomainClassifier | None = None) -> Mixture:
+def mix(docs: DataFrame, targets: DataFrame, *, vocabulary: str = VOCABULARY, classifier: DomainClassifier | None = None, labels: bool = True) -> Mixture:
     """The mixture of ``docs`` (doc_id, source, text) that takes ``targets`` (source,
     target_share, max_repeats) of the corpus's size in tokens.
 
     A source that can't reach its share at ``max_repeats`` is used that often and falls
     short. Documents of a source without target are not used; those without source are
-    by their posteriors, capped by their likeliest domain. Null texts and ids are not
+    by their posteriors, capped by their likeliest domain. ``labels``: see above. Null texts and ids are not
     used. A repeated row is a document of its own. Empty documents or targets give no
     copies. Targets are a handful of rows and are collected.
     """
@@ -197,28 +212,30 @@ def mix(docs: DataFrame, targets: DataFrame, *, vocabulary: str = VOCABULARY, cl
     names, caps = F.array(*[F.lit(d) for d in domains]), F.array(*[F.lit(float(w[2])) for w in wanted])
     own = F.array_position(names, F.col("source"))
     label = F.array(*[F.when(own == i + 1, 1.0).otherwise(0.0) for i in range(k)])
-    member = F.when(F.col("source").isNull(), F.col("posterior")).otherwise(label)
+    member = F.when(F.col("source").isNull(), F.col("posterior")).otherwise(label) if labels else F.col("posterior")
     likeliest = F.array_position("member", F.array_max("member"))
     sized = measured.withColumn("member", member).withColumn("at", F.when(F.col("source").isNull(), likeliest).otherwise(own).cast("int"))
     sized = sized.select("doc_id", "tokens", "member", F.when(F.col("at") > 0, F.get(names, F.col("at") - 1)).alias("domain"), F.coalesce(F.get(caps, F.col("at") - 1), F.lit(0.0)).alias("cap"))
     sized = materialise(sized.withColumn("cap", F.when(F.col("tokens") > 0, F.col("cap")).otherwise(0.0)))
 
-    def sums(df: DataFrame, weight) -> list[float]:
-        row = df.agg(*[F.sum(weight * F.get("member", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
-        return [x or 0.0 for x in row]
+    kinds = materialise(sized.where("cap > 0").groupBy("member", "cap").agg(F.sum("tokens").alias("tokens")))
+
+    def sums(rate: Column) -> np.ndarray:
+        row = kinds.agg(*[F.sum(F.col("tokens") * rate * F.get("member", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
+        return np.array([x or 0.0 for x in row])
 
     total = measured.agg(F.sum("tokens")).first()[0] or 0
-    sizes = np.maximum(sums(sized.where("cap > 0"), F.col("tokens")), 1.0)
+    sizes = np.maximum(sums(F.lit(1.0)), 1.0)
     goal = np.array(shares) * total
     history: list[list[float]] = []
     before = None
     for _ in range(MAX_STEPS):
-        reached = np.array(sums(_with_rates(sized, history), F.col("tokens") * F.col("rate")))
+        reached = sums(_rate(history))
         if before is not None and np.abs(reached - before).max() <= SETTLED * max(total, 1):
             break
         before = reached
         history.append(((reached - goal) / sizes).tolist())
-    return Mixture(_copies(_with_rates(sized, history), goal, domains), domains, shares, total)
+    return Mixture(_copies(sized.withColumn("rate", _rate(history)), goal, domains), domains, shares, total)
 
 
 def _copies(rated: DataFrame, goal: np.ndarray, domains: tuple[str, ...]) -> DataFrame:

@@ -2,15 +2,16 @@
 
 Each offer becomes a small set of normalised tokens: its profile, its grade and its
 sizes in micrometres. Words that don't tell products apart (selling phrases, standards,
-conditions) have weight 0 and are left out. Tokens are ordered by rarity and offers are
-joined on a prefix of that order: two sets that contain each other agree on their rarest
-tokens, so only offers with the same PREFIX rarest tokens and the same number of tokens
-meet (the prefix, position and length filters in one key), and each candidate pair is
-verified exactly. Containment must be complete, so weights don't change whether a pair
-holds; they decide to which star an incomplete offer goes.
-
-Offers that lack an attribute are attached to the star of the complete product whose set
-contains theirs, by the same join with one token skipped, before pairs are formed.
+conditions) have weight 0 and are left out; the others weigh the more the rarer they are.
+
+Offers with equal sets contain each other and are one node; the similarity join is over
+the distinct sets. A set that lacks an attribute is looked for in the larger ones by its
+prefix, the rarest tokens that it can't all miss at the wanted containment; candidates
+must pass the length filter (they may not weigh so much more that the lacking set would
+cover too little of them) and the positional filter (what follows the first common token
+must be enough on both sides), and containment by weight is then verified exactly. Star
+clustering makes every set that lacks nothing a centre; a lacking set becomes a satellite
+of the centre it covers most, or, where there is none, a centre of its own.
 """
 
 from __future__ import annotations
@@ -25,13 +26,18 @@ from pyspark.sql import functions as F
 
 from sortament.functions.extract import MICROMETRES, read_product
 from sortament.functions.text import compact_key, strip_material
-from sortament.llm.canonical_values import UNKNOWN_GRADE, grade_entries, repair_tokens, vocabulary
+from sortament.llm.canonical_values import MAX_EDITS, UNKNOWN_GRADE, grade_entries, repair_values, vocabulary
 from sortament.operators.joins import broadcast_if_small, hot_key_join
 from sortament.operators.split_fields import CHUNK, split_texts
 from sortament.session import materialise, ship_package
 
-#: So many of the rarest tokens make the join's key.
-PREFIX = 3
+#: This part of a set's weight must be in the set that contains it: all of it, as one
+#: other size or grade makes another product.
+CONTAINMENT = 1.0
+#: A satellite states at least this part of its centre's weight.
+LEAST_COVER = 0.5
+#: Pairs of members of a star are formed in blocks of about so many members a side.
+BLOCK = 1_000
 
 # Fixed value: profiles that say there is none.
 NO_PROFILE = ("НЕ УКАЗАН", "НЕ ОПРЕДЕЛЁН")
@@ -94,8 +100,8 @@ def product_tokens(offers: DataFrame, grades: DataFrame, aliases: DataFrame) ->
     looked = materialise(read.withColumn("token", token).join(broadcast_if_small(by_token), "token", "left"))
     # A designation in a text is as it is; typed ones may have wrong characters.
     doubtful = F.col("entry").isNull() & F.col("typed").isNotNull()
-    values = looked.where(doubtful).select(F.col("typed").alias("value"), "token").distinct()
-    repaired = materialise(repair_tokens(values, known)).withColumnRenamed("entry_id", "repaired").withColumnRenamed("value", "typed")
+    values = looked.where(doubtful).select("typed", "token").distinct().select(F.col("typed").alias("value"), F.array("token").alias("tokens"))
+    repaired = materialise(repair_values(values, known, max_edits=MAX_EDITS, part_of_length=None, least_score=None).toDF("typed", "repaired"))
     mended = hot_key_join(looked.where(doubtful), repaired, "typed").withColumn("entry", F.col("repaired")).select(*looked.columns)
     whole = looked.where(~doubtful).unionByName(mended)
     grade = F.coalesce(F.concat(F.lit("g="), "entry"), F.concat(F.lit("n="), "token"))
@@ -105,89 +111,109 @@ def product_tokens(offers: DataFrame, grades: DataFrame, aliases: DataFrame) ->
     return whole.select("id", tokens.alias("tokens"), F.coalesce(complete, F.lit(False)).alias("complete"))
 
 
-def order_by_rarity(rows: DataFrame, most: int = 5) -> DataFrame:
-    """``rows`` with ``tokens`` sorted, the rarest first, and ``counts`` to match: how many
-    rows there are that have the token. The frequencies are combined before they are
-    shuffled. Of sets of up to ``most`` tokens each token is looked up, not exploded and
-    gathered; larger ones, of any number of tokens, are exploded once per distinct set."""
-    counts = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    counts = broadcast_if_small(materialise(counts), 2_000_000)
-    others = [c for c in rows.columns if c != "tokens"]
-    found = rows.where(F.size("tokens") <= most)
-    for i in range(most):
-        at = counts.select(F.col("token").alias(f"_t{i}"), F.col("n").alias(f"_n{i}"))
-        found = found.withColumn(f"_k{i}", F.get("tokens", F.lit(i))).join(at, F.col(f"_k{i}") == F.col(f"_t{i}"), "left")
-    pairs = F.array(*[F.struct(F.col(f"_n{i}").alias("n"), F.col(f"_k{i}").alias("token")) for i in range(most)])
-    ranked = F.array_sort(F.filter(pairs, lambda p: p["token"].isNotNull()))
-    ordered = found.withColumn("_r", ranked).select(*others, F.col("_r.token").alias("tokens"), F.col("_r.n").alias("counts"))
-    large = rows.where(F.size("tokens") > most).withColumn("_set", F.array_join("tokens", "\n"))
-    each = large.select("_set", "tokens").distinct().select("_set", F.explode("tokens").alias("token")).join(counts, "token")
-    sets = materialise(each.groupBy("_set").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("_r")))  # one offer's tokens
-    longer = hot_key_join(large, sets, "_set").select(*others, F.col("_r.token").alias("tokens"), F.col("_r.n").alias("counts"))
-    return ordered.unionByName(longer)
-
-
-def _key(tokens: Column, size: Column) -> Column:
-    """Join key: the PREFIX rarest tokens and the number of tokens of the set."""
-    return F.xxhash64(F.array_join(F.slice(tokens, 1, PREFIX), " "), size)
-
-
-def attach_incomplete(rows: DataFrame) -> DataFrame:
-    """(lacking, whole): for each incomplete set of tokens the complete set to whose star
-    it belongs. It must contain the incomplete one wholly and be one token larger; of
-    several, that in which the contained tokens weigh most, then the first by its tokens.
-    Sets of fewer than PREFIX tokens say too little and get no star, nor do those that no
-    complete set contains: what they lack may differ."""
-    lacking = rows.where(~F.col("complete") & (F.size("tokens") >= PREFIX)).select(F.col("tokens").alias("lacking")).distinct()
-    lacking = materialise(lacking.withColumn("key", _key(F.col("lacking"), F.size("lacking"))))
-    wholes = rows.where("complete").select(F.col("tokens").alias("whole"), F.col("counts").alias("counts"))
-    few = broadcast_if_small(lacking)
-    # Without any one of its first tokens, a complete set has the prefix of the set that lacks it.
-    skips = F.array(*[F.struct(F.concat(F.slice("whole", 1, i), F.slice("whole", i + 2, PREFIX)).alias("rest")) for i in range(PREFIX + 1)])
-    probes = wholes.select("whole", "counts", F.explode(skips).alias("skip")).withColumn("key", _key(F.col("skip.rest"), F.size("whole") - 1))
-    met = probes.join(few, "key").where(F.size(F.array_except("lacking", "whole")) == 0).select("lacking", "whole", "counts").distinct()
-    share = F.aggregate(
-        F.arrays_zip("whole", "counts"),
-        F.lit(0.0),
-        lambda total, x: total + F.when(F.array_contains("lacking", x["whole"]), 1 / F.log1p(x["counts"].cast("double"))).otherwise(0.0),
-    )
-    scored = met.withColumn("weight", F.round(share, 9))
-    return scored.groupBy("lacking").agg(F.min_by("whole", F.struct(-F.col("weight"), F.array_join("whole", " "))).alias("whole"))
-
-
-def product_sets(offers: DataFrame, grades: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(id, tokens): the ordered token set of each offer whose product is known."""
-    rows = order_by_rarity(product_tokens(offers, grades, aliases))
-    rows = materialise(rows)
-    stars = materialise(attach_incomplete(rows))
-    lacking = rows.where(~F.col("complete")).select("id", F.col("tokens").alias("lacking"))
-    attached = lacking.join(broadcast_if_small(stars), "lacking").select("id", F.col("whole").alias("tokens"))
-    return rows.where("complete").select("id", "tokens").unionByName(attached)
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """(node, complete, first, members, tokens, weights, weight): the distinct token sets of
+    ``rows`` (id, tokens, complete), each with its smallest id and the number of its rows.
+    ``tokens`` begins with the rarest; ``weights`` go with it and ``weight`` is their sum.
+
+    Rows are combined to sets before they are shuffled. A token's frequency counts the
+    rows that have it; it is looked up for the distinct sets only, by a join that holds for
+    tokens that a third of all sets have."""
+    keyed = rows.where(F.size("tokens") > 0).select("id", "complete", F.array_join(F.array_sort(F.array_distinct("tokens")), "\n").alias("node"))
+    sets = materialise(keyed.groupBy("node").agg(F.max("complete").alias("complete"), F.min("id").alias("first"), F.count(F.lit(1)).alias("members")))
+    each = sets.select("node", "members", F.explode(F.split("node", "\n")).alias("token"))
+    counts = materialise(each.groupBy("token").agg(F.sum("members").alias("n")))
+    total = sets.agg(F.sum("members")).first()[0] or 0
+    rarity = counts.select("token", "n", F.round(F.log1p(F.lit(float(total)) / F.col("n")), 6).alias("w"))
+    looked = hot_key_join(materialise(each), rarity, "token")
+    ranked = looked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token", "w"))).alias("r"))  # the tokens of one set
+    weights = F.col("r.w")
+    whole = F.round(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), 6)
+    return sets.join(ranked.select("node", F.col("r.token").alias("tokens"), weights.alias("weights"), whole.alias("weight")), "node")
+
+
+def containments(lacking: DataFrame, wholes: DataFrame, containment: float = CONTAINMENT, least_cover: float = LEAST_COVER) -> DataFrame:
+    """(node, centre, contained, cover): every pair of a set of ``lacking`` and a set of
+    ``wholes`` (as ``distinct_sets`` has them) of which the first has at least
+    ``containment`` of its weight in the second and so covers at least ``least_cover`` of
+    the second's weight. Exact: the filters only leave out what can't reach both."""
+
+    def rest(weights: Column) -> Column:  # the weight from each place on
+        return F.transform(weights, lambda w, i: F.aggregate(F.slice(weights, i + 1, F.size(weights)), F.lit(0.0), lambda a, x: a + x))
+
+    slack = 1e-5
+    probe = lacking.select(F.col("node"), F.col("tokens").alias("a_tokens"), F.col("weights").alias("a_weights"), F.col("weight").alias("a_weight"), F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), rest(F.col("weights")).alias("rest"))).alias("i", "t"))
+    # Without the tokens so far less than the wanted weight is left: one of them must be shared.
+    probe = probe.where(F.col("t.rest") > (1 - containment) * F.col("a_weight") + (slack if containment < 1 else -slack))
+    if containment >= 1:
+        probe = probe.where("i = 0")  # all tokens must be shared, so the rarest alone is the prefix
+    probe = probe.select("node", "a_tokens", "a_weights", "a_weight", F.col("t.token").alias("token"), F.col("t.rest").alias("a_rest"))
+    index = wholes.select(F.col("node").alias("centre"), F.col("tokens").alias("b_tokens"), F.col("weight").alias("b_weight"), F.explode(F.arrays_zip(F.col("tokens").alias("token"), rest(F.col("weights")).alias("rest"))).alias("t"))
+    index = index.select("centre", "b_tokens", "b_weight", F.col("t.token").alias("token"), F.col("t.rest").alias("b_rest"))
+    wanted = F.col("a_weight") * containment - slack
+    long_enough = (F.col("b_weight") >= wanted) & (F.col("a_weight") >= F.col("b_weight") * least_cover - slack)
+    # Either the token is the first that both share, or another row of the pair has it.
+    first = F.get(F.filter("a_tokens", lambda t: F.array_contains("b_tokens", t)), F.lit(0)) == F.col("token")
+    placed = F.least("a_rest", "b_rest") >= wanted
+    met = index.join(broadcast_if_small(probe), "token").where(long_enough & placed & first & (F.col("node") != F.col("centre")))
+    shared = F.aggregate(F.arrays_zip("a_tokens", "a_weights"), F.lit(0.0), lambda a, x: a + F.when(F.array_contains("b_tokens", x["a_tokens"]), x["a_weights"]).otherwise(0.0))
+    found = met.withColumn("shared", shared).where((F.col("shared") >= wanted) & (F.col("shared") >= F.col("b_weight") * least_cover - slack))
+    ratio = [F.round(F.col("shared") / F.col(w), 6) for w in ("a_weight", "b_weight")]
+    return found.select("node", "centre", ratio[0].alias("contained"), ratio[1].alias("cover"))
+
+
+def star_clusters(sets: DataFrame, containment: float = CONTAINMENT, least_cover: float = LEAST_COVER) -> DataFrame:
+    """(node, star, told): the star of each distinct set, named by its centre's set. Sets
+    that lack nothing are centres; a lacking one goes to the centre of which it states
+    most, of several equal ones the first by its tokens, else it is a centre itself.
+    ``told``: whether the centre says which product it is."""
+    lacking = materialise(sets.where("not complete"))
+    if lacking.isEmpty():
+        return sets.select("node", F.col("node").alias("star"), F.lit(True).alias("told"))
+    met = containments(lacking, sets.where("complete"), containment, least_cover)
+    best = met.groupBy("node").agg(F.min_by("centre", F.struct(-F.col("cover"), -F.col("contained"), F.col("centre"))).alias("centre"))
+    joined = sets.join(best, "node", "left")
+    return joined.select("node", F.coalesce("centre", "node").alias("star"), (F.col("centre").isNotNull() | F.col("complete")).alias("told"))
+
+
+def product_members(offers: DataFrame, grades: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, star, told): the star of every offer of one position that states anything, a
+    written table."""
+    rows = materialise(product_tokens(offers, grades, aliases).where(F.size("tokens") > 0))
+    stars = materialise(star_clusters(materialise(distinct_sets(rows))))
+    keyed = rows.select("id", F.array_join(F.array_sort(F.array_distinct("tokens")), "\n").alias("node"))
+    return materialise(hot_key_join(keyed, stars, "node").select("id", F.xxhash64("star").alias("hash"), "star", "told").distinct())
 
 
 def product_pairs(offers: DataFrame, grades: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(offer_id_a, offer_id_b), smaller id first: every pair of offers of one product.
-
-    Offers of several positions, without id, or whose product can't be told belong to no
-    pair. Text wins over columns where both state an attribute. Repeated rows of one id
-    are one offer; different rows of one id may put it into several products. Null,
-    empty and very long texts are read like any other; other columns are not read.
+    """(offer_id_a, offer_id_b), smaller id first: every pair of offers of one star.
+
+    Offers of several positions, without id, or whose product can't be told (no profile,
+    grade or size, and no centre that contains what they state) belong to no pair. Text wins
+    over columns where both state an attribute. Repeated rows of one id are one offer;
+    different rows of one id may put it into several products. Null, empty and very long
+    texts are read like any other; other columns are not read. The pairs of a large star
+    are formed in blocks, so that no task gets all of them.
     """
-    sets = product_sets(offers, grades, aliases).distinct()
-    keyed = sets.select("id", F.array_join("tokens", " ").alias("whole"), _key(F.col("tokens"), F.size("tokens")).alias("key"))
-    a = keyed.select(F.col("id").alias("offer_id_a"), F.col("whole").alias("of_a"), "key")
-    b = keyed.select(F.col("id").alias("offer_id_b"), F.col("whole").alias("of_b"), "key")
-    # Sets of equal size contain each other wholly if and only if their ordered tokens are equal.
-    met = a.join(b, "key").where((F.col("offer_id_a") < F.col("offer_id_b")) & (F.col("of_a") == F.col("of_b")))
-    pairs = met.select("offer_id_a", "offer_id_b")
-    return pairs
+    members = product_members(offers, grades, aliases).where("told")
+    sizes = materialise(members.groupBy("star").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    several = hot_key_join(members, sizes, "star").where("n is not null")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    a = several.select(F.col("id").alias("offer_id_a"), "star", block.alias("block"))
+    b = several.select(F.col("id").alias("offer_id_b"), "star", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    return a.join(b, ["star", "block"]).where("offer_id_a < offer_id_b").select("offer_id_a", "offer_id_b").distinct()
 
 
 def product_groups(offers: DataFrame, grades: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(offer_id, group_id, links): one row per offer whose product is known; ``group_id``
-    is the smallest offer of its star and ``links`` the number of other offers in it.
+    """(offer_id, group_id, links): one row per offer with an id; ``group_id`` is the
+    smallest offer of its star and ``links`` the number of other offers in it. Offers of
+    several positions and those whose product can't be told are groups of their own, with
+    no link. An offer whose rows differ is in the star with the smallest ``group_id``.
     Linear in the number of offers however large a group is."""
-    sets = product_sets(offers, grades, aliases).select("id", F.array_join("tokens", " ").alias("whole")).distinct()
-    sets = materialise(sets)
-    stars = sets.groupBy("whole").agg(F.min("id").alias("group_id"), (F.count(F.lit(1)) - 1).alias("links"))
-    return hot_key_join(sets, stars, "whole").select(F.col("id").alias("offer_id"), "group_id", "links")
+    members = product_members(offers, grades, aliases).where("told")
+    stars = materialise(members.groupBy("star").agg(F.min("id").alias("group_id"), (F.count(F.lit(1)) - 1).alias("links")))
+    grouped = hot_key_join(members, stars, "star").groupBy("id").agg(F.min(F.struct("group_id", "links")).alias("g"))
+    ids = offers.where(F.col("offer_id").isNotNull()).select(F.col("offer_id").cast("long").alias("id")).distinct()
+    joined = ids.join(grouped, "id", "left")
+    return joined.select(F.col("id").alias("offer_id"), F.coalesce("g.group_id", "id").alias("group_id"), F.coalesce("g.links", F.lit(0).cast("long")).alias("links"))

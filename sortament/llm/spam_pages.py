@@ -1,26 +1,31 @@
 """Pages of repeated keywords, links or tags instead of sentences.
 
-Each text is read once and cut into units (lines, sentences, cells). Per document come out
-its words in links, its words by how many function words their unit has, its words in
-price rows, the words of sentences without function words, and the shares of its top word,
-its repeated word triples, its repeated units and its separators. How rare function words
-must be for a unit to be no sentence is calibrated per language from all documents: a
-fixed part of their rate in that language's well-formed sentences. So is from where on each
-of the four shares is unusual: a high percentile of the language's pages of sentences. On
-a page without sentences of which one share is unusual, every word outside price rows
-counts as a keyword, also where search phrases hold function words. A page is spam if more
-than half of its words stand in links, are such keywords or are in units that are no
-sentences.
+A first pass counts words by language over all documents: how often a word stands in
+well-formed sentences, and how often anywhere. The most frequent words of a language's
+sentences that are rarely seen outside them are its function words; there is no list.
+
+A second pass reads each text once and cuts it into units (lines, sentences, cells). Per
+document come out its words in links, its words by the rate of function words of their
+unit, its words in price rows, the words of sentences without function words, and the
+shares of its top word, its repeated word triples, its repeated units and its separators.
+How rare function words must be for a unit to be no sentence is calibrated per language:
+a fixed part of their rate in that language's well-formed sentences. So is from where on
+each of the four shares is unusual: a high percentile of the language's pages of
+sentences. On a page without sentences of which one share is unusual, every word outside
+price rows counts as a keyword. A page is spam if more than half of its words stand in
+links, are such keywords or are in units that are no sentences.
 
 Quoted threads, repeated forum sentences and sentences on one subject repeat themselves
-too, but have function words in well-formed sentences, or in ever other places.
+too, but have function words in well-formed sentences, or after ever other words.
 
-The language is told by the letters, unless ``lang`` names one without a list of function
-words and the text doesn't speak against it. There the rate of function words says
-nothing: sentences are told by their form alone, keywords by the four shares.
+A document's language is what ``lang`` names, unless its letters are not those in which
+documents of that code are mostly written; then, and where ``lang`` is null, it is the
+commonest language of its letters. A language with too few sentences to learn from gets
+no function words: sentences are told by their form alone, keywords by the four shares.
 
-Arrow batches go to Python because one scan of a text yields all features; everything
-after it are built-in expressions. The calibration is five numbers per language.
+Arrow batches go to Python because one scan of a text yields all features; all counts
+are built-in expressions. What the driver gets is bounded: FUNCTION_WORDS words and five
+numbers per language.
 """
 
 from __future__ import annotations
@@ -28,32 +33,34 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sortament.operators.joins import broadcast_if_small
+from sortament.operators.units import UNIT
 from sortament.session import materialise, ship_package
 
-# Words that make sentences, by language.
-FUNCTION_WORDS = {
-    "ru": (
-        "и на не но что как или до после по у мы их её его это этой этом этого к при если из потому лучше когда кто же бы ещё уже только "
-        "под между во ли чем так он она они нет есть был была были хотя иначе"
-    ).split(),
-    "en": (
-        "the a an is was are were and or of to its by not but if has have had we you this that with at from on it as after before until "
-        "because will be there no than"
-    ).split(),
-}
-# Prepositions that also end search phrases, and what then follows them.
-PREPOSITIONS = {"ru": "в с со от за о об без над перед через около".split(), "en": "near per for in into against about".split()}
-PHRASE_ENDS = set("доставкой розницу склада производителя кг сегодня me kilo stock today".split())
-
+#: So many words of a language's sentences, the most frequent, are its function words at most.
+FUNCTION_WORDS = 150
+#: So many of its frequent words that stand outside sentences are kept at most.
+LISTED_WORDS = 1_000
+#: A function word has at least this part of its occurrences in well-formed sentences.
+IN_SENTENCES = 0.8
+#: and makes up at least this part of all words of the language's sentences.
+LEAST_FREQUENCY = 0.001
+#: and is followed there by different words: so many of the 64 places that a hash gives them.
+LEAST_CONTEXTS = 16
+#: A word of lists has less than this part of its occurrences in well-formed sentences;
+#: a function word before it says nothing.
+OF_LISTS = 0.5
+#: Words in well-formed sentences from which a language's function words are learned.
+LEAST_WORDS = 1_000
 #: A unit is no sentence below this part of its language's rate of function words in sentences.
-PART_OF_RATE = 0.2
+PART_OF_RATE = 0.25
 #: Words in units that are no sentences, and in links, beyond which a page is spam.
 MOST_SHARE = 0.5
 #: Share of repeated triples from which sentences without function words count as keywords,
@@ -63,30 +70,60 @@ REPEATED_TRIPLES = 0.4
 USUAL = 0.99
 #: So often must a page's top word occur for its share to say anything.
 TOP_COUNT = 3
-BINS, STEP = 12, 0.025
+BINS, STEP = 24, 0.025
 MEASURES = ("top_word_share", "repeated_triples", "repeated_units", "separator_density")
-# Codes of the languages with a list.
-CODES = {"ru": "ru", "rus": "ru", "en": "en", "eng": "en"}
+# Codes of three letters for languages that also have one of two.
+CODES = {
+    "rus": "ru", "eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt", "pol": "pl", "ukr": "uk", "bel": "be",
+    "kaz": "kk", "tur": "tr", "nld": "nl", "dut": "nl", "ces": "cs", "cze": "cs", "bul": "bg", "srp": "sr", "fin": "fi", "swe": "sv", "ron": "ro", "hun": "hu",
+}
+# Ranges of the letters of a script.
+SCRIPTS = {"latin": "a-z\u00df-\u024f", "cyrillic": "\u0400-\u052f", "greek": "\u0370-\u03ff", "arabic": "\u0600-\u06ff", "hebrew": "\u0590-\u05ff"}
 
-_STRONG = {w for ws in FUNCTION_WORDS.values() for w in ws}
-_WEAK = {w for ws in PREPOSITIONS.values() for w in ws}
-_LINK = re.compile(
-    r"<a\s[^>]{0,2000}>[^<]{0,2000}</a>|\[[^\]\n]{0,2000}\]\([^)\s]{0,2000}\)|https?://\S+|(?<![\w.])(?:[\w-]{1,63}\.){1,8}[a-z]{2,24}/[\w/.-]*", re.I
-)
+_LINK = re.compile(r"<a\s[^<>]*+>[^<]*+</a>|\[[^\[\]\n]*+\]\([^)\s\[]*+\)|https?://\S+|(?<![\w.-])(?:[\w-]++\.)++[a-z]{2,24}/[\w/.-]*", re.I)
 _WORD = re.compile(r"[^\W_]+")
-# A unit's end, a separator, a word.
-_TOKEN = re.compile(r"([.!?…»]+(?=\s+\D|\s*$)|\s[|•]\s)|([,;:#/()«»\"|•]|\s[—–-]\s)|([^\W_]+)")
+#: Signs after which a unit ends.
+_UNITS = re.compile(r"([.!?…»]+(?=\s+\D|\s*$)|\s[|•]\s)")
+_SEPARATOR = re.compile(r"[,;:#/()«»\"|•]|\s[—–-]\s")
 _DASH = re.compile(r"[—–-]\s.*\d")
-_NUMBER = re.compile(r"\d+(?:[.,]\d+)?")
-_AMOUNT = re.compile(r"\d\s*(?:кг|kg|т|t|шт|pcs|п\.?м|пог|м|m|мм|mm|см|cm|km|км|г|g|ц|lb|ft|фу|тыс|тонн|грам|метр|руб|₽|р\.)|[кkтtштгцмпф]\w*\.?\s*[—–:)]", re.I)
-
-
-def page_features(text: str) -> tuple:
-    """(words, link words, words of units by bin of function words, words of units in
-    price rows, words of sentences without function words, separators, top word's share,
-    share of repeated triples, share of repeated units, function words and words of
-    well-formed sentences, share of Cyrillic words, function words that follow or precede
-    ever other words)."""
+_NUMBER = re.compile(r"(?<![\w.,])\d+(?:[.,'\s]\d+)*(?!\w)")
+_AMOUNT = re.compile(rf"\d\s*(?:{UNIT}|руб|₽|р\.|\$|€|usd|eur|rub)(?!\w)|(?<!\w)(?:{UNIT})\.?\s*[—–:)-]", re.I)
+_LETTERS = {name: re.compile(f"[{span}]+") for name, span in SCRIPTS.items()}
+
+
+
+@dataclass(frozen=True)
+class Lists:
+    """What all documents say about words, by language: ``functions``, the function words,
+    and ``listed``, frequent words that mostly stand outside sentences; ``common``, the
+    commonest language of each script; ``scripts``, the script of each language."""
+
+    functions: dict[str, frozenset[str]]
+    listed: dict[str, frozenset[str]]
+    common: dict[str, str]
+    scripts: dict[str, str]
+
+    def language(self, text: str, code: str | None) -> str:
+        """The language of a text in lower case; see above."""
+        counts = {name: sum(map(len, letters.findall(text))) for name, letters in _LETTERS.items()}
+        script = max(counts, key=lambda n: (counts[n], n))
+        if code and self.scripts.get(code, script) == script:
+            return code
+        return self.common.get(script, code or script)
+
+    def words(self, lang: str) -> tuple[frozenset[str], frozenset[str]]:
+        """Function words and words of lists of a language and of the commonest ones of
+        the other scripts, as a text may quote them."""
+        used = [lang, *(c for s, c in self.common.items() if s != self.scripts.get(lang))]
+        return tuple(frozenset().union(*[of.get(c, ()) for c in used]) for of in (self.functions, self.listed))
+
+
+def page_features(text: str, code: str | None, lists: Lists) -> tuple:
+    """(language, words, link words, words of units by bin of function words, words of
+    units in price rows, words of sentences without function words, separators, top word's
+    share, share of repeated triples, share of repeated units, function words and words of
+    well-formed sentences, function words before ever other words, words of different
+    units)."""
     links = 0
 
     def cut(m: re.Match) -> str:
@@ -95,125 +132,140 @@ def page_features(text: str) -> tuple:
         return "\n"
 
     rest = _LINK.sub(cut, text) if ("/" in text or "<" in text) else text
+    lang = lists.language(rest.lower(), code)
+    known, listed = lists.words(lang)
     by_bin, rows, plain = [0] * BINS, 0, 0
-    separators = good_hits = good_words = 0
+    separators = good_hits = good_words = fresh = 0
     units: Counter[tuple] = Counter()
     all_words: list[str] = []
-    varied: set[tuple] = set()  # function words in their places
+    varied: set[tuple] = set()  # function words with the word that follows
     for line in rest.split("\n"):
-        low = line.lower()
-        if ("—" in line or "–" in line or "- " in line) and _DASH.search(line) and len(_NUMBER.findall(line)) >= 3 and _AMOUNT.search(line):
-            found = _WORD.findall(low)
-            if sum(w in _STRONG for w in found) * 8 < len(found):
+        numbers = len(_NUMBER.findall(line))
+        if numbers >= 3 and _DASH.search(line) and _AMOUNT.search(line):
+            found = _WORD.findall(line.lower())
+            if sum(w in known for w in found) * 8 < len(found):
                 rows += len(found)
                 all_words += found
                 continue
-        words: list[str] = []
-        hits = run = 0  # run: words since the last separator
-        weak = lone = False  # the word before is a preposition; the piece's first word is a function word
-        begin, last, end = 0, 0, False
-        for m in _TOKEN.finditer(low):
-            kind = m.lastindex
-            if kind == 3:
-                w = m[0]
-                words.append(w)
-                run += 1
-                strong = w in _STRONG
-                if run == 1:
-                    lone = strong
-                else:
-                    more = lone + strong + (weak and not strong and w not in PHRASE_ENDS)
-                    if more:
-                        hits += more
-                        varied.add((words[-2], w))
-                    lone = False
-                weak = w in _WEAK
+        pieces = _UNITS.split(line)
+        for at in range(0, len(pieces), 2):
+            unit = pieces[at]
+            words = _WORD.findall(unit.lower())
+            if not words:
                 continue
-            run, weak, lone = 0, False, False
-            if kind == 2:
-                separators += 1
-                continue
-            end, last = True, m.end()
-            if words:
-                mark = m[0][0] in ".!?…"
-                good_hits, good_words, plain = _close(words, hits, line[begin:last], mark, by_bin, units, good_hits, good_words, plain)
-                all_words += words
-            words, hits, begin = [], 0, last
-        if words:
-            good_hits, good_words, plain = _close(words, hits, line[begin:], False, by_bin, units, good_hits, good_words, plain)
+            parts = _SEPARATOR.split(unit.lower())
+            separators += len(parts) - 1
             all_words += words
+            units[key := tuple(words)] += 1
+            if units[key] == 1:
+                fresh += len(words)
+            hits = 0
+            for inner in ([words] if len(parts) == 1 else map(_WORD.findall, parts)):
+                found = [p for p in zip(inner, inner[1:]) if p[0] in known and p[1] not in listed]
+                hits += len(found)
+                varied.update(found)
+            n = len(words)
+            marked = at + 1 < len(pieces) and pieces[at + 1][0] in ".!?…"
+            # Well-formed: begins with a capital, ends with a mark, four words or more.
+            formed = marked and n >= 4 and unit.lstrip(" >*«\"'\t")[:1].isupper()
+            if formed:
+                good_hits, good_words = good_hits + hits, good_words + n
+            if formed and not hits:
+                plain += n
+            else:
+                by_bin[min(BINS - 1, int(hits / n / STEP))] += n
     n = len(all_words) + links
     top = max(Counter(all_words).values()) / n if all_words else 0.0
     triples = Counter(zip(all_words, all_words[1:], all_words[2:]))
     total = sum(triples.values())
     repeated = sum(c for c in triples.values() if c > 1) / total if total else 0.0
     copies = sum(c - 1 for c in units.values()) / max(1, sum(units.values()))
-    cyrillic, letters = sum("а" <= w[0] <= "ё" for w in all_words), sum(w[0].isalpha() for w in all_words)
-    cyrillic = cyrillic / letters if letters else 0.0
-    return n, links, by_bin, rows, plain, separators, top, repeated, copies, good_hits, good_words, cyrillic, len(varied)
-
-
-def _close(words, hits, unit, mark, by_bin, units, good_hits, good_words, plain):
-    """Books a unit. Well-formed: begins with a capital, ends with a mark, four words or more."""
-    n = len(words)
-    units[tuple(words)] += 1
-    head = unit.lstrip(" >*«\"'\t")
-    formed = mark and n >= 4 and head[:1].isupper()
-    if formed:
-        good_hits, good_words = good_hits + hits, good_words + n
-    if formed and not hits:
-        plain += n
-    else:
-        by_bin[min(BINS - 1, int(hits / n / STEP))] += n
-    return good_hits, good_words, plain
+    return lang, n, links, by_bin, rows, plain, separators, top, repeated, copies, good_hits, good_words, len(varied), fresh
+
+
+def _code(lang: Column) -> Column:
+    """A code as of two letters where there is one: in lower case, without region."""
+    plain = F.regexp_extract(F.lower(F.trim(lang.cast("string"))), "^([a-z]{2,3})(?:[-_].*)?$", 1)
+    codes = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
+    return F.when(plain != "", F.coalesce(F.try_element_at(codes, plain), plain))
+
+
+def learn_lists(docs: DataFrame) -> Lists:
+    """The lists of ``docs`` (code, text), from all words of all documents. Words are
+    counted per task before they are shuffled; those with digits are left out, and only
+    words with LEAST_FREQUENCY come to be ranked, so a language ranks 1,000 at most."""
+    units = docs.select("code", F.explode(F.split(F.regexp_replace("text", r"([.!?…»])\s+(?=\D)", "$1\n"), r"\n|\s[|•]\s")).alias("unit"))
+    formed = F.col("unit").rlike(r"^[\s>*«\"']*\p{Lu}.*[.!?…]\s*$")
+    words = units.select("code", F.filter(F.split(F.lower("unit"), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"), formed.alias("formed"))
+    pairs = F.explode(F.arrays_zip(F.col("words").alias("word"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("next"))).alias("p")
+    each = words.select("code", (F.col("formed") & (F.size("words") >= 4)).alias("formed"), pairs).select("code", "formed", "p.word", "p.next").where(~F.col("word").rlike(r"\d"))
+    place = F.when(F.col("formed") & F.col("next").isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("next"), F.lit(64)).cast("int")))
+    counts = each.groupBy("code", "word").agg(F.count_if("formed").alias("inside"), F.count(F.lit(1)).alias("n"), F.bit_count(F.bit_or(place)).alias("contexts"))
+    script = F.coalesce(*[F.when(F.col("word").rlike(f"^[{span}]"), F.lit(name)) for name, span in SCRIPTS.items()])
+    counts = materialise(counts.withColumn("script", script).where("script is not null"))
+    # One row per code and script.
+    sums = [r for r in counts.groupBy("code", "script").agg(F.sum("inside").alias("n")).collect()]
+    scripts: dict[str, str] = {}
+    for r in sorted((r for r in sums if r.code), key=lambda r: (r.n, r.script)):
+        scripts[r.code] = r.script  # the largest comes last
+    common: dict[str, str] = {}
+    for r in sorted((r for r in sums if r.code and scripts[r.code] == r.script), key=lambda r: (r.n, r.code)):
+        common[r.script] = r.code
+    totals = {r.code: r.n for r in sums if r.code and scripts[r.code] == r.script and r.n >= LEAST_WORDS}
+    if not totals:
+        return Lists({}, {}, common, scripts)
+    wanted = docs.sparkSession.createDataFrame([(c, scripts[c], float(n)) for c, n in totals.items()], "code string, script string, total double")
+    frequent = counts.join(F.broadcast(wanted), ["code", "script"])
+    inside = (F.col("inside") >= F.col("total") * LEAST_FREQUENCY) & (F.col("inside") >= F.col("n") * IN_SENTENCES) & (F.col("contexts") >= LEAST_CONTEXTS)
+    outside = (F.col("n") >= F.col("total") * LEAST_FREQUENCY) & (F.col("inside") < F.col("n") * OF_LISTS)
+    kind = F.when(inside, "function").when(outside, "list")
+    rank = F.row_number().over(Window.partitionBy("code", "kind").orderBy(F.col("n").desc(), "word"))  # a few thousand rows
+    chosen = frequent.withColumn("kind", kind).where("kind is not null").withColumn("rank", rank).where((F.col("rank") <= FUNCTION_WORDS) | ((F.col("kind") == "list") & (F.col("rank") <= LISTED_WORDS)))
+    found: dict[str, dict[str, set[str]]] = {"function": {}, "list": {}}
+    for r in chosen.select("code", "kind", "word").collect():
+        found[r.kind].setdefault(r.code, set()).add(r.word)
+    functions, listed = ({c: frozenset(w) for c, w in found[k].items()} for k in ("function", "list"))
+    return Lists(functions, listed, common, scripts)
 
 
 _FEATURES = (
-    "doc bigint, code string, words bigint, link_words bigint, by_bin array<bigint>, row_words bigint, plain_words bigint, separators bigint, top_word_share double, "
-    "repeated_triples double, repeated_units double, good_hits bigint, good_words bigint, cyrillic double, varied_hits bigint"
+    "doc bigint, lang string, words bigint, link_words bigint, by_bin array<bigint>, row_words bigint, plain_words bigint, separators bigint, top_word_share double, "
+    "repeated_triples double, repeated_units double, good_hits bigint, good_words bigint, varied_hits bigint, fresh_words bigint"
+)
+_SCHEMA = pa.schema(
+    [("doc", pa.int64()), ("lang", pa.string()), ("words", pa.int64()), ("link_words", pa.int64()), ("by_bin", pa.list_(pa.int64())), ("row_words", pa.int64()), ("plain_words", pa.int64())]
+    + [("separators", pa.int64()), ("top_word_share", pa.float64()), ("repeated_triples", pa.float64()), ("repeated_units", pa.float64())]
+    + [("good_hits", pa.int64()), ("good_words", pa.int64()), ("varied_hits", pa.int64()), ("fresh_words", pa.int64())]
 )
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [("doc", pa.int64()), ("code", pa.string()), ("words", pa.int64()), ("link_words", pa.int64()), ("by_bin", pa.list_(pa.int64())), ("row_words", pa.int64()), ("plain_words", pa.int64())]
-        + [("separators", pa.int64()), ("top_word_share", pa.float64()), ("repeated_triples", pa.float64()), ("repeated_units", pa.float64())]
-        + [("good_hits", pa.int64()), ("good_words", pa.int64()), ("cyrillic", pa.float64()), ("varied_hits", pa.int64())]
-    )
-    for batch in batches:
-        ids, texts = batch.column("doc").to_pylist(), batch.column("text")
-        codes = batch.column("code").to_pylist()
-        for at in range(0, len(ids), 1000):
-            rows = [(i, c, *page_features(t.as_py())) for i, c, t in zip(ids[at : at + 1000], codes[at : at + 1000], texts[at : at + 1000], strict=True)]
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def document_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row of features per document with a text; ``lang`` is told by its letters, or
-    by the column ``lang``, if there is one, where it names a language without a list."""
+    """One row of features per document with a text; ``has_list``: its language has
+    function words. The column ``lang`` may be missing."""
     ship_package(docs.sparkSession)
-    code = F.lower(F.trim(F.col(lang).cast("string"))) if lang in docs.columns else F.lit(None).cast("string")
-    named = F.when(code.rlike("^[a-z]{2,3}$") & ~code.isin(*CODES), code).alias("code")
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), named).where("doc is not null and text is not null")
-    told = F.when(F.col("cyrillic") >= 0.5, "ru").otherwise("en")
-    # A list's words in one of ten places: the text is in the list's language, whatever the column says.
-    other = F.col("varied_hits") * 10 < F.col("words")
-    read = chosen.mapInArrow(_scan, _FEATURES).withColumn("lang", F.when(other, F.coalesce("code", told)).otherwise(told))
-    return read.withColumn("separator_density", F.col("separators") / F.greatest("words", F.lit(1)))
+    code = _code(F.col(lang)) if lang in docs.columns else F.lit(None).cast("string")
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc"), code.alias("code"), F.col(text).alias("text")).where("doc is not null and text is not null")
+    lists = learn_lists(chosen.select("code", "text"))
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, codes, texts = batch.column("doc").to_pylist(), batch.column("code").to_pylist(), batch.column("text")
+            for at in range(0, len(ids), 1000):
+                rows = [(i, *page_features(t.as_py(), c, lists)) for i, c, t in zip(ids[at : at + 1000], codes[at : at + 1000], texts[at : at + 1000], strict=True)]
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
-def _listed_language() -> Column:
-    return F.col("lang").isin(*FUNCTION_WORDS)
+    read = chosen.mapInArrow(scan, _FEATURES).withColumn("separator_density", F.col("separators") / F.greatest("words", F.lit(1)))
+    return read.withColumn("has_list", F.col("lang").isin(*lists.functions) if lists.functions else F.lit(False))
 
 
 def _lacks_sentences() -> Column:
-    """Whether a page has too few function words, outside price rows, both in well-formed
-    sentences and in different places; without a list, too few words in well-formed
-    sentences. A page of price rows has no need of sentences."""
+    """Whether a page has too few function words before different words for the words of
+    its different units; without a list, too few words in well-formed sentences. Quoted
+    copies of a unit thus neither help nor harm. A page of price rows needs no sentences."""
     words = F.col("words") - F.col("row_words")
-    least = F.coalesce("rate", F.lit(0.0)) * PART_OF_RATE * words
-    few = F.when(_listed_language(), (F.col("good_hits") < least) & (F.col("varied_hits") < least)).otherwise(F.col("good_words") < words * MOST_SHARE)
+    least = F.coalesce("rate", F.lit(0.0)) * PART_OF_RATE * F.col("fresh_words")
+    few = F.when(F.col("has_list"), F.col("varied_hits") < least).otherwise(F.col("good_words") < words * MOST_SHARE)
     return few & (F.col("row_words") <= F.col("words") * MOST_SHARE)
 
 
@@ -235,7 +287,7 @@ def _spam_share() -> Column:
     listed = F.aggregate(F.slice("by_bin", F.lit(1), F.least(limit, F.lit(BINS))), F.lit(0).cast("long"), lambda total, x: total + x)
     few = F.col("good_hits") < F.coalesce("rate", F.lit(0.0)) * PART_OF_RATE * F.col("good_words")
     keywords = F.when((F.col("repeated_triples") >= REPEATED_TRIPLES) & few, F.col("plain_words")).otherwise(0)
-    by_units = F.when(_listed_language(), listed + keywords).otherwise(0)
+    by_units = F.when(F.col("has_list"), listed + keywords).otherwise(0)
     often = F.col("top_word_share") * F.col("words") >= TOP_COUNT - 0.5
     # Separators make lists only outside well-formed sentences.
     apart = F.col("good_words") <= F.col("words") * MOST_SHARE

@@ -1,8 +1,7 @@
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sortament.llm.mixing import VOCABULARY, _rates, fit_domains, measure, mix, mixture_copies, mixture_report
+from sortament.llm.mixing import VOCABULARY, _rate, fit_domains, held_out_accuracy, measure, mix, mixture_copies, mixture_report
 from tests.conftest import rows
 
 TARGETS = "source string, target_share double, max_repeats int"
@@ -52,10 +51,25 @@ def test_tokens_round_trip(spark, docs):
     assert got == {i: len(encode(VOCABULARY, t)) for i, t in texts.items()}
 
 
-def test_steps_stay_in_the_box():
-    member = np.array([[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]])
-    rate = _rates(member, np.array([1.0, 2.0, 0.0]), [[-5.0, 1.0], [0.3, 0.0]])
-    assert ((rate >= 0) & (rate <= [1.0, 2.0, 0.0])).all()
+def test_steps_stay_in_the_box(spark):
+    df = spark.createDataFrame([([1.0, 0.0], 1.0), ([0.5, 0.5], 2.0), ([0.0, 1.0], 0.0)], "member array<double>, cap double")
+    history = [[-5.0, 1.0], [0.3, 0.0]]
+    want = []
+    for member, cap in df.collect():
+        rate = min(1.0, cap)
+        for h in history:
+            rate = min(max(rate - sum(m * r for m, r in zip(member, h, strict=True)), 0.0), cap)
+        want.append(rate)
+    assert [r[0] for r in df.select(_rate(history)).collect()] == pytest.approx(want)
+    assert [r[0] for r in df.select(_rate([])).collect()] == [1.0, 1.0, 0.0]
+
+
+def test_posteriors_of_labelled_documents(spark, docs):
+    """Where the wording tells sources apart, both memberships reach the shares."""
+    targets = spark.createDataFrame([("big", 0.5, 2), ("mid", 0.4, 3), ("small", 0.1, 3)], TARGETS)
+    m = mix(docs, targets, labels=False)
+    assert all(abs(r.reached_share - r.target_share) < 0.05 for r in mixture_report(m).collect())
+    assert held_out_accuracy(docs, ("big", "mid"), per_source=50)[0] > 0.95
 
 
 def test_empty(spark, docs):

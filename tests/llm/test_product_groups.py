@@ -1,9 +1,12 @@
 from decimal import Decimal as D
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from sortament.llm.product_groups import order_by_rarity, product_groups, product_pairs, product_tokens
+from sortament.llm import product_groups as pg
+from sortament.llm.product_groups import containments, distinct_sets, product_groups, product_pairs, product_tokens, star_clusters
 from tests.conftest import rows
 
 OFFERS = "offer_id long, raw_description string, profile string, grade string, dim1 decimal(18,6), dim2 decimal(18,6), dim3 decimal(18,6), dim1_unit string, tokens string, whole string"
@@ -52,7 +55,8 @@ def test_groups(spark, tables):
     for g in WANT:
         for i in g:
             assert got[i] == (min(g), len(g) - 1)
-    assert got[5] == (5, 0) and 6 not in got and 10 not in got
+    assert {i: got[i] for i in (5, 6, 10, 11)} == {i: (i, 0) for i in (5, 6, 10, 11)}
+    assert len(got) == len(DATA) - 1
 
 
 def test_incomplete_offers_join_the_star_that_contains_them(spark, tables):
@@ -75,11 +79,52 @@ def test_every_token_counts(spark, tables):
     assert {r.offer_id: r.group_id for r in product_groups(offers, *tables[1:]).collect()} == {30: 30, 31: 30, 32: 32, 33: 33, 40: 40, 41: 40, 42: 42}
 
 
+def test_identical_offers_are_pairs(spark, tables):
+    texts = [(60, "Проволока Ст3 3 мм"), (61, "Проволока Ст3 3 мм"), (62, "фланец Ст3 50x40"), (63, "фланец Ст3 50x40"), (64, "проволока"), (65, "проволока"), (66, "Ст3"), (67, "Ст3")]
+    offers = spark.createDataFrame([(*r, *[None] * 6, "x", "y") for r in texts], OFFERS)
+    assert rows(product_pairs(offers, *tables[1:])) == [(60, 61), (62, 63)]
+    assert product_groups(offers, *tables[1:]).count() == len(texts)
+
+
+def test_large_stars_are_paired_in_blocks(spark, tables, monkeypatch):
+    monkeypatch.setattr(pg, "BLOCK", 4)
+    offers = spark.createDataFrame([(i, "Круг 93Г12Д7УГ ф20", *[None] * 6, "x", "y") for i in range(30)], OFFERS)
+    assert rows(product_pairs(offers, *tables[1:])) == sorted(((a, b) for a in range(30) for b in range(a + 1, 30)), key=repr)
+
+
 def test_large_sets_that_many_offers_share(spark):
-    many = spark.range(12_000).select("id", F.array(*[F.lit(t) for t in "abcdef"]).alias("tokens"))
-    few = spark.range(3).select("id", F.array(*[F.lit(t) for t in "abcdegh"]).alias("tokens"))
-    got = order_by_rarity(many.unionByName(few)).groupBy(F.array_join("tokens", "").alias("t"), "counts").count()
-    assert rows(got) == [("fabcde", [12_000] + [12_003] * 5, 12_000), ("ghabcde", [3, 3] + [12_003] * 5, 3)]
+    def sets(n, letters, start=0):
+        return spark.range(start, start + n).select("id", F.array(*[F.lit(t) for t in letters]).alias("tokens"), F.lit(True).alias("complete"))
+
+    got = distinct_sets(sets(12_000, "abcdef").unionByName(sets(3, "hgabcde", 20_000))).select(F.array_join("tokens", "").alias("t"), "first", "members")
+    assert rows(got) == [("fabcde", 0, 12_000), ("ghabcde", 20_000, 3)]
+
+
+@pytest.mark.parametrize(("containment", "cover"), [(1.0, 0.5), (0.8, 0.4), (0.5, 0.0)])
+def test_containments_like_brute_force(spark, containment, cover):
+    pick = random.Random(containment)
+    data = [(i, sorted({f"t{min(int(pick.expovariate(0.2)), 14)}" for _ in range(pick.randint(1, 8))}), pick.random() < 0.5) for i in range(150)]
+    sets = distinct_sets(spark.createDataFrame(data, "id long, tokens array<string>, complete boolean")).collect()
+    df = spark.createDataFrame(sets)
+    weights = [{**dict(zip(r.tokens, r.weights, strict=True))} for r in sets]
+    want = []
+    for a, wa in zip(sets, weights, strict=True):
+        for b, wb in zip(sets, weights, strict=True):
+            if not a.complete and b.complete:
+                shared = sum(wa[t] for t in wa.keys() & wb.keys())
+                if shared >= containment * sum(wa.values()) - 1e-5 and shared >= cover * sum(wb.values()) - 1e-5 and shared > 0:
+                    want.append((a.node, b.node))
+    got = containments(df.where("not complete"), df.where("complete"), containment, cover).select("node", "centre")
+    assert len(want) > 5 and rows(got) == sorted(want, key=repr)
+
+
+def test_stars(spark):
+    data = [(1, ["p=a", "g=x", "1=5"], True), (2, ["p=a", "g=y", "1=5"], True), (3, ["g=x", "1=5"], False), (4, ["p=a", "1=7"], False), (5, ["g=z", "1=9"], False), (6, [], False)]
+    got = star_clusters(distinct_sets(spark.createDataFrame(data, "id long, tokens array<string>, complete boolean")))
+    plain = {r.node.replace("\n", " "): (r.star.replace("\n", " "), r.told) for r in got.collect()}
+    assert plain["1=5 g=x"] == ("1=5 g=x p=a", True)  # of the two that have 1=5 the one that has g=x
+    assert plain["1=7 p=a"] == ("1=7 p=a", False) and plain["1=9 g=z"] == ("1=9 g=z", False)
+    assert plain["1=5 g=y p=a"] == ("1=5 g=y p=a", True) and len(plain) == 5
 
 
 def test_products_of_one_size(spark, tables):

@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from sortament.llm.spam_pages import page_features, score_pages, spam_pages
+from sortament.llm.spam_pages import Lists, learn_lists, page_features, score_pages, spam_pages
 from tests.conftest import rows
 
 random.seed(7)
@@ -11,6 +12,25 @@ PROSE = (
     "Если нужен размер, лучше спросить остаток заранее. На бирке видно, что номер не совпал со счётом. "
 )
 ENGLISH = "The yard shows a long bar and it is not for sale. We had the material sent back because of the dents. Has anybody seen this before the winter? "
+GERMAN = "Wir haben drei Angebote verglichen, aber der Preis blieb gleich. Nach dem Schneiden bleibt ein Rest, den man abholen kann. Das Lager meldet morgen neue Mengen. "
+SMALL = {
+    "ru": "и на но не у мы их его если что как или до после по при из потому когда кто бы ещё уже только под между во чем они",
+    "en": "the a an is was and of to its by not but if has we this that with at from on it as after before because there no had for",
+    "de": "der die das ein eine und in den mit auf bei nach dem den man aber der nicht für aus ohne an vor ist war noch",
+}
+LETTERS = {"ru": ("бвгдзклмнпрст", "аеиоу"), "en": ("bcdfgklmnprst", "aeiou"), "de": ("bcdfgklmnprstw", "aeiou")}
+
+
+def corpus(lang, size=80):
+    """Texts of sentences of made-up nouns, each after a function word."""
+    pick = random.Random(lang)
+    noun = lambda: "".join(pick.choice(LETTERS[lang][0]) + pick.choice(LETTERS[lang][1]) for _ in range(3)) + pick.choice(LETTERS[lang][0])
+    nouns, small = [noun() for _ in range(300)], SMALL[lang].split()
+    sentence = lambda: " ".join(f"{pick.choice(small)} {pick.choice(nouns)}" for _ in range(pick.randint(3, 5))).capitalize() + "."
+    return [(" ".join(sentence() for _ in range(pick.randint(4, 8))), lang) for _ in range(size)]
+
+
+BACKGROUND = corpus("ru") + corpus("en") + [(PROSE, "ru")] * 8 + [(ENGLISH, None)] * 8
 TAGS = "Теги: " + ", ".join(f"{w}{random.randrange(99)}" for w in random.choices(["труба", "цена", "лист", "кг", "за", "в", "с"], k=60))
 SPAM = {
     "keywords": "\n".join(random.choices(["купить трубу оптом", "цена лист с доставкой", "круг в розницу"], k=40)),
@@ -42,7 +62,8 @@ CLEAN = {
 def docs(spark):
     texts = {**SPAM, **CLEAN}
     data = [(i, t, "x", 1.0) for i, t in enumerate(texts.values())]
-    return spark.createDataFrame([*data, (900, None, "x", 1.0), (None, TAGS, "x", 1.0)], "doc_id long, text string, lang string, rate double"), list(texts)
+    around = [(1000 + i, t, lang, 1.0) for i, (t, lang) in enumerate(BACKGROUND)]
+    return spark.createDataFrame([*data, *around, (900, None, "x", 1.0), (None, TAGS, "x", 1.0)], "doc_id long, text string, lang string, rate double"), list(texts)
 
 
 def test_cases(spark, docs):
@@ -54,25 +75,52 @@ def test_repeated_rows_and_empty_tables(spark, docs):
     df, _ = docs
     assert rows(spam_pages(df.unionByName(df))) == rows(spam_pages(df))
     assert spam_pages(df.where("false")).count() == 0
-    assert score_pages(df).count() == len(SPAM) + len(CLEAN)
+    assert score_pages(df).count() == len(SPAM) + len(CLEAN) + len(BACKGROUND)
+    assert score_pages(df.drop("lang")).count() == len(SPAM) + len(CLEAN) + len(BACKGROUND)
+
+
+def test_function_words_are_learned(spark):
+    df = spark.createDataFrame([*corpus("ru"), *corpus("en"), *corpus("de"), *[("купить трубу оптом с доставкой", "ru")] * 50], "text string, code string")
+    lists = learn_lists(df)
+    assert {"the", "has"} <= lists.functions["en"] and {"der"} <= lists.functions["de"] and not {"купить", "доставкой"} & lists.functions["ru"]
+    assert {"купить", "трубу"} <= lists.listed["ru"]
+    assert lists.common == {"cyrillic": "ru", "latin": max(("en", "de"), key=lambda c: learn_total(df, c))}
+    assert lists.language("обрезок на складе", "en") == "ru" and lists.language("bar", "de") == "de" and lists.language("bar", None) in ("en", "de")
+    assert learn_lists(df.where("false")) == Lists({}, {}, {}, {})
+
+
+def learn_total(df, code):
+    """Words without digits in well-formed sentences, which here are all."""
+    return df.where(F.col("code") == code).select(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0]
+
+
+NONE = Lists({}, {}, {}, {})
 
 
 def test_long_texts_are_read_whole():
     long_text = PROSE * 30 + "\n" + SPAM["keywords"] * 200
-    n, links, by_bin, *_ = page_features(long_text)
-    assert n > 20_000 and sum(by_bin[:2]) > 0.9 * n
+    lang, n, links, by_bin, *_ = page_features(long_text, None, NONE)
+    assert lang == "cyrillic" and n > 20_000 and sum(by_bin[:2]) > 0.9 * n
+
+
+def test_long_addresses_are_links():
+    text = "\n".join(f"[лист](https://stal.example/{'p' * 2_500}{i})" for i in range(3))
+    _, n, links, *_ = page_features(text, None, NONE)
+    assert n == links == 3 * 5
+    nested = "[" * 50_000 + "<a " * 50_000 + "](" * 50_000  # must not be read again and again
+    assert page_features(nested, None, NONE)[1] == 50_000
 
 
 def test_words_are_counted_once():
     for text in [*SPAM.values(), *CLEAN.values()]:
-        n, links, by_bin, price_words, plain, *_ = page_features(text)
+        _, n, links, by_bin, price_words, plain, *_ = page_features(text, None, NONE)
         assert links + sum(by_bin) + price_words + plain == n
 
 
-def _more(spark, texts):
-    data = [(i, t, lang) for i, (t, lang) in enumerate(texts.values())]
+def _more(spark, texts, around=BACKGROUND):
+    data = [(i, t, lang) for i, (t, lang) in enumerate([*texts.values(), *around])]
     found = spam_pages(spark.createDataFrame(data, "doc_id long, text string, lang string"))
-    return sorted(list(texts)[r.doc_id] for r in found.collect())
+    return sorted([*texts, *["background"] * len(around)][r.doc_id] for r in found.collect())
 
 
 def test_shares_take_part_where_phrases_hold_function_words(spark):
@@ -86,19 +134,35 @@ def test_shares_take_part_where_phrases_hold_function_words(spark):
         "thread": ("\n".join("> " * d + s.rstrip(".") + "." for d in (0, 1, 2, 3) for s in sentences), "ru"),
         "forum": (PROSE + "\n" + "\n".join([sentences[0] + "."] * 6), "ru"),
         "chat": (PROSE.lower().replace(". ", "\n"), "ru"),
+        "quoted": (ENGLISH * 2, "ru"),
         **{f"prose{i}": (" ".join(random.sample(PROSE.replace(". ", ".|").split("|"), 5)), "ru") for i in range(20)},
     }
     assert _more(spark, texts) == ["lines", "navigation"]
 
 
-def test_languages_without_a_list(spark):
-    german = "Wir haben drei Angebote verglichen, aber der Preis blieb gleich. Nach dem Schneiden bleibt ein Rest, den man abholen kann. Das Lager meldet morgen neue Mengen. "
+def test_a_third_language_is_learned(spark):
+    """Spam and sentences in a language that no part of the code names."""
+    phrases = ["rohr günstig kaufen", "blech preis heute", "stahl rohr angebot", "stab im shop"]
+    texts = {
+        "keywords": ("\n".join(random.choices(phrases, k=40)), "de"),
+        "list": (", ".join(random.choices(phrases, k=60)), "deu"),
+        "tags": (" ".join(f"#{w}" for w in random.choices(["rohr", "preis", "kaufen", "blech"], k=60)), "DE"),
+        "links": ("\n".join(f"[rohr kaufen](https://stahl.example/p{i})" for i in range(20)), "de-AT"),
+        "prose": (GERMAN * 2, "ger"),
+        "notes": ("\n".join(t.replace(". ", "\n") for t, _ in corpus("de", 2)), "de"),
+        "lower": (corpus("de", 3)[2][0].lower(), "de"),
+        **{f"prose{i}": (GERMAN, "de") for i in range(5)},
+    }
+    assert _more(spark, texts, BACKGROUND + corpus("de", 60)) == ["keywords", "links", "list", "tags"]
+
+
+def test_languages_with_too_few_sentences(spark):
     texts = {
         "keywords": (" ".join(random.choices(["rohr kaufen", "blech preis", "stahl rohr"], k=60)), "de"),
-        "prose": (german * 2, "de"),
-        "notes": (german.replace(". ", "\n"), "de"),
+        "prose": (GERMAN * 2, "de"),
+        "notes": (GERMAN.replace(". ", "\n"), "de"),
         "english": (SPAM["english"], "en"),
-        "wrong": (ENGLISH, "de"),
-        **{f"prose{i}": (german, "de") for i in range(5)},
+        "wrong": (ENGLISH, "ru"),
+        **{f"prose{i}": (GERMAN, "de") for i in range(5)},
     }
     assert _more(spark, texts) == ["english", "keywords"]
