@@ -28,19 +28,26 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int =
     return F.broadcast(table) if rows <= max_rows and size <= max_bytes else table
 
 
-def hot_key_join(left: DataFrame, right: DataFrame, key: str, *, share: int | None = None) -> DataFrame:
+#: A key with fewer rows than this is never treated as hot.
+LEAST_HOT = 100_000
+
+
+def hot_key_join(left: DataFrame, right: DataFrame, key: str, *, share: int | None = None, least_hot: int = LEAST_HOT) -> DataFrame:
     """Left join on ``key`` where ``right`` has at most one row a key.
 
     Keys with more than 1/``share`` of the rows of ``left`` (4 x the shuffle's width by
-    default) are joined by a broadcast of their rows of ``right``: there can be at most
-    ``share`` such keys, so what is broadcast is bounded whatever the data. All other
-    rows shuffle. The count of rows per key is combined before it is shuffled. A null
-    key matches nothing and its rows are kept.
+    default), and more than ``least_hot``, are joined by a broadcast of their rows of
+    ``right``: there can be at most ``share`` such keys, so what is broadcast is bounded
+    whatever the data. All other rows shuffle. Rows per key are counted, combined before
+    they are shuffled, unless a written table is too small to have a hot key at all. A
+    null key matches nothing and its rows are kept.
     """
     share = share or 4 * shuffle_width(left.sparkSession)
+    if is_table(left) and left.count() <= least_hot:  # the number of rows stands in the files' footers
+        return left.join(right, key, "left")
     counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
-    bound = max((total or 0) // share, 10_000)
+    bound = max((total or 0) // share, least_hot)
     if (most or 0) <= bound:
         return left.join(right, key, "left")
     hot = [r[0] for r in counts.where(F.col("_n") > bound).select(key).collect()]  # at most ``share``

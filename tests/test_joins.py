@@ -7,7 +7,7 @@ from sortament.session import is_table, materialise
 def test_hot_keys_keep_all_rows(spark):
     left = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 5 == 0, None).otherwise(F.col("id")).alias("k"), "id")
     right = spark.range(0, 60_000, 7).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    got = hot_key_join(left, right, "k", share=4)
+    got = hot_key_join(left, right, "k", share=4, least_hot=1_000)
     assert got.count() == 60_000
     assert got.where("k = 7 and w = 14").count() == 30_001 and got.where("k is null and w is null").count() == left.where("k is null").count()
     assert got.where("w is not null").count() == left.join(right, "k").count()
