@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sortament.operators.joins import hot_key_join
-from sortament.session import materialise
+from sortament.session import discard, materialise
 
 
 def _minimum_labels(edges: DataFrame) -> DataFrame:
@@ -27,12 +27,13 @@ def _jump(labels: DataFrame) -> DataFrame:
     """Pointer jumping: v's label becomes its label's label, until all are roots."""
     while True:
         up = labels.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        stepped = hot_key_join(labels, up, "p")
-        labels = materialise(stepped.select("v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")))
-        done = labels.where("moved").isEmpty()
-        labels = labels.select("v", "p")
-        if done:
+        stepped = materialise(hot_key_join(labels, up, "p").select("v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")))
+        if stepped.where("moved").isEmpty():
+            discard(stepped)
             return labels
+        discard(labels)
+        labels = stepped.drop("moved")
+        labels._sortament_path = stepped._sortament_path
 
 
 def _rewrite(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def _rewrite(edges: DataFrame, labels: DataFrame) -> DataFrame:
     at = edges
     for end in ("a", "b"):
         root = labels.select(F.col("v").alias(end), F.col("p").alias("root"))
-        at = hot_key_join(at, root, end).withColumn(end, F.coalesce("root", end)).drop("root")
+        at = hot_key_join(at if end == "a" else materialise(at), root, end).withColumn(end, F.coalesce("root", end)).drop("root")
     return at.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -61,7 +62,10 @@ def connected_components(links: DataFrame, source: str, target: str, *, id_name:
     while not left.isEmpty():
         labels = _jump(materialise(_minimum_labels(left)))
         rounds.append(labels)
-        left = materialise(_rewrite(left, labels))
+        fewer = materialise(_rewrite(left, labels))
+        if left is not edges:
+            discard(left)
+        left = fewer
     final = None
     for labels in reversed(rounds):  # a root of one round may hook in a later one
         if final is None:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sortament.functions.text import bag_key
+from sortament.operators.joins import broadcast_if_small
 from sortament.session import materialise, ship_package
 
 _SCHEMA = "id bigint, first bigint, copies bigint, run bigint, form string"
@@ -105,15 +106,17 @@ def duplicate_sets(records: DataFrame, id_column: str, *, exact: list[str], text
     forms = records.select(F.col(id_column).cast("long").alias("id"), canonical_form(exact, texts).alias("form"))
     forms = forms.where("id is not null and form is not null")
     ship_package(records.sparkSession)
-    hashed = forms.withColumn("hash", F.xxhash64("form"))  # ranges of 16 bytes, so that Spark's sample of them is small
+    # Written, as Spark reads what it sorts twice: ranges come from a sample, of 16 bytes a row.
+    hashed = materialise(forms.withColumn("hash", F.xxhash64("form")))
     ordered = hashed.repartitionByRange("hash", "id").sortWithinPartitions("hash", "form", "id")
     scanned = materialise(ordered.mapInArrow(_scan, _SCHEMA))
-    # Two rows a partition, unless hashes collide there, so this is bounded by the shuffle's width.
-    edges = scanned.where("id is null").select("first", "copies", "run", "form")
+    # Two rows a partition, unless hashes collide there; forms, which may be long, are joined
+    # by a shuffle and only the runs' numbers go to all tasks.
+    edges = materialise(scanned.where("id is null").select("first", "copies", "run", "form"))
     merged = edges.groupBy("form").agg(F.min("first").alias("whole"), F.sum("copies").alias("total"))
-    of_run = edges.join(F.broadcast(merged), "form").where("total > 1").select("run", "whole", "total")
+    of_run = edges.hint("merge").join(merged, "form").where("total > 1").select("run", "whole", "total")
     rows = scanned.where("id is not null")
-    open_rows = rows.where("copies is null").join(F.broadcast(of_run), "run")
+    open_rows = rows.where("copies is null").join(broadcast_if_small(of_run), "run")
     return rows.where("copies is not null").select("id", "first", "copies").unionByName(
         open_rows.select("id", F.col("whole").alias("first"), F.col("total").alias("copies"))
     )

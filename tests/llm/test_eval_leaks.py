@@ -56,4 +56,40 @@ def test_empty(spark):
 def test_matches(spark):
     docs = spark.createDataFrame([(1, "a b c d x f", "x", "y")], DOCS)
     items = spark.createDataFrame([(9, "a b c d e f", "z")], ITEMS)
-    assert rows(leak_matches(docs, items, run=3)) == [(9, 1, 5, 4, 0.833333)]
+    assert rows(leak_matches(docs, items, run=3)) == [(9, 1, "EXACT", 4, 4, 0.666667)]
+    assert leak_matches(docs.where("false"), items).count() == leak_matches(docs, items.where("false")).count() == 0
+
+
+def test_altered_passages_are_near(spark):
+    words = [f"w{i}" for i in range(14)]
+    swap = lambda *at: " ".join("other" if i in at else w for i, w in enumerate(words))
+    docs = [
+        (1, swap(3, 9)), (2, swap(3, 6, 9)), (3, " ".join(words[:6] + ["in", "between"] + words[6:])), (4, " ".join(words[:7] + words[8:])),
+        (5, " ".join(words[:6] + ["x"] * 9 + words[6:])), (6, "begin " + " ".join(words) + " end"), (7, " ".join(reversed(words))), (8, None),
+    ]
+    got = leak_matches(spark.createDataFrame([(*d, "x", "y") for d in docs], DOCS), spark.createDataFrame([(9, " ".join(words), "z"), (10, None, "z")], ITEMS))
+    assert {r.doc_id: (r.kind, r.words, r.longest_run) for r in got.collect()} == {1: ("NEAR", 12, 5), 3: ("NEAR", 14, 8), 4: ("NEAR", 13, 7), 6: ("EXACT", 14, 14)}
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.integers(0, 10**6))
+def test_altered_passages_like_brute_force(spark, seed):
+    pick = random.Random(seed)
+    items = [(i, [pick.choice("абвгде") for _ in range(pick.randint(4, 12))]) for i in range(5)]
+    docs = []
+    for d in range(20):
+        base = list(pick.choice(items)[1])
+        for _ in range(pick.randint(0, 3)):
+            base[pick.randrange(len(base))] = pick.choice("абвгде")
+        docs.append((d, [pick.choice("абвгде") for _ in range(pick.randint(0, 5))] + base))
+    run, missing = 6, 1
+    want = set()
+    for i, a in items:
+        for d, b in docs:
+            for shift in range(-len(a), len(b)):
+                same = [0 <= k + shift < len(b) and a[k] == b[k + shift] for k in range(len(a))]
+                if any(sum(same[k : k + run]) >= run - missing for k in range(len(a) - run + 1)):
+                    want.add((i, d))
+    df = spark.createDataFrame([(d, " ".join(b), "x", "y") for d, b in docs], DOCS)
+    got = leak_matches(df, spark.createDataFrame([(i, " ".join(a), "z") for i, a in items], ITEMS), run=run, missing=missing, slack=0)
+    assert {(r.item_id, r.doc_id) for r in got.collect()} == want
