@@ -79,3 +79,17 @@ def is_service_line(text: Column, has_numbers: Column) -> Column:
     service = (plain == "") | plain.rlike("^(?:итого|всего|наименование|склад|прайс-лист|цены оптовые)(?![а-яёa-z0-9])") | plain.rlike(r"^\d+(?:\.\d+)*\s+[^0-9]*$")
     words = F.size(F.filter(F.split(plain, r"\s+"), lambda w: w != ""))
     return service & ~(has_numbers & (words >= 2))
+
+
+# Whole words by which a name states its profile, in the order in which they are tried.
+PROFILE_WORDS = {
+    "ПРУТОК": ("пруток", "прутки"), "КРУГ": ("круг", "круги", "круглый"), "ТРУБА": ("труба", "трубка", "трубки"), "ПРОВОЛОКА": ("проволока", "проволоки"),
+    "ЛИСТ": ("лист", "листы"), "ПЛИТА": ("плита", "плиты"), "ПОЛОСА": ("полоса", "полосы"), "ЛЕНТА": ("лента", "ленты"), "КВАДРАТ": ("квадрат", "квадраты"),
+    "ШЕСТИГРАННИК": ("шестигранник", "шестигранники"), "КОЛЬЦО": ("кольцо", "кольца"), "ПОКОВКА": ("поковка", "поковки"),
+}
+
+
+def plain_profile_word(text: Column) -> Column:
+    """The profile that a name states by a whole word, the first of PROFILE_WORDS; else null."""
+    low = F.lower(text)
+    return F.coalesce(*[F.when(low.rlike(rf"(?<!{_LETTER}|_)(?:{'|'.join(words)})(?!{_LETTER}|_)"), F.lit(name)) for name, words in PROFILE_WORDS.items()])

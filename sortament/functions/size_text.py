@@ -40,3 +40,17 @@ def wall_of_tube(outer: Column, inner: Column) -> Column:
     """Half of outer less inner diameter; null unless that is above 0."""
     wall = ((outer - inner) / 2).cast("decimal(18,6)")
     return F.when(wall > 0, wall)
+
+
+def looks_like_size(text: Column) -> Column:
+    """Whether a cell begins with a number, after a sign of a diameter or "from" at most."""
+    return F.lower(F.trim(text)).rlike(rf"^(?:[фø⌀]\s*)?(?:от\s+)?{_NUMBER}")
+
+
+def looks_like_size_expression(text: Column) -> Column:
+    """Whether a cell states sizes: a number, a range, numbers joined by x, or millimetres;
+    a text that cites a standard doesn't."""
+    low = F.lower(F.trim(text))
+    several = low.rlike(r"\d\s*[xх×]\s*\d")
+    alone = low.rlike(rf"^{_NUMBER}(?:\s*[-–—]\s*{_NUMBER})?$")
+    return ~low.rlike("гост|ту |ост ") & low.rlike(r"\d") & (F.contains(low, F.lit("мм")) | several | alone)

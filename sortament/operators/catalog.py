@@ -9,14 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sortament.functions.text import compact_key
+from sortament.functions.text import grade_match_key, profile_key
 from sortament.operators.joins import broadcast_if_small
 
 
-def catalog_violations(grades: DataFrame, aliases: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+def catalog_violations(grades: DataFrame, aliases: DataFrame, relations: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """(check, subject): blank or repeated ids, repeated canonical keys, confirmed records
     without source, aliases without grade, alias keys that are another grade's canonical
-    key or belong to several grades, relations to unknown grades or to itself."""
+    key or belong to several grades, relations to unknown grades or to itself, negative
+    tolerances and profiles with several confirmed rules.
+
+    ``rules``: (rule_id, profile, tolerance1, tolerance2, tolerance3, status,
+    source_reference); a null tolerance is none."""
 
     def rows(check: str, df: DataFrame, subject: str) -> DataFrame:
         return df.select(F.lit(check).alias("check"), F.col(subject).cast("string").alias("subject")).distinct()
@@ -24,8 +28,8 @@ def catalog_violations(grades: DataFrame, aliases: DataFrame, relations: DataFra
     def repeated(check: str, df: DataFrame, column) -> DataFrame:
         return rows(check, df.groupBy(column.alias("s")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and s is not null"), "s")
 
-    canonical = grades.select("grade_id", compact_key(F.col("canonical")).alias("key"))
-    named = aliases.select("alias_id", "canonical_grade_id", compact_key(F.col("alias")).alias("key"))
+    canonical = grades.select("grade_id", grade_match_key(F.col("canonical")).alias("key"))
+    named = aliases.select("alias_id", "canonical_grade_id", grade_match_key(F.col("alias")).alias("key"))
     found = [
         repeated("repeated_grade_id", grades, F.col("grade_id")),
         repeated("repeated_alias_id", aliases, F.col("alias_id")),
@@ -40,6 +44,11 @@ def catalog_violations(grades: DataFrame, aliases: DataFrame, relations: DataFra
         ends = relations.select("equivalence_id", F.explode(F.array("source_grade_id", "target_grade_id")).alias("grade_id"))
         found.append(rows("relation_to_unknown_grade", ends.join(grades, "grade_id", "left_anti"), "equivalence_id"))
         found.append(rows("relation_to_itself", relations.where("source_grade_id = target_grade_id"), "equivalence_id"))
+    if rules is not None:
+        found.append(repeated("repeated_rule_id", rules, F.col("rule_id")))
+        found.append(rows("rule_without_source", rules.where("status = 'CONFIRMED' and trim(coalesce(source_reference, '')) = ''"), "rule_id"))
+        found.append(rows("negative_tolerance", rules.where("least(tolerance1, tolerance2, tolerance3) < 0"), "rule_id"))
+        found.append(repeated("several_confirmed_rules", rules.where("status = 'CONFIRMED'"), profile_key(F.col("profile"))))
     result = found[0]
     for part in found[1:]:
         result = result.unionByName(part)
@@ -47,18 +56,22 @@ def catalog_violations(grades: DataFrame, aliases: DataFrame, relations: DataFra
 
 
 def resolve_names(rows: DataFrame, name: str, grades: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``rows`` with ``grade_id``, ``canonical`` and ``resolution`` (CANONICAL, ALIAS or
-    UNKNOWN): the canonical entry with the same key, else that of an alias that isn't
-    rejected. A canonical name wins over an alias; of aliases the one with the last id."""
-    canonical = grades.select(F.col("grade_id").alias("_cid"), F.col("canonical").alias("_canonical"), compact_key(F.col("canonical")).alias("_ckey")).dropDuplicates(["_ckey"])
-    used = aliases.where("status <> 'REJECTED'").select(compact_key(F.col("alias")).alias("_akey"), "alias_id", F.col("canonical_grade_id").alias("_aid"))
-    last = used.groupBy("_akey").agg(F.max_by("_aid", "alias_id").alias("_aid"))
+    """``rows`` with ``grade_id``, ``canonical``, ``resolution`` (CANONICAL, ALIAS or
+    UNKNOWN) and ``name_status`` (the status of the entry or alias): the canonical entry
+    with the same key, else that of an alias that isn't rejected. A canonical name wins
+    over an alias; of entries the one with the smallest id, of aliases that with the last."""
+    keyed_entries = grades.select("grade_id", "canonical", "status", grade_match_key(F.col("canonical")).alias("_ckey"))
+    canonical = keyed_entries.groupBy("_ckey").agg(F.min_by(F.struct("grade_id", "canonical", "status"), "grade_id").alias("g"))
+    canonical = canonical.select("_ckey", F.col("g.grade_id").alias("_cid"), F.col("g.canonical").alias("_canonical"), F.col("g.status").alias("_cstatus"))
+    used = aliases.where("status <> 'REJECTED'").select(grade_match_key(F.col("alias")).alias("_akey"), "alias_id", F.col("canonical_grade_id").alias("_aid"), F.col("status").alias("_astatus"))
+    last = used.groupBy("_akey").agg(F.max_by("_aid", "alias_id").alias("_aid"), F.max_by("_astatus", "alias_id").alias("_astatus"))
     names = grades.select(F.col("grade_id").alias("_aid"), F.col("canonical").alias("_acanonical")).dropDuplicates(["_aid"])
     alias = last.join(names, "_aid")
-    keyed = rows.withColumn("_key", compact_key(F.col(name)))
+    keyed = rows.withColumn("_key", grade_match_key(F.col(name)))
     joined = keyed.join(broadcast_if_small(canonical), F.col("_key") == F.col("_ckey"), "left").join(broadcast_if_small(alias), F.col("_key") == F.col("_akey"), "left")
     kind = F.when(F.col("_cid").isNotNull(), "CANONICAL").when(F.col("_aid").isNotNull(), "ALIAS").otherwise("UNKNOWN")
-    return joined.select(*rows.columns, F.coalesce("_cid", "_aid").alias("grade_id"), F.coalesce("_canonical", "_acanonical").alias("canonical"), kind.alias("resolution"))
+    found = [F.coalesce("_cid", "_aid").alias("grade_id"), F.coalesce("_canonical", "_acanonical").alias("canonical"), kind.alias("resolution")]
+    return joined.select(*rows.columns, *found, F.when(F.col("_cid").isNotNull(), F.col("_cstatus")).otherwise(F.col("_astatus")).alias("name_status"))
 
 
 def relation_edges(relations: DataFrame) -> DataFrame:
@@ -89,7 +102,7 @@ def names_of_grades(grades: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def singleton_keys(names: DataFrame) -> DataFrame:
     """(key, name) of the keys that only one spelling has."""
-    keyed = names.select(compact_key(F.col("name")).alias("key"), "name").where("key <> ''").distinct()
+    keyed = names.select(grade_match_key(F.col("name")).alias("key"), "name").where("key <> ''").distinct()
     return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name")).where("n = 1").select("key", "name")
 
 

@@ -30,9 +30,7 @@ def append_once(spark: SparkSession, path: str, batch: DataFrame, key: str, payl
     """Append the new rows of ``batch`` to the Parquet table at ``path``; the number of
     rows written. Repeating a call writes nothing. Raises if a key comes with another
     payload. Plain Parquet has no transactions: one writer at a time."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    target = spark.read.parquet(path) if exists else None
+    target = spark.read.parquet(path) if _exists(spark, path) else None
     if target is not None and payload_hash and not conflicting_keys(target, batch, key, payload_hash).isEmpty():
         raise ValueError("a key comes with another payload")
     fresh = new_rows(target, batch, key)
@@ -51,15 +49,33 @@ def bundle_hash(files: DataFrame) -> str:
     return whole.hexdigest()
 
 
-def blob_path(folder: str, digest: Column, suffix: str = "") -> Column:
-    """Where a content-addressed store keeps a blob: a folder by the digest's first two signs."""
-    return F.concat(F.lit(f"{folder}/"), F.substring(digest, 1, 2), F.lit("/"), digest, F.lit(suffix))
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def blob_path(folder: str, digest: Column) -> Column:
+    """Where a content-addressed store keeps a blob: its rows of two first signs of the digest."""
+    return F.concat(F.lit(f"{folder}/part="), F.substring(digest, 1, 2))
 
 
 def store_blobs(blobs: DataFrame, content: str, folder: str) -> DataFrame:
-    """(digest, size, path) of the distinct contents; each is written once by the executors
-    as a row of a Parquet table partitioned by the digest's beginning, which keeps many
-    small blobs in few files."""
+    """(digest, size, path) of the distinct contents, which the executors write as rows of a
+    Parquet table partitioned by the digest's beginning: many small blobs in few files.
+    What the store has isn't written again. ``path`` is the part that holds the blob;
+    ``read_blobs`` reads it. Null contents are none."""
+    spark = blobs.sparkSession
     distinct = blobs.where(F.col(content).isNotNull()).select(F.sha2(F.col(content), 256).alias("digest"), F.col(content).alias("content")).dropDuplicates(["digest"])
-    distinct.withColumn("part", F.substring("digest", 1, 2)).write.mode("append").partitionBy("part").parquet(folder)
+    fresh = distinct.withColumn("part", F.substring("digest", 1, 2))
+    if _exists(spark, folder):
+        fresh = fresh.join(spark.read.parquet(folder).select("digest"), "digest", "left_anti")
+    fresh.write.mode("append").partitionBy("part").parquet(folder)
     return distinct.select("digest", F.octet_length("content").cast("long").alias("size"), blob_path(folder, F.col("digest")).alias("path"))
+
+
+def read_blobs(spark: SparkSession, folder: str, digests: DataFrame) -> DataFrame:
+    """(digest, content) of the store's blobs with one of ``digests`` (digest); only the
+    parts that may hold them are read."""
+    wanted = digests.select("digest", F.substring("digest", 1, 2).alias("part")).distinct()
+    store = spark.read.schema("digest string, content binary, part string").parquet(folder)
+    return store.join(wanted, ["part", "digest"]).select("digest", "content")

@@ -2,7 +2,8 @@
 
 Queries are a small table; items of any number are scanned once. An item is reached by an
 equi-join on profile, and its grade's tier (exact, alias, relation, fuzzy) is decided on
-the distinct pairs of query and item grades, not on the items.
+the distinct pairs of query and item grades, not on the items. Fuzzy pairs are found by
+the pieces of spelling that they must share, so no grade is compared with every other.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from sortament.functions.dimensions import combined_score, size_similarity, sizes_match, units_agree
 from sortament.functions.distances import fuzzy_similarity
 from sortament.functions.profiles import search_profiles
-from sortament.functions.text import compact_key
-from sortament.operators.catalog import names_of_grades, relation_edges, resolve_names
+from sortament.functions.text import grade_match_key
+from sortament.operators.catalog import first_rule, names_of_grades, relation_edges, resolve_names
 from sortament.operators.joins import broadcast_if_small
 from sortament.session import materialise
 
@@ -23,47 +24,84 @@ TIERS = ("EXACT", "ALIAS", "CONFIRMED_RELATION", "PROPOSED_RELATION", "FUZZY")
 BASE_SCORE = {"EXACT": 1.0, "ALIAS": 0.97, "CONFIRMED_RELATION": 0.9, "PROPOSED_RELATION": 0.72}
 FUZZY_CEILING = 0.84
 SIZES = ("dim1", "dim2", "dim3")
+#: What the similarity of two keys may have beside 0.82 x the ratio of matched letters.
+_BESIDE = 0.18
 
 
-def grade_tiers(query_grades: DataFrame, item_grades: DataFrame, grades: DataFrame, aliases: DataFrame, relations: DataFrame | None, threshold: float) -> DataFrame:
-    """(query_grade, item_grade, tier, grade_score, tier_review) of the distinct pairs that
-    match. A relation that exists but isn't usable gives no fuzzy fallback."""
+def _pieces(key: Column, ratio: float) -> Column:
+    """What two keys must have one of in common to reach ``ratio`` of matched letters.
+
+    Of keys of a and b letters M match, in at most a + b - 2M + 1 blocks, so they share at
+    least 3M - (a + b) - 1 pairs of neighbours: one, if the ratio 2M / (a + b) is at least
+    2/3 + 4/3 / (a + b). Short keys, which may fall under that, and all keys at a lower
+    ratio, must share a letter."""
+    letters = F.array_distinct(F.split(key, ""))
+    if ratio <= 2 / 3:
+        return letters
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 1, F.lit(1))), lambda i: F.substr(key, i, F.lit(2)))
+    short = 4 / 3 / (ratio - 2 / 3)
+    return F.array_distinct(F.when(F.length(key) <= short, F.concat(letters, pairs)).otherwise(pairs))
+
+
+def fuzzy_pairs(asked: DataFrame, spelled: DataFrame, threshold: float) -> DataFrame:
+    """(query_grade, item_grade, s): pairs of ``asked`` (query_grade, qk) and ``spelled``
+    (item_grade, spelling) whose keys are similar by ``threshold`` or more, with the best
+    similarity of the item's spellings. Complete at every threshold; at one that any two
+    keys reach, each query meets each spelling."""
+    ratio = (threshold - _BESIDE) / 0.82
+    spelled, asked = materialise(spelled.where("spelling <> ''").distinct()), materialise(asked.where("qk <> ''").distinct())
+    # Edits bound the matched letters: these are a common subsequence of both.
+    a, b = F.length("qk").cast("double"), F.length("spelling").cast("double")
+    edits = F.levenshtein("qk", "spelling").cast("double")
+    same_start = (F.substring("qk", 1, 2) == F.substring("spelling", 1, 2)).cast("double")
+    lengths = 0.15 * F.least(a, b) / F.greatest(a, b)
+    reach = 0.82 * 2 * F.least(a, b) / (a + b) + lengths + 0.03 >= threshold - 1e-9
+    if ratio > 0:
+        left = broadcast_if_small(asked.withColumn("piece", F.explode(_pieces(F.col("qk"), ratio))))
+        met = spelled.withColumn("piece", F.explode(_pieces(F.col("spelling"), ratio))).join(left, "piece").where(reach)
+        met = met.select("query_grade", "qk", "item_grade", "spelling").distinct()
+    else:
+        met = spelled.join(broadcast_if_small(asked), reach)
+    met = met.where(0.82 * (1 - edits / (a + b)) + lengths + 0.03 * same_start >= threshold - 1e-9)
+    return met.withColumn("s", fuzzy_similarity("qk", "spelling")).where(F.col("s") >= threshold).groupBy("query_grade", "item_grade").agg(F.max("s").alias("s"))
+
+
+def grade_tiers(
+    query_grades: DataFrame, item_grades: DataFrame, grades: DataFrame, aliases: DataFrame, relations: DataFrame | None, threshold: float, *, include_proposed: bool = True, include_fuzzy: bool = True
+) -> DataFrame:
+    """(query_grade, item_grade, tier, grade_score, tier_review, tier_warning) of the
+    distinct pairs that match. An alias needs review unless both names are confirmed. A
+    relation that exists but isn't usable gives no fuzzy fallback."""
+
+    def tier(df: DataFrame, name: Column | str, score: Column | float, review: Column | bool, warning: Column | None = None) -> DataFrame:
+        columns = [F.lit(x) if isinstance(x, (str, float, bool)) else x for x in (name, score, review, warning if warning is not None else F.lit(None).cast("string"))]
+        return df.select("query_grade", "item_grade", *[c.alias(n) for c, n in zip(columns, ("tier", "grade_score", "tier_review", "tier_warning"), strict=True)])
+
     q = resolve_names(query_grades.select(F.col("grade").alias("query_grade")).distinct(), "query_grade", grades, aliases)
     i = resolve_names(item_grades.select(F.col("grade").alias("item_grade")).where("item_grade is not null").distinct(), "item_grade", grades, aliases)
-    q = materialise(q.select("query_grade", compact_key(F.col("query_grade")).alias("qk"), F.col("grade_id").alias("qid")))
-    i = materialise(i.select("item_grade", compact_key(F.col("item_grade")).alias("ik"), F.col("grade_id").alias("iid")).where("ik <> ''"))
-    exact = q.join(i, q["qk"] == i["ik"]).select("query_grade", "item_grade", F.lit("EXACT").alias("tier"), F.lit(1.0).alias("grade_score"), F.lit(False).alias("tier_review"))
-    alias = q.join(i, (q["qid"] == i["iid"]) & (q["qk"] != i["ik"])).select("query_grade", "item_grade", F.lit("ALIAS").alias("tier"), F.lit(BASE_SCORE["ALIAS"]).alias("grade_score"), F.lit(True).alias("tier_review"))
+    q = materialise(q.select("query_grade", grade_match_key(F.col("query_grade")).alias("qk"), F.col("grade_id").alias("qid"), F.col("name_status").alias("qs")))
+    i = materialise(i.select("item_grade", grade_match_key(F.col("item_grade")).alias("ik"), F.col("grade_id").alias("iid"), F.col("name_status").alias("i_s")).where("ik <> ''"))
+    confirmed = F.coalesce((F.col("qs") == "CONFIRMED") & (F.col("i_s") == "CONFIRMED"), F.lit(False))
+    exact = tier(q.join(i, q["qk"] == i["ik"]), "EXACT", 1.0, False)
+    alias = tier(q.join(i, (q["qid"] == i["iid"]) & (q["qk"] != i["ik"])), "ALIAS", BASE_SCORE["ALIAS"], ~confirmed, F.when(~confirmed, "ALIAS_NOT_CONFIRMED"))
     known = exact.unionByName(alias)
     if relations is not None:
-        edges = relation_edges(relations)
-        related = q.join(edges, q["qid"] == edges["a"]).join(i, F.col("b") == i["iid"])
-        kind = F.when(F.col("status") == "CONFIRMED", "CONFIRMED_RELATION").otherwise("PROPOSED_RELATION")
-        score = F.when(F.col("status") == "CONFIRMED", BASE_SCORE["CONFIRMED_RELATION"]).otherwise(BASE_SCORE["PROPOSED_RELATION"])
-        review = (F.col("status") != "CONFIRMED") | (F.upper(F.trim("relation_type")) != "EQUIVALENT")
-        relation = related.select("query_grade", "item_grade", kind.alias("tier"), score.alias("grade_score"), F.coalesce(review, F.lit(True)).alias("tier_review"))
+        related = q.join(relation_edges(relations), F.col("qid") == F.col("a")).join(i, F.col("b") == F.col("iid"))
+        sure = F.coalesce(F.col("status") == "CONFIRMED", F.lit(False))
+        whole = F.coalesce(F.upper(F.trim("relation_type")) == "EQUIVALENT", F.lit(False))
+        kind, score = (F.when(sure, F.lit(x)).otherwise(F.lit(y)) for x, y in (("CONFIRMED_RELATION", "PROPOSED_RELATION"), (BASE_SCORE["CONFIRMED_RELATION"], BASE_SCORE["PROPOSED_RELATION"])))
+        warning = F.when(~sure, "RELATION_NOT_CONFIRMED").when(~whole, "RELATION_APPROXIMATE")
+        relation = tier(related, kind, score, ~(sure & whole), warning)
         known = known.unionByName(relation.join(known.select("query_grade", "item_grade"), ["query_grade", "item_grade"], "left_anti"))
     known = materialise(known)  # distinct pairs of grades, not of items
-    # Fuzzy: the item's spelling and all names of its grade. A bound leaves out pairs that
-    # can't reach the threshold: matched blocks are a common subsequence, so their ratio
-    # is at most 1 less edits over both lengths.
-    spelled = i.select("item_grade", F.col("ik").alias("spelling"))
-    others = i.join(names_of_grades(grades, aliases).select(F.col("grade_id").alias("iid"), compact_key(F.col("name")).alias("spelling")), "iid").select("item_grade", "spelling")
-    spelled = spelled.unionByName(others).distinct()
-    a, b = F.length("qk").cast("double"), F.length("spelling").cast("double")
-    edits = F.levenshtein("qk", "spelling").cast("double")
-    same_start = (F.substring("qk", 1, 2) == F.substring("spelling", 1, 2)).cast("double")
-    bound = 0.82 * (1 - edits / (a + b)) + 0.15 * F.least(a, b) / F.greatest(a, b) + 0.03 * same_start
-    # The queries are few; each meets the distinct spellings, not the items.
-    # Edits are at least the difference of the lengths, so these bound the bound.
-    reach = 0.82 * 2 * F.least(a, b) / (a + b) + 0.15 * F.least(a, b) / F.greatest(a, b) + 0.03
-    asked = q.where("qk <> ''").select("query_grade", "qk").distinct()
-    pairs = spelled.where("spelling <> ''").join(broadcast_if_small(asked, 10_000), reach >= threshold - 1e-9)
-    pairs = pairs.where(bound >= threshold - 1e-9).join(known.select("query_grade", "item_grade"), ["query_grade", "item_grade"], "left_anti")
-    scored = pairs.withColumn("s", fuzzy_similarity("qk", "spelling")).where(F.col("s") >= threshold)
-    best = scored.groupBy("query_grade", "item_grade").agg(F.max("s").alias("s"))
-    fuzzy = best.select("query_grade", "item_grade", F.lit("FUZZY").alias("tier"), F.least("s", F.lit(FUZZY_CEILING)).alias("grade_score"), F.lit(True).alias("tier_review"))
-    return known.unionByName(fuzzy)
+    shown = known if include_proposed else known.where("tier <> 'PROPOSED_RELATION'")
+    if not include_fuzzy:
+        return shown
+    # The item's spelling and all names of its grade.
+    others = i.join(names_of_grades(grades, aliases).select(F.col("grade_id").alias("iid"), grade_match_key(F.col("name")).alias("spelling")), "iid").select("item_grade", "spelling")
+    spelled = i.select("item_grade", F.col("ik").alias("spelling")).unionByName(others)
+    similar = fuzzy_pairs(q.select("query_grade", "qk"), spelled, threshold).join(known.select("query_grade", "item_grade"), ["query_grade", "item_grade"], "left_anti")
+    return shown.unionByName(tier(similar, "FUZZY", F.least("s", F.lit(FUZZY_CEILING)), True, F.lit("FUZZY_IS_NO_EQUIVALENCE")))
 
 
 def _order(tier: Column, near: Column) -> Column:
@@ -79,42 +117,78 @@ def catalog_search(
     grades: DataFrame,
     aliases: DataFrame,
     relations: DataFrame | None = None,
+    rules: DataFrame | None = None,
     *,
     threshold: float = 0.82,
     limit: int = 20,
+    include_proposed: bool = True,
+    include_fuzzy: bool = True,
+    include_unruled_near: bool = True,
 ) -> DataFrame:
     """The best ``limit`` items of each query: (query_id, offer_id, tier, match_type, score,
-    requires_review, tie, position).
+    requires_review, tie, rule_id, warnings, query_warnings, position).
 
     ``queries``: (query_id, profile, grade, q1, q2, q3, q_unit). A null size asks for
     nothing. If any item of a query has its sizes, others are left out; else items come
-    by the nearness of their sizes and need review. ``tie``: a fuzzy hit as good as one of
-    another grade. Ties count before the limit.
+    by the nearness of their sizes and need review. Where the profile asked for has a
+    confirmed rule (``rules``: rule_id, profile, tolerance1, tolerance2, tolerance3,
+    status), each asked size must be within its tolerance; where it has none, near items
+    come with ``include_unruled_near``. ``include_proposed`` and ``include_fuzzy``: whether
+    relations that aren't confirmed and similar spellings count.
+
+    ``tie``: a fuzzy hit as good as one of another grade. Ties and the query's warnings
+    (all need review, a tie) count all hits, before the limit. An empty table of items or
+    queries gives no rows; a null grade or profile matches nothing.
     """
     if not 1 <= limit <= 200 or not 0 <= threshold <= 1:
         raise ValueError("limit is 1 to 200 and threshold 0 to 1")
-    asked = queries.select("query_id", F.explode(search_profiles(F.upper(F.trim("profile")))).alias("profile"), F.col("grade").alias("query_grade"), "q1", "q2", "q3", "q_unit")
-    tiers = materialise(grade_tiers(queries, items, grades, aliases, relations, threshold))
-    wanted = materialise(asked.join(tiers, "query_grade"))
+    asked = queries.select("query_id", F.upper(F.trim("profile")).alias("asked_profile"), F.col("grade").alias("query_grade"), "q1", "q2", "q3", "q_unit")
+    if rules is not None:
+        first = first_rule(rules).select(F.upper(F.trim("profile")).alias("asked_profile"), "rule_id", "tolerance1", "tolerance2", "tolerance3")
+        asked = asked.join(broadcast_if_small(first), "asked_profile", "left")
+    else:
+        asked = asked.select("*", F.lit(None).cast("string").alias("rule_id"), *[F.lit(None).cast("decimal(18,6)").alias(f"tolerance{n}") for n in (1, 2, 3)])
+    asked = asked.withColumn("profile", F.explode(search_profiles(F.col("asked_profile"))))
+    tiers = materialise(grade_tiers(queries, items, grades, aliases, relations, threshold, include_proposed=include_proposed, include_fuzzy=include_fuzzy))
+    wanted = asked.join(tiers, "query_grade")
     hits = items.withColumnRenamed("grade", "item_grade").join(broadcast_if_small(wanted), ["profile", "item_grade"])
     want, have = [F.col(c) for c in ("q1", "q2", "q3")], [F.col(c) for c in SIZES]
-    exact = sizes_match(want, have) & units_agree(F.col("q_unit"), F.col("dim1_unit"))
+    no_size = F.col("q1").isNull() & F.col("q2").isNull() & F.col("q3").isNull()
+    exact = no_size | (sizes_match(want, have) & units_agree(F.col("q_unit"), F.col("dim1_unit")))
     near = F.coalesce(size_similarity(want, have), F.lit(1.0))
-    hits = materialise(hits.withColumn("fits", exact).withColumn("near", near).where("fits or near > 0"))
+    within = F.lit(True)
+    for n, (w, h) in enumerate(zip(want, have, strict=True), 1):
+        within = within & (w.isNull() | F.coalesce(F.abs(w - h) <= F.col(f"tolerance{n}"), F.lit(False)))
+    allowed = F.when(F.col("rule_id").isNotNull(), within).otherwise(F.lit(include_unruled_near))
+    hits = materialise(hits.withColumn("fits", exact).withColumn("near", near).where("fits or near > 0").withColumn("allowed", allowed))
     # Whether a query has an exact item, and how many grades share a fuzzy score, are
     # aggregates of few rows joined back: no window gathers all hits of a query.
     any_exact = hits.groupBy("query_id").agg(F.max("fits").alias("has_exact"))
-    kept = hits.join(broadcast_if_small(any_exact), "query_id").where("fits or not has_exact")
-    sizes_score = F.when(F.col("fits") & F.col("q1").isNull() & F.col("q2").isNull() & F.col("q3").isNull(), F.lit(None).cast("double")).otherwise(F.when(F.col("fits"), 1.0).otherwise(F.col("near")))
+    kept = hits.join(broadcast_if_small(any_exact), "query_id").where("fits or (allowed and not has_exact)")
+    sizes_score = F.when(no_size, F.lit(None).cast("double")).otherwise(F.when(F.col("fits"), 1.0).otherwise(F.col("near")))
     kept = kept.withColumn("score", F.round(combined_score(F.col("grade_score"), sizes_score), 6))
     kept = kept.withColumn("match_type", F.when(F.col("fits"), F.col("tier")).otherwise("NEAR_DIMENSION")).withColumn("requires_review", F.col("tier_review") | ~F.col("fits"))
-    tie_key = [F.round("grade_score", 6).alias("tg"), F.round(F.coalesce(sizes_score, F.lit(-1.0)), 6).alias("ts")]
-    fuzzy = kept.where("tier = 'FUZZY'").select("query_id", *tie_key, compact_key(F.col("item_grade")).alias("k"))
+    kept = kept.withColumn("tg", F.round("grade_score", 6)).withColumn("ts", F.round(F.coalesce(sizes_score, F.lit(-1.0)), 6))
+    fuzzy = kept.where("match_type = 'FUZZY'").select("query_id", "tg", "ts", grade_match_key(F.col("item_grade")).alias("k"))
     ties = fuzzy.groupBy("query_id", "tg", "ts").agg(F.countDistinct("k").alias("grades_at")).where("grades_at > 1")
-    kept = kept.withColumn("tg", tie_key[0]).withColumn("ts", tie_key[1]).join(broadcast_if_small(ties), ["query_id", "tg", "ts"], "left")
-    kept = kept.withColumn("tie", (F.col("tier") == "FUZZY") & F.col("grades_at").isNotNull())
+    kept = kept.join(broadcast_if_small(ties), ["query_id", "tg", "ts"], "left")
+    kept = kept.withColumn("tie", (F.col("match_type") == "FUZZY") & F.col("grades_at").isNotNull())
+    of_query = kept.groupBy("query_id").agg(F.every("requires_review").alias("all_review"), F.max("tie").alias("any_tie"))
+    kept = kept.join(broadcast_if_small(of_query), "query_id")
+    near_warning = F.when(~F.col("fits"), F.when(F.col("rule_id").isNull(), "NEAR_SIZE_WITHOUT_RULE").otherwise("NEAR_SIZE_NEEDS_CONFIRMATION"))
+    warnings = F.array_compact(F.array("tier_warning", near_warning, F.when(F.col("tie"), "AMBIGUOUS_FUZZY_TIE")))
+    about = F.array_compact(F.array(F.when(F.col("any_tie"), "AMBIGUOUS_FUZZY_TIE"), F.when(F.col("all_review"), "ALL_NEED_REVIEW")))
     deltas = [F.abs(w - h).asc_nulls_last() for w, h in zip(want, have, strict=True)]
     best = Window.partitionBy("query_id").orderBy(_order(F.col("tier"), ~F.col("fits")), "requires_review", F.col("score").desc(), *deltas, F.lower("supplier"), "offer_id")
     # A window limit: Spark keeps the first ``limit`` rows of each query before the shuffle.
     top = kept.withColumn("position", F.row_number().over(best)).where(F.col("position") <= limit)
-    return top.select("query_id", "offer_id", "tier", "match_type", "score", "requires_review", "tie", F.col("position").cast("long").alias("position"))
+    rule = F.when(~F.col("fits"), F.col("rule_id")).alias("rule_id")
+    return top.select("query_id", "offer_id", "tier", "match_type", "score", "requires_review", "tie", rule, warnings.alias("warnings"), about.alias("query_warnings"), F.col("position").cast("long").alias("position"))
+
+
+def search_warnings(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, warnings) of every query: those of its hits, or NOTHING_FOUND. Nothing is
+    ever applied by a search."""
+    told = hits.groupBy("query_id").agg(F.first("query_warnings").alias("w"))  # the same in all of a query's hits
+    joined = queries.select("query_id").distinct().join(told, "query_id", "left")
+    return joined.select("query_id", F.coalesce("w", F.array(F.lit("NOTHING_FOUND"))).alias("warnings"))

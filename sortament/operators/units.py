@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from decimal import Decimal
 from fractions import Fraction
 from functools import reduce
+from math import lcm
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,20 +119,44 @@ class UnitGraph:
 def conversion_table(
     spark: SparkSession, targets: tuple[str, ...], graph: UnitGraph | None = None, spellings=SPELLINGS
 ) -> DataFrame:
-    """(spelling, base_unit, scale, shift): one row per spelling and target it converts to."""
+    """(spelling, base_unit, scale, shift, part): one row per spelling and target it converts
+    to; the value is (scale x amount + shift) / part. ``part`` is 1 unless the factor has no
+    finite decimal form, so nothing is rounded before the end."""
     graph = graph or UnitGraph.of()
     rows = []
     for target in targets:
         for unit, f in graph.to(target).items():
             for spelling in spellings.get(unit, ()):
-                rows.append((spelling, target, _decimal(f.scale), _decimal(f.shift)))
-    return spark.createDataFrame(rows, "spelling string, base_unit string, scale string, shift string").select(
-        "spelling", "base_unit", F.col("scale").cast("decimal(19,9)").alias("scale"), F.col("shift").cast("decimal(19,9)").alias("shift")
+                part = lcm(_endless(f.scale), _endless(f.shift))
+                rows.append((spelling, target, _decimal(f.scale * part), _decimal(f.shift * part), part))
+    return spark.createDataFrame(rows, "spelling string, base_unit string, scale string, shift string, part long").select(
+        "spelling", "base_unit", F.col("scale").cast("decimal(19,9)").alias("scale"), F.col("shift").cast("decimal(19,9)").alias("shift"), "part"
     )
 
 
+def _endless(x: Fraction) -> int:
+    """The part of a denominator that gives no finite decimal."""
+    rest = x.denominator
+    for prime in (2, 5):
+        while rest % prime == 0:
+            rest //= prime
+    return rest
+
+
 def _decimal(x: Fraction) -> str:
-    return format(Decimal(x.numerator) / Decimal(x.denominator), "f")
+    shown = format(Decimal(x.numerator) / Decimal(x.denominator), "f")
+    if Fraction(shown) != x or abs(x) >= 10**10 or (x * 10**9).denominator != 1:
+        raise ValueError(f"{x} has more digits than a factor may have")
+    return shown
+
+
+def _rounded(exact: Column, part: Column) -> Column:
+    """``exact`` / ``part`` rounded half up, away from 0, without rounding in between."""
+    size = F.abs(exact)
+    whole = F.floor(size / part).cast("decimal(38,0)")
+    whole = F.when(whole * part > size, whole - 1).otherwise(whole)  # a quotient may be rounded up to a whole
+    up = F.when((size - whole * part) * 2 >= part, 1).otherwise(0)
+    return (F.when(exact < 0, -1).otherwise(1) * (whole + up)).cast("long")
 
 
 def unit_key(text: Column) -> Column:
@@ -187,7 +212,9 @@ def to_base(measures: DataFrame, targets: dict[str, tuple[str, ...]]) -> DataFra
     on = (F.col("measure") == F.col("of")) & (F.col("unit") == F.col("spelling"))
     joined = measures.where(F.col("amount").isNotNull()).join(F.broadcast(table), on)
     exact = F.col("amount") * F.col("scale") + F.col("shift")
-    return joined.withColumn("base_value", F.round(exact, 0).cast("long")).drop("of", "spelling", "scale", "shift", "amount", "unit")
+    part = F.col("part").cast("decimal(19,0)")
+    value = F.when(F.col("part") == 1, F.round(exact, 0).cast("long")).otherwise(_rounded(exact, part))
+    return joined.withColumn("base_value", value).drop("of", "spelling", "scale", "shift", "part", "amount", "unit")
 
 
 def unknown_units(measures: DataFrame, amount: str, unit: str) -> DataFrame:

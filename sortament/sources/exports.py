@@ -23,7 +23,9 @@ def source_text() -> Column:
     return F.concat_ws(" / ", "source_file", "source_sheet", F.concat(F.lit("строка "), F.col("source_row").cast("string")), "source_block")
 
 
-def _shown(value: object) -> object:
+def _shown(value: object, heading: str) -> object:
+    if value is None and heading == "Цена":
+        return "?"
     if isinstance(value, Decimal):
         return int(value) if value == value.to_integral_value() else float(value)
     return value
@@ -32,17 +34,16 @@ def _shown(value: object) -> object:
 def _rows(df: DataFrame, columns: dict[str, str]) -> Iterator[list[object]]:
     yield list(columns)
     for row in df.select(*columns.values()).toLocalIterator(prefetchPartitions=True):
-        yield [_shown(v) for v in row]
+        yield [_shown(v, heading) for heading, v in zip(columns, row, strict=True)]
 
 
 def _presented(offers: DataFrame) -> DataFrame:
-    price = F.coalesce(F.col("price_rub_kg").cast("decimal(18,4)").cast("string"), F.lit("?"))
-    return offers.withColumn("source", source_text()).withColumn("price_rub_kg", F.regexp_replace(price, r"\.?0+$", ""))
+    return offers.withColumn("source", source_text())
 
 
 def export_offers(offers: DataFrame, path: str, *, search: DataFrame | None = None) -> None:
     """A workbook of all offers and, if given, a sheet of a search's hits. A missing price
-    is shown as ``?``; whole decimals are shown as integers."""
+    is shown as ``?``; prices and sizes are numbers, whole ones integers."""
     sheets = {"Предложения": _rows(_presented(offers), OFFER_COLUMNS)}
     if search is not None:
         sheets["Поиск"] = _rows(_presented(search), SEARCH_COLUMNS)

@@ -1,9 +1,13 @@
+import random
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
+from sortament.functions.distances import _similarity
 from sortament.operators import catalog
-from sortament.operators.search_catalog import catalog_search
+from sortament.operators.resolve_profile import resolve_profiles
+from sortament.operators.search_catalog import catalog_search, fuzzy_pairs, search_warnings
 from sortament.operators.search_mask import EXACT, Inventory, expand_round_bars, inventory_of, mask_search, ranked, read_mask
 from tests.conftest import rows
 
@@ -101,6 +105,61 @@ def test_alias_relation_and_fuzzy(spark, lists):
     assert search(spark, ("ЛИСТ", "БРБ2", (None, None, None)), data, lists) == []
 
 
+def test_confirmed_aliases_need_no_review(spark, lists):
+    grades, aliases, relations = lists
+    sure = grades.withColumn("status", F.lit("CONFIRMED")), aliases, relations
+    data = [(1, "КРУГ", "БРБ2", ("20", None, None), None)]
+    assert search(spark, ("ПРУТОК", "C17200", ("20", None, None)), data, sure) == [(1, "ALIAS", False, False)]
+
+
+def test_proposals_fuzzy_and_near_sizes_can_be_hidden(spark, lists):
+    grades, aliases, relations = lists
+    proposed = grades, aliases, relations.withColumn("status", F.lit("PROPOSED"))
+    data = [(1, "КРУГ", "AISI321", ("20", None, None), None)]
+    asked = ("КРУГ", "12Х18Н10Т", ("20", None, None))
+    assert search(spark, asked, data, proposed) == [(1, "PROPOSED_RELATION", True, False)]
+    assert search(spark, asked, data, proposed, include_proposed=False, threshold=0.0) == []  # no fuzzy fallback
+    typo = ("КРУГ", "AISI32", ("20", None, None))
+    assert search(spark, typo, data, lists) == [(1, "FUZZY", True, False)] and search(spark, typo, data, lists, include_fuzzy=False) == []
+    near = ("КРУГ", "AISI321", ("21", None, None))
+    assert search(spark, near, data, lists) == [(1, "NEAR_DIMENSION", True, False)] and search(spark, near, data, lists, include_unruled_near=False) == []
+
+
+def test_rules_bound_near_sizes(spark, lists):
+    schema = "rule_id string, profile string, tolerance1 decimal(18,6), tolerance2 decimal(18,6), tolerance3 decimal(18,6), status string, source_reference string"
+    rules = spark.createDataFrame([("r2", "ТРУБА", D(9), D(9), D(9), "CONFIRMED", "s"), ("r1", "ТРУБА", D(0), D("0.5"), None, "CONFIRMED", "s"), ("r0", "ТРУБА", D(9), D(9), D(9), "PROPOSED", None)], schema)
+    data = [(1, "ТРУБА", "304L", ("5", "2", None), None), (2, "ТРУБА", "304L", ("5", "2.1", None), None), (3, "ТРУБА", "304L", ("5.1", "1.5", None), None), (4, "ТРУБА", "304L", ("5", None, None), None)]
+    asked = spark.createDataFrame([("q", "труба", "304L", D(5), D("1.5"), None, None), ("none", "ЛИСТ", "304L", None, None, None, None)], QUERY)
+    found = catalog_search(asked, stock(spark, data), *lists, rules=rules, include_unruled_near=False)
+    assert [(r.offer_id, r.match_type, r.rule_id, r.warnings, r.requires_review) for r in found.collect()] == [(1, "NEAR_DIMENSION", "r1", ["NEAR_SIZE_NEEDS_CONFIRMATION"], True)]
+    assert rows(search_warnings(asked, found)) == [("none", ["NOTHING_FOUND"]), ("q", ["ALL_NEED_REVIEW"])]
+    assert {r.check for r in catalog.catalog_violations(lists[0], lists[1], None, rules).collect()} == {"several_confirmed_rules"}
+    bad = rules.withColumn("tolerance3", F.lit(-1).cast("decimal(18,6)")).withColumn("source_reference", F.lit(" "))
+    assert {"negative_tolerance", "rule_without_source"} <= {r.check for r in catalog.catalog_violations(lists[0], lists[1], None, bad).collect()}
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.82, 0.7, 0.5, 0.2, 0.1])
+def test_fuzzy_pairs_like_brute_force(spark, threshold):
+    pick = random.Random(threshold)
+    keys = sorted({"".join(pick.choices("AB12X", k=pick.randint(1, 9))) for _ in range(70)})
+    asked, spelled = keys[::2], keys[1::2] + keys[:6]
+    got = fuzzy_pairs(spark.createDataFrame([(k, k) for k in asked], "query_grade string, qk string"), spark.createDataFrame([(k, k) for k in spelled], "item_grade string, spelling string"), threshold)
+    assert {(r.query_grade, r.item_grade) for r in got.collect()} == {(a, b) for a in asked for b in spelled if _similarity(a, b) >= threshold}
+
+
+def test_profiles_of_the_inventory(spark):
+    items = spark.createDataFrame([("Пруток",), ("ТРУБА",), ("труба ",), ("ЛЕНТА",), ("Шестигранник",), (None,), (" ",)], "profile string")
+    asked = ["ПРУТОК", "Прутокк", "круг", "ТРУАБ", "лЕнТа", "Мебель", "", "шестиграник", "шестиграни", "Ё"]
+    got = {r["query"]: (r.status, r.profile, r.edits) for r in resolve_profiles(items, spark.createDataFrame([(a,) for a in [*asked, None]], "query string")).collect()}
+    assert got == {
+        "ПРУТОК": ("EXACT", "ПРУТОК", 0), "Прутокк": ("CORRECTED", "ПРУТОК", 1), "круг": ("EXACT", "КРУГ", 0), "ТРУАБ": ("CORRECTED", "ТРУБА", 1), "лЕнТа": ("EXACT", "ЛЕНТА", 0),
+        "Мебель": ("NOT_FOUND", None, None), "": ("ALL", None, None), "шестиграник": ("CORRECTED", "ШЕСТИГРАННИК", 1), "шестиграни": ("CORRECTED", "ШЕСТИГРАННИК", 2), "Ё": ("NOT_FOUND", None, None),
+    }
+    tie = spark.createDataFrame([("ЛИСТ",), ("ЛИСА",)], "profile string")
+    assert rows(resolve_profiles(tie, spark.createDataFrame([("ЛИС",)], "query string")).select("status")) == [("NOT_FOUND",)]
+    assert resolve_profiles(items.where("false"), spark.createDataFrame([("x",)], "query string")).first().status == "NOT_FOUND"
+
+
 def test_low_thresholds_reach_longer_spellings(spark, lists):
     data = [(1, "КРУГ", "304LABCDE", ("20", None, None), None)]
     assert search(spark, ("КРУГ", "304L", ("20", None, None)), data, lists, threshold=0.55) == [(1, "FUZZY", True, False)]

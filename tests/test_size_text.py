@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sortament.functions import size_text
 from sortament.operators.candidates import replayed_answers
 from sortament.operators.decision_log import invalid_decisions
-from sortament.operators.persist import blob_path, store_blobs
+from sortament.operators.persist import blob_path, read_blobs, store_blobs
 from tests.conftest import rows
 
 
@@ -36,8 +36,12 @@ def test_decisions(spark):
 
 
 def test_blobs(spark, tmp_path):
-    df = spark.createDataFrame([(bytearray(b"ab"),), (bytearray(b"ab"),), (None,)], "c binary")
-    stored = store_blobs(df, "c", str(tmp_path / "b")).collect()
-    assert len(stored) == 1 and stored[0]["size"] == 2 and stored[0]["path"].endswith(f"/{stored[0]['digest'][:2]}/{stored[0]['digest']}")
-    assert spark.read.parquet(str(tmp_path / "b")).count() == 1
-    assert spark.range(1).select(blob_path("x", F.lit("abcd"), ".eml")).first()[0] == "x/ab/abcd.eml"
+    df = spark.createDataFrame([(bytearray(b"ab"),), (bytearray(b"ab"),), (bytearray(b""),), (None,)], "c binary")
+    for _ in range(2):
+        stored = {r["size"]: r for r in store_blobs(df, "c", str(tmp_path / "b")).collect()}
+        assert set(stored) == {0, 2} and stored[2]["path"].endswith(f"/part={stored[2]['digest'][:2]}")
+        assert spark.read.parquet(stored[2]["path"]).first().content == b"ab"
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 2
+    wanted = spark.createDataFrame([(stored[2]["digest"],), ("0" * 64,)], "digest string")
+    assert [(r.digest, bytes(r.content)) for r in read_blobs(spark, str(tmp_path / "b"), wanted).collect()] == [(stored[2]["digest"], b"ab")]
+    assert spark.range(1).select(blob_path("x", F.lit("abcd"))).first()[0] == "x/part=ab"

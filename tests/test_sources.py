@@ -42,10 +42,49 @@ def test_vat_choice_and_late_header(spark):
     assert extract_rows(grid(spark, {"s": [["a", "b"], ["c"]]})).count() == 0
 
 
+def test_prices_say_what_they_include(spark):
+    heads = ["Наименование", "Стоимость, включая НДС", "Цена руб./кг", "Цена без НДС"]
+    grids = {"s": [heads, ["Лист 1", "10", "9", "8"], ["Лист 2", "10", "", ""], ["Лист 3", "", "9", "8"], ["Лист 4", "", "", "8"], ["Лист 5", "", "", ""]]}
+    got = {r.description: (r.price, r.comments) for r in extract_rows(grid(spark, grids)).collect()}
+    assert got == {
+        "Лист 1": ("10", ["Из двух цен выбрана цена с НДС"]), "Лист 2": ("10", ["Цена указана с НДС"]), "Лист 3": ("9", ["Статус НДС в заголовке цены не определён"]),
+        "Лист 4": ("8", ["Доступна только цена без НДС"]), "Лист 5": (None, []),
+    }
+
+
+def test_profile_and_size_columns(spark):
+    grids = {"Склад": [["Наименование", "Вид проката", "Диаметр", "Размеры мм.", "Остаток\n в кг"], ["ЭИ868(ХН60ВТ)", "круг", "ф105", "360мм", "28.9"], ["ЭИ100(20Х13Н4Г9)", "лист", "", "0,8х980х1350-1500", "745.5"]]}
+    got = [(r.description, r.profile_hint, r.size_primary, r.size_secondary, r.availability_unit) for r in extract_rows(grid(spark, grids)).orderBy("row_no").collect()]
+    assert got == [("круг ЭИ868(ХН60ВТ) ф105 360мм", "круг", "ф105", "360мм", "кг"), ("лист ЭИ100(20Х13Н4Г9) 0,8х980х1350-1500", "лист", None, "0,8х980х1350-1500", "кг")]
+    assert "Исходное обозначение поставщика: ЭИ868" in extract_rows(grid(spark, grids)).orderBy("row_no").first().comments
+
+
+def test_late_header_and_shifted_columns(spark):
+    heads = ["марки названия", "вид проката", "размер диамер / толшина", "длина / раскрой", "опысания / характеристика", "примичание", "в наличии"]
+    body = [
+        ["42ХНМ ЭП630У", "Круг", "ф5,6мм", "2000-2400мм", "ТУ", "", "в наличии"], ["ЭИ481Ш (37Х12Н8Г8МФБ-Ш", "ф20-90мм", "от 1000 кг", "ТУ 14-1-1923-76", "под заказ 70-90 дней", "", ""],
+        ["Срок поставки 40 дней", "", "", "", "", "", ""], ["Круги ЭП33", "ф7", "ф8", "100", "x", "", "да"],
+    ]
+    cells = grid(spark, {"Под заказ": [[""]] * 50 + [heads, *body]})
+    assert detect_headers(cells).first().mapping == {"description": 0, "profile": 1, "dim_primary": 2, "dimensions": 3, "availability": 6}
+    got = [(r.profile_hint, r.size_primary, r.size_secondary, r.availability, r.row_no) for r in extract_rows(cells).orderBy("row_no").collect()]
+    assert got == [("Круг", "ф5,6мм", "2000-2400мм", "в наличии", 52), (None, "ф20-90мм", None, "под заказ 70-90 дней", 53), ("КРУГ", "ф7", "100", "да", 55)]
+    notes = extract_rows(cells).where("row_no = 53").first().comments
+    assert "Обнаружено смещение колонок; значение «от 1000 кг» сохранено как дополнительное условие" not in notes  # "от 1000" reads as a size
+
+
+def test_rows_above_a_later_header(spark):
+    grids = {"a": [["Наименование", "Остаток", "Цена"], ["Лист 1", "2 т", "5"]], "b": [["Труба 2", "3 т", "6"], ["Цена", "Товар", "Наличие"], ["7", "Круг 3", "4 т"]], "c": [["8", "Лента 4", "5 т"]], "d": []}
+    got = [(r.sheet, r.description, r.availability, r.price) for r in extract_rows(grid(spark, grids)).orderBy("sheet", "row_no").collect()]
+    assert got == [("a", "Лист 1", "2 т", "5"), ("b", "Труба 2", "3 т", "6"), ("b", "Круг 3", "4 т", "7"), ("c", "Лента 4", "5 т", "8")]
+    assert detect_headers(grid(spark, {"x": [["Наличие", "Наличие", "Наименование", "Наименование товара"]]})).first().mapping == {"availability": 0, "description": 2}
+
+
 def test_carry_and_fill(spark):
     sheets = spark.createDataFrame([("f", "a", 0), ("f", "b", 1), ("f", "c", 2)], "file string, sheet string, sheet_ix int")
     headers = spark.createDataFrame([("f", "b", 1, 3, {"description": 0})], "file string, sheet string, sheet_ix int, row_no int, mapping map<string,int>")
-    assert [(r.sheet, r.mapping, r.header_row) for r in sorted(carry_mappings(sheets, headers).collect())] == [("a", None, None), ("b", {"description": 0}, 3), ("c", {"description": 0}, None)]
+    got = [(r.sheet, r.own, r.before, r.header_row) for r in sorted(carry_mappings(sheets, headers).collect())]
+    assert got == [("a", None, None, None), ("b", {"description": 0}, None, 3), ("c", None, {"description": 0}, None)]
     df = spark.createDataFrame([("g", 1, "x"), ("g", 2, " "), ("g", 3, None), ("h", 1, "")], "g string, n int, v string")
     assert rows(fill_down(df, "v", ["g"], "n")) == sorted([("g", 1, "x"), ("g", 2, "x"), ("g", 3, "x"), ("h", 1, None)], key=repr)
 
