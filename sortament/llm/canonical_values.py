@@ -135,7 +135,7 @@ def _by_words(weighed: DataFrame, known: DataFrame, least_score: float) -> DataF
     return kept.where("nears is not null").select("value", F.explode("nears").alias("near")).join(broadcast_if_small(postings), "near").select("value", "token").distinct()
 
 
-def repair_values(values: DataFrame, known: DataFrame, *, max_edits: int, part_of_length: float | None, least_score: float | None) -> DataFrame:
+def repair_values(values: DataFrame, known: DataFrame, *, max_edits: int, part_of_length: float | None, least_score: float | None, only_edits: bool = False) -> DataFrame:
     """(value, entry_id) for each distinct value of ``values`` (value, tokens: its letters
     in one, in each way to read them) that stands for an entry of ``known``; see
     ``match_values``."""
@@ -143,24 +143,32 @@ def repair_values(values: DataFrame, known: DataFrame, *, max_edits: int, part_o
     def bound(length: Column) -> Column:
         return edit_bound(length, max_edits, part_of_length)
 
+    def word_bound(length: Column) -> Column:  # short words would stand for any others
+        return edit_bound(length, max_edits, PART_OF_LENGTH if part_of_length is None else part_of_length)
+
     values = materialise(values.select("value", "tokens", _words(F.col("value")).alias("said")))
-    names = known.select(F.col("token").alias("near")).unionByName(known.select(F.explode("words.word").alias("near")))
-    close = near_tokens(values.select(F.explode(F.array_union("tokens", "said")).alias("token")), materialise(names.distinct()), max_edits)
+    names, tokens = known.select(F.col("token").alias("near")), F.col("tokens")
+    if least_score is not None:
+        names, tokens = names.unionByName(known.select(F.explode("words.word").alias("near"))), F.array_union("tokens", "said")
+    close = near_tokens(values.select(F.explode(tokens).alias("token")), materialise(names.distinct()), max_edits)
     fits = F.col("edits") <= bound(F.greatest(F.length("token"), F.length("near")))
-    by_letters = values.select("value", F.explode("tokens").alias("token")).join(close.where(fits), "token").select("value", F.col("near").alias("token"))
-    weighed = _weighed_words(values.select("value", F.col("said").alias("words")), close, known, bound)
-    met = by_letters.unionByName(_by_words(weighed, known, least_score if least_score is not None else LEAST_SCORE)).distinct()
-    joined = met.join(broadcast_if_small(known), "token").join(values, "value").join(weighed.select("value", "heft").distinct(), "value", "left")
+    met = values.select("value", F.explode("tokens").alias("token")).join(close.where(fits), "token").select("value", F.col("near").alias("token"))
+    heft = values.select("value", F.lit(0.0).alias("heft"))
+    if least_score is not None:
+        weighed = _weighed_words(values.select("value", F.col("said").alias("words")), close, known, word_bound)
+        met = met.unionByName(_by_words(weighed, known, least_score)).distinct()
+        heft = weighed.select("value", "heft").distinct()
+    joined = met.join(broadcast_if_small(known), "token").join(values, "value").join(heft, "value", "left")
     edits = F.array_min(F.transform("tokens", lambda t: F.when(F.levenshtein(t, F.col("token")) <= bound(F.greatest(F.length(t), F.length("token"))), F.levenshtein(t, F.col("token")))))
-    score = soft_tfidf(F.col("words"), F.col("said"), bound) / F.greatest("weight", F.coalesce("heft", F.lit(0.0)), F.lit(1e-9))
+    score = soft_tfidf(F.col("words"), F.col("said"), word_bound) / F.greatest("weight", F.coalesce("heft", F.lit(0.0)), F.lit(1e-9))
     scored = joined.withColumn("edits", edits).withColumn("score", F.round(score, 9))
-    reached = F.col("edits").isNotNull() if least_score is None else F.col("edits").isNotNull() | (F.col("score") >= least_score)
+    reached = F.col("edits").isNotNull() if least_score is None or only_edits else F.col("edits").isNotNull() | (F.col("score") >= least_score)
     order = F.struct(F.coalesce("edits", F.lit(max_edits + 1)), -F.col("score"), F.col("rank"), F.col("entry_id"))
     return scored.where(reached).groupBy("value").agg(F.min_by("entry_id", order).alias("entry_id"))
 
 
 def match_values(
-    rows: DataFrame, id_column: str, value_column: str, entries: DataFrame, *, max_edits: int = MAX_EDITS, part_of_length: float | None = PART_OF_LENGTH, least_score: float | None = LEAST_SCORE
+    rows: DataFrame, id_column: str, value_column: str, entries: DataFrame, *, max_edits: int = MAX_EDITS, part_of_length: float | None = PART_OF_LENGTH, least_score: float | None = LEAST_SCORE, only_edits: bool = False
 ) -> DataFrame:
     """(id, value, entry_id): one row per row whose value isn't null, blank or equal to a
     name of rank 0; ``entry_id`` is null where the value stands for no entry.
@@ -169,7 +177,8 @@ def match_values(
     within ``part_of_length`` of the longer, unless None), or if its corrected words reach
     ``least_score`` (unless None): their soft TF-IDF over the weight of the name or of the
     value, whichever weighs more. Entries by letters go first, fewer edits before more;
-    then the higher score, names before aliases, the smaller id.
+    then the higher score, names before aliases, the smaller id. With ``only_edits`` what
+    words lead to must be within the edits too.
 
     ``entries``: (entry_id, name, rank), rank 0 for names and 1 for aliases. Repeated rows
     are matched each. Values of any length are taken whole; those too long for every entry
@@ -188,7 +197,7 @@ def match_values(
     open_rows = direct.where("entry_id is null").select("id", "value", "token")
     # Also with the leading word, which may belong to the name.
     distinct_values = open_rows.select("value", "token").distinct().select("value", F.array_distinct(F.array("token", compact_key(F.col("value")))).alias("tokens"))
-    repaired = repair_values(distinct_values, known, max_edits=max_edits, part_of_length=part_of_length, least_score=least_score)
+    repaired = repair_values(distinct_values, known, max_edits=max_edits, part_of_length=part_of_length, least_score=least_score, only_edits=only_edits)
     rest = hot_key_join(open_rows.select("id", "value"), materialise(repaired), "value")
     return done.unionByName(rest.select("id", "value", "entry_id"))
 
@@ -205,5 +214,5 @@ def match_grades(offers: DataFrame, grades: DataFrame, aliases: DataFrame) -> Da
     By the statement a grade may have MAX_EDITS wrong characters whatever its length, and
     no more, so words in another order don't count."""
     typed = offers.select("offer_id", "grade").where(F.trim("grade") != UNKNOWN_GRADE)
-    matched = match_values(typed, "offer_id", "grade", grade_entries(grades, aliases), part_of_length=None, least_score=None)
+    matched = match_values(typed, "offer_id", "grade", grade_entries(grades, aliases), part_of_length=None, only_edits=True)
     return matched.select(F.col("id").alias("offer_id"), F.coalesce("entry_id", F.lit(UNMATCHED)).alias("grade_id"))

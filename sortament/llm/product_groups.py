@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sortament.functions.extract import MICROMETRES, read_product
 from sortament.functions.text import compact_key, strip_material
 from sortament.llm.canonical_values import MAX_EDITS, UNKNOWN_GRADE, grade_entries, repair_values, vocabulary
-from sortament.operators.joins import broadcast_if_small, hot_key_join
+from sortament.operators.joins import broadcast_if_small, hot_key_join, measured
 from sortament.operators.split_fields import CHUNK, split_texts
 from sortament.session import materialise, ship_package
 
@@ -36,6 +36,8 @@ from sortament.session import materialise, ship_package
 CONTAINMENT = 1.0
 #: A satellite states at least this part of its centre's weight.
 LEAST_COVER = 0.5
+#: Different tokens whose frequencies are broadcast at most.
+MOST_TOKENS = 500_000
 #: Pairs of members of a star are formed in blocks of about so many members a side.
 BLOCK = 1_000
 
@@ -111,25 +113,34 @@ def product_tokens(offers: DataFrame, grades: DataFrame, aliases: DataFrame) ->
     return whole.select("id", tokens.alias("tokens"), F.coalesce(complete, F.lit(False)).alias("complete"))
 
 
+def _node(tokens: Column) -> Column:
+    """A set of tokens in one string, equal for equal sets."""
+    return F.array_join(F.array_sort(F.array_distinct(tokens)), "\n")
+
+
 def distinct_sets(rows: DataFrame) -> DataFrame:
-    """(node, complete, first, members, tokens, weights, weight): the distinct token sets of
-    ``rows`` (id, tokens, complete), each with its smallest id and the number of its rows.
-    ``tokens`` begins with the rarest; ``weights`` go with it and ``weight`` is their sum.
-
-    Rows are combined to sets before they are shuffled. A token's frequency counts the
-    rows that have it; it is looked up for the distinct sets only, by a join that holds for
-    tokens that a third of all sets have."""
-    keyed = rows.where(F.size("tokens") > 0).select("id", "complete", F.array_join(F.array_sort(F.array_distinct("tokens")), "\n").alias("node"))
-    sets = materialise(keyed.groupBy("node").agg(F.max("complete").alias("complete"), F.min("id").alias("first"), F.count(F.lit(1)).alias("members")))
-    each = sets.select("node", "members", F.explode(F.split("node", "\n")).alias("token"))
-    counts = materialise(each.groupBy("token").agg(F.sum("members").alias("n")))
-    total = sets.agg(F.sum("members")).first()[0] or 0
+    """(node, number, complete, first, members, tokens, weights, weight): the distinct
+    token sets of ``rows`` (id, tokens, complete), each with a number of its own, its
+    smallest id and the number of its rows. ``tokens`` begins with the rarest; ``weights``
+    go with it and ``weight`` is their sum. A written table.
+
+    A token's frequency counts the rows that have it, combined before they are shuffled.
+    Rows are combined to sets by one shuffle; while the frequencies are small enough to be
+    broadcast, they are looked up and put in order where the set is, without another."""
+    stated = rows.where(F.size("tokens") > 0)
+    counts = materialise(stated.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    total = stated.count()
     rarity = counts.select("token", "n", F.round(F.log1p(F.lit(float(total)) / F.col("n")), 6).alias("w"))
-    looked = hot_key_join(materialise(each), rarity, "token")
-    ranked = looked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token", "w"))).alias("r"))  # the tokens of one set
+    sets = stated.select("id", "complete", _node(F.col("tokens")).alias("node")).groupBy("node").agg(F.max("complete").alias("complete"), F.min("id").alias("first"), F.count(F.lit(1)).alias("members"))
+    each = sets.select("*", F.explode(F.split("node", "\n")).alias("token"))
+    if measured(counts, MOST_TOKENS)[0] <= MOST_TOKENS:
+        looked = each.join(F.broadcast(rarity), "token")
+    else:
+        looked = hot_key_join(materialise(each), rarity, "token")
+    ranked = looked.groupBy("node", "complete", "first", "members").agg(F.array_sort(F.collect_list(F.struct("n", "token", "w"))).alias("r"))  # the tokens of one set
     weights = F.col("r.w")
     whole = F.round(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), 6)
-    return sets.join(ranked.select("node", F.col("r.token").alias("tokens"), weights.alias("weights"), whole.alias("weight")), "node")
+    return materialise(ranked.select("node", F.monotonically_increasing_id().alias("number"), "complete", "first", "members", F.col("r.token").alias("tokens"), weights.alias("weights"), whole.alias("weight")))
 
 
 def containments(lacking: DataFrame, wholes: DataFrame, containment: float = CONTAINMENT, least_cover: float = LEAST_COVER) -> DataFrame:
@@ -163,26 +174,28 @@ def containments(lacking: DataFrame, wholes: DataFrame, containment: float = CON
 
 
 def star_clusters(sets: DataFrame, containment: float = CONTAINMENT, least_cover: float = LEAST_COVER) -> DataFrame:
-    """(node, star, told): the star of each distinct set, named by its centre's set. Sets
-    that lack nothing are centres; a lacking one goes to the centre of which it states
-    most, of several equal ones the first by its tokens, else it is a centre itself.
-    ``told``: whether the centre says which product it is."""
+    """(node, star, told, n): the star of each distinct set, by its centre's number, and
+    how many rows the star has. Sets that lack nothing are centres; a lacking one goes to
+    the centre of which it states most, of several equal ones the first by its tokens,
+    else it is a centre itself. ``told``: whether the centre says which product it is."""
     lacking = materialise(sets.where("not complete"))
     if lacking.isEmpty():
-        return sets.select("node", F.col("node").alias("star"), F.lit(True).alias("told"))
+        return sets.select("node", F.col("number").alias("star"), F.lit(True).alias("told"), F.col("members").alias("n"))
     met = containments(lacking, sets.where("complete"), containment, least_cover)
     best = met.groupBy("node").agg(F.min_by("centre", F.struct(-F.col("cover"), -F.col("contained"), F.col("centre"))).alias("centre"))
-    joined = sets.join(best, "node", "left")
-    return joined.select("node", F.coalesce("centre", "node").alias("star"), (F.col("centre").isNotNull() | F.col("complete")).alias("told"))
+    numbered = best.join(sets.select(F.col("node").alias("centre"), F.col("number").alias("star")), "centre").select("node", "star")
+    joined = materialise(sets.join(numbered, "node", "left").select("node", F.coalesce("star", "number").alias("star"), (F.col("star").isNotNull() | F.col("complete")).alias("told"), "members"))
+    whole = joined.groupBy("star").agg(F.sum("members").alias("n"))
+    return joined.join(whole, "star").select("node", "star", "told", "n")
 
 
 def product_members(offers: DataFrame, grades: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(id, star, told): the star of every offer of one position that states anything, a
-    written table."""
+    """(id, star, n): the star of every offer of one position whose product can be told,
+    and how many rows the star has at most."""
     rows = materialise(product_tokens(offers, grades, aliases).where(F.size("tokens") > 0))
-    stars = materialise(star_clusters(materialise(distinct_sets(rows))))
-    keyed = rows.select("id", F.array_join(F.array_sort(F.array_distinct("tokens")), "\n").alias("node"))
-    return materialise(hot_key_join(keyed, stars, "node").select("id", F.xxhash64("star").alias("hash"), "star", "told").distinct())
+    stars = star_clusters(distinct_sets(rows)).where("told").select("node", "star", "n")
+    keyed = rows.select("id", _node(F.col("tokens")).alias("node"))
+    return hot_key_join(keyed, stars, "node").where("star is not null").select("id", "star", "n")
 
 
 def product_pairs(offers: DataFrame, grades: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -195,9 +208,7 @@ def product_pairs(offers: DataFrame, grades: DataFrame, aliases: DataFrame) -> D
     texts are read like any other; other columns are not read. The pairs of a large star
     are formed in blocks, so that no task gets all of them.
     """
-    members = product_members(offers, grades, aliases).where("told")
-    sizes = materialise(members.groupBy("star").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    several = hot_key_join(members, sizes, "star").where("n is not null")
+    several = materialise(product_members(offers, grades, aliases).where("n > 1").distinct())
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     a = several.select(F.col("id").alias("offer_id_a"), "star", block.alias("block"))
@@ -211,7 +222,7 @@ def product_groups(offers: DataFrame, grades: DataFrame, aliases: DataFrame) ->
     several positions and those whose product can't be told are groups of their own, with
     no link. An offer whose rows differ is in the star with the smallest ``group_id``.
     Linear in the number of offers however large a group is."""
-    members = product_members(offers, grades, aliases).where("told")
+    members = materialise(product_members(offers, grades, aliases).select("id", "star").distinct())
     stars = materialise(members.groupBy("star").agg(F.min("id").alias("group_id"), (F.count(F.lit(1)) - 1).alias("links")))
     grouped = hot_key_join(members, stars, "star").groupBy("id").agg(F.min(F.struct("group_id", "links")).alias("g"))
     ids = offers.where(F.col("offer_id").isNotNull()).select(F.col("offer_id").cast("long").alias("id")).distinct()

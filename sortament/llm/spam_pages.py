@@ -33,9 +33,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,7 +89,19 @@ _SEPARATOR = re.compile(r"[,;:#/()«»\"|•]|\s[—–-]\s")
 _DASH = re.compile(r"[—–-]\s.*\d")
 _NUMBER = re.compile(r"(?<![\w.,])\d+(?:[.,'\s]\d+)*(?!\w)")
 _AMOUNT = re.compile(rf"\d\s*(?:{UNIT}|руб|₽|р\.|\$|€|usd|eur|rub)(?!\w)|(?<!\w)(?:{UNIT})\.?\s*[—–:)-]", re.I)
-_LETTERS = {name: re.compile(f"[{span}]+") for name, span in SCRIPTS.items()}
+_NAMES = ("", *SCRIPTS)
+
+
+def _script_table() -> np.ndarray:
+    """The number of a script in _NAMES by UTF-16 unit; 0 for other signs."""
+    table = np.zeros(1 << 16, np.uint8)
+    for n, span in enumerate(SCRIPTS.values(), 1):
+        for first, last in re.findall("(.)-(.)", span):
+            table[ord(first) : ord(last) + 1] = n
+    return table
+
+
+_SCRIPT_OF = _script_table()
 
 
 
@@ -102,11 +115,12 @@ class Lists:
     listed: dict[str, frozenset[str]]
     common: dict[str, str]
     scripts: dict[str, str]
+    cache: dict[str, tuple[frozenset[str], frozenset[str]]] = field(default_factory=dict, compare=False)
 
     def language(self, text: str, code: str | None) -> str:
         """The language of a text in lower case; see above."""
-        counts = {name: sum(map(len, letters.findall(text))) for name, letters in _LETTERS.items()}
-        script = max(counts, key=lambda n: (counts[n], n))
+        counts = np.bincount(_SCRIPT_OF[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)], minlength=len(_NAMES))
+        script = _NAMES[1 + int(counts[1:].argmax())]
         if code and self.scripts.get(code, script) == script:
             return code
         return self.common.get(script, code or script)
@@ -114,6 +128,11 @@ class Lists:
     def words(self, lang: str) -> tuple[frozenset[str], frozenset[str]]:
         """Function words and words of lists of a language and of the commonest ones of
         the other scripts, as a text may quote them."""
+        if lang not in self.cache:
+            self.cache[lang] = self._words(lang)
+        return self.cache[lang]
+
+    def _words(self, lang: str) -> tuple[frozenset[str], frozenset[str]]:
         used = [lang, *(c for s, c in self.common.items() if s != self.scripts.get(lang))]
         return tuple(frozenset().union(*[of.get(c, ()) for c in used]) for of in (self.functions, self.listed))
 
@@ -150,20 +169,22 @@ def page_features(text: str, code: str | None, lists: Lists) -> tuple:
         pieces = _UNITS.split(line)
         for at in range(0, len(pieces), 2):
             unit = pieces[at]
-            words = _WORD.findall(unit.lower())
+            parts = _SEPARATOR.split(unit.lower())
+            inner = [_WORD.findall(p) for p in parts]
+            words = inner[0] if len(inner) == 1 else [w for p in inner for w in p]
             if not words:
                 continue
-            parts = _SEPARATOR.split(unit.lower())
             separators += len(parts) - 1
             all_words += words
             units[key := tuple(words)] += 1
             if units[key] == 1:
                 fresh += len(words)
             hits = 0
-            for inner in ([words] if len(parts) == 1 else map(_WORD.findall, parts)):
-                found = [p for p in zip(inner, inner[1:]) if p[0] in known and p[1] not in listed]
-                hits += len(found)
-                varied.update(found)
+            for part in inner:
+                for i, w in enumerate(part[:-1], 1):
+                    if w in known and part[i] not in listed:
+                        hits += 1
+                        varied.add((w, part[i]))
             n = len(words)
             marked = at + 1 < len(pieces) and pieces[at + 1][0] in ".!?…"
             # Well-formed: begins with a capital, ends with a mark, four words or more.
@@ -194,15 +215,17 @@ def learn_lists(docs: DataFrame) -> Lists:
     """The lists of ``docs`` (code, text), from all words of all documents. Words are
     counted per task before they are shuffled; those with digits are left out, and only
     words with LEAST_FREQUENCY come to be ranked, so a language ranks 1,000 at most."""
-    units = docs.select("code", F.explode(F.split(F.regexp_replace("text", r"([.!?…»])\s+(?=\D)", "$1\n"), r"\n|\s[|•]\s")).alias("unit"))
-    formed = F.col("unit").rlike(r"^[\s>*«\"']*\p{Lu}.*[.!?…]\s*$")
-    words = units.select("code", F.filter(F.split(F.lower("unit"), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"), formed.alias("formed"))
-    pairs = F.explode(F.arrays_zip(F.col("words").alias("word"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("next"))).alias("p")
-    each = words.select("code", (F.col("formed") & (F.size("words") >= 4)).alias("formed"), pairs).select("code", "formed", "p.word", "p.next").where(~F.col("word").rlike(r"\d"))
-    place = F.when(F.col("formed") & F.col("next").isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("next"), F.lit(64)).cast("int")))
+    units = docs.select("code", F.explode(F.split("text", r"(?<=[.!?…»])\s+(?=\D)|\n|\s[|•]\s")).alias("unit"))
+    ends = F.substring(F.rtrim("unit"), -1, 1).isin(*".!?…")
+    formed = ends & F.col("unit").rlike(r"^[\s>*«\"']*\p{Lu}")
+    words = units.select("code", F.split(F.lower("unit"), r"[^\p{L}\p{N}]+").alias("words"), formed.alias("formed"))
+    # Of neighbours in order only the first is counted; a blank word at either end is left out below.
+    each = words.select("code", (F.col("formed") & (F.size("words") > 4)).alias("formed"), "words", F.posexplode("words").alias("at", "word"))
+    each = each.select("code", "formed", "word", F.get("words", F.col("at") + 1).alias("next"))
+    place = F.when(F.col("formed") & (F.col("next") != ""), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("next"), F.lit(64)).cast("int")))
     counts = each.groupBy("code", "word").agg(F.count_if("formed").alias("inside"), F.count(F.lit(1)).alias("n"), F.bit_count(F.bit_or(place)).alias("contexts"))
     script = F.coalesce(*[F.when(F.col("word").rlike(f"^[{span}]"), F.lit(name)) for name, span in SCRIPTS.items()])
-    counts = materialise(counts.withColumn("script", script).where("script is not null"))
+    counts = materialise(counts.withColumn("script", script).where(F.col("script").isNotNull() & ~F.col("word").rlike(r"\d")))
     # One row per code and script.
     sums = [r for r in counts.groupBy("code", "script").agg(F.sum("inside").alias("n")).collect()]
     scripts: dict[str, str] = {}

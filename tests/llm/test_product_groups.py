@@ -120,8 +120,11 @@ def test_containments_like_brute_force(spark, containment, cover):
 
 def test_stars(spark):
     data = [(1, ["p=a", "g=x", "1=5"], True), (2, ["p=a", "g=y", "1=5"], True), (3, ["g=x", "1=5"], False), (4, ["p=a", "1=7"], False), (5, ["g=z", "1=9"], False), (6, [], False)]
-    got = star_clusters(distinct_sets(spark.createDataFrame(data, "id long, tokens array<string>, complete boolean")))
-    plain = {r.node.replace("\n", " "): (r.star.replace("\n", " "), r.told) for r in got.collect()}
+    sets = distinct_sets(spark.createDataFrame(data, "id long, tokens array<string>, complete boolean"))
+    names = {r.number: r.node.replace("\n", " ") for r in sets.collect()}
+    got = star_clusters(sets).collect()
+    plain = {r.node.replace("\n", " "): (names[r.star], r.told) for r in got}
+    assert {names[r.star]: r.n for r in got}["1=5 g=x p=a"] == 2
     assert plain["1=5 g=x"] == ("1=5 g=x p=a", True)  # of the two that have 1=5 the one that has g=x
     assert plain["1=7 p=a"] == ("1=7 p=a", False) and plain["1=9 g=z"] == ("1=9 g=z", False)
     assert plain["1=5 g=y p=a"] == ("1=5 g=y p=a", True) and len(plain) == 5
