@@ -26,6 +26,17 @@ def queue_states(queue: DataFrame, log: DataFrame, key: str, action: str, *order
     return queue.join(newest, key, "left").withColumn("state", state).drop("_a")
 
 
+# Reasons that put a row into the queue of conflicting rows.
+CONFLICTS = ("business_rule_pending", "grade_conflict")
+
+
+def review_queues(items: DataFrame) -> DataFrame:
+    """``items`` in review, with ``normalisation`` (a reason of CONFLICTS; null where there
+    are no reasons at all) and ``any_reason``: two queues that may share rows."""
+    conflict = F.exists("review_reasons", lambda r: r.isin(*CONFLICTS))
+    return items.where("requires_review").withColumn("normalisation", conflict).withColumn("any_reason", F.coalesce(F.size("review_reasons"), F.lit(0)) > 0)
+
+
 def state_counts(states: DataFrame) -> DataFrame:
     """Counts of a queue; a deferred row counts as unresolved."""
     return states.agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sortament.session import materialise
@@ -64,6 +64,51 @@ def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return sums.join(prices, "model", "left").select("model", "input_tokens", "output_tokens", F.round(cost, 6).alias("cost"))
 
 
+def in_order(rows: DataFrame, group: str, value: str, *order: str) -> DataFrame:
+    """(group, in_order): whether ``value`` never falls along ``order``; steps from or to a
+    null count as right. A group's rows are sorted in one task, which spills."""
+    step = F.col(value) - F.lag(value).over(Window.partitionBy(group).orderBy(*order))
+    return rows.select(group, step.alias("_step")).groupBy(group).agg(F.every(F.coalesce(F.col("_step") >= 0, F.lit(True))).alias("in_order"))
+
+
+def row_accuracy(results: DataFrame, gold: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """(cases, full_rows, full_row_rate, unneeded_reviews, unneeded_review_rate) of results
+    that have gold: rows with all fields right, and rows in review (``requires_review``)
+    that need none by the gold. Rates have four digits and are null without cases."""
+    pairs = results.select(key, "requires_review", *fields).join(gold.select(key, F.col("requires_review").alias("_r"), *[F.col(f).alias(f"_{f}") for f in fields]), key)
+    right = reduce(Column.__and__, [F.col(f).eqNullSafe(F.col(f"_{f}")) for f in fields], F.lit(True))
+    unneeded = F.coalesce(F.col("requires_review") & ~F.col("_r"), F.lit(False))
+    sums = pairs.agg(F.count(F.lit(1)).alias("cases"), F.count_if(right).alias("full_rows"), F.count_if(unneeded).alias("unneeded_reviews"))
+    rate = lambda c: F.round(F.col(c) / F.nullif("cases", F.lit(0)), 4)
+    return sums.select("cases", "full_rows", rate("full_rows").alias("full_row_rate"), "unneeded_reviews", rate("unneeded_reviews").alias("unneeded_review_rate"))
+
+
+def reconciliation_summary(reconciled: DataFrame) -> DataFrame:
+    """One row over reconciled results (decision, final_decision, removed_warnings,
+    warnings): rows, decisions that changed, warnings removed and left, and the rate of
+    rows whose decision was consistent from the start (four digits, null without rows)."""
+    same = F.coalesce(F.upper("decision") == F.col("final_decision"), F.lit(False))
+    size = lambda c: F.coalesce(F.sum(F.size(F.coalesce(c, F.array().cast("array<string>")))), F.lit(0)).cast("long")
+    sums = reconciled.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~same).alias("changed"), size("removed_warnings").alias("removed"), size("warnings").alias("left"), F.count_if(same).alias("_same"))
+    return sums.select("rows", "changed", "removed", "left", F.round(F.col("_same") / F.nullif("rows", F.lit(0)), 4).alias("consistency_rate"))
+
+
+def batch_manifest(batches: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """(batch, rows, answered, complete) of ``batches`` (key, batch): how many rows of each
+    batch have an answer, and whether all have."""
+    done = answers.select(key, F.lit(1).alias("_done")).distinct()
+    counted = batches.join(done, key, "left").groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.count("_done").alias("answered"))
+    return counted.withColumn("complete", F.col("rows") == F.col("answered"))
+
+
+def positional_ids(rows: DataFrame, prefix: str, width: int, *order: str) -> DataFrame:
+    """``rows`` with ``id``: the prefix and the row's place along ``order``, from 1, with
+    leading zeros. Places come from counts of range partitions."""
+    place = (F.col("batch") + 1).cast("string")
+    numbered = in_batches(rows, 1, *order)
+    return numbered.withColumn("id", F.concat(F.lit(f"{prefix}-"), F.when(F.length(place) < width, F.lpad(place, width, "0")).otherwise(place))).drop("batch")
+
+
 def in_batches(rows: DataFrame, size: int, *order: str) -> DataFrame:
     """``rows`` with ``batch``, ordered chunks of ``size``. Positions come from the counts
     of range partitions, not from one window over everything."""

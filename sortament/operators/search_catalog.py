@@ -111,6 +111,12 @@ def _order(tier: Column, near: Column) -> Column:
     return F.when(near, len(TIERS)).otherwise(place)
 
 
+def suppress_near(hits: DataFrame, by: str) -> DataFrame:
+    """``hits`` without those that don't ``fits`` where another of the same ``by`` does."""
+    any_exact = hits.groupBy(by).agg(F.max("fits").alias("_has_exact"))
+    return hits.join(broadcast_if_small(any_exact), by).where("fits or not _has_exact").drop("_has_exact")
+
+
 def catalog_search(
     queries: DataFrame,
     items: DataFrame,
@@ -163,8 +169,7 @@ def catalog_search(
     hits = materialise(hits.withColumn("fits", exact).withColumn("near", near).where("fits or near > 0").withColumn("allowed", allowed))
     # Whether a query has an exact item, and how many grades share a fuzzy score, are
     # aggregates of few rows joined back: no window gathers all hits of a query.
-    any_exact = hits.groupBy("query_id").agg(F.max("fits").alias("has_exact"))
-    kept = hits.join(broadcast_if_small(any_exact), "query_id").where("fits or (allowed and not has_exact)")
+    kept = suppress_near(hits, "query_id").where("fits or allowed")
     sizes_score = F.when(no_size, F.lit(None).cast("double")).otherwise(F.when(F.col("fits"), 1.0).otherwise(F.col("near")))
     kept = kept.withColumn("score", F.round(combined_score(F.col("grade_score"), sizes_score), 6))
     kept = kept.withColumn("match_type", F.when(F.col("fits"), F.col("tier")).otherwise("NEAR_DIMENSION")).withColumn("requires_review", F.col("tier_review") | ~F.col("fits"))

@@ -17,9 +17,11 @@ from sortament.functions.profiles import PROFILE_STEMS, ROUND_BARS
 from sortament.functions.text import CYRILLIC_TWINS, LATIN_TWINS, compact_key
 
 # Words that don't narrow a search.
-STOPWORDS = frozenset("И ИЛИ ИЗ В ВО НА ПО ДЛЯ С СО ПОД ПРИ ММ СМ М".split())
+STOPWORDS = ("И", "ИЛИ", "ИЗ", "В", "ВО", "НА", "ПО", "ДЛЯ", "С", "СО", "ПОД", "ПРИ", "ММ", "СМ", "М")
+# Fixed value: a term of a text in upper case.
+TERM = r"[0-9A-ZА-ЯЁ]+(?:[-_/][0-9A-ZА-ЯЁ]+)*"
 EXACT, NEAREST = "ТОЧНОЕ", "БЛИЖАЙШИЙ РАЗМЕР"
-_WORD = re.compile(r"[0-9A-Za-zА-Яа-яЁё]+(?:[-_/][0-9A-Za-zА-Яа-яЁё]+)*")
+_WORD = re.compile(TERM)
 _NUM = r"\d+(?:[.,]\d+)?"
 _SIZES = re.compile(rf"(?<![\w.,-])({_NUM}(?:\s*[xх×*]\s*{_NUM}){{1,2}})(?![\w-])", re.I)
 _MARKED = re.compile(rf"(?<!\w)(?:ø|ф|д|№|#|n)\s*({_NUM})(?!\w)|(?<![\w.,-])({_NUM})\s*(?:мм|см|м)(?!\w)", re.I)
@@ -76,9 +78,12 @@ def read_mask(query: str, inventory: Inventory) -> Mask:
     text = re.sub(r"\s+", " ", query or "").strip()
     grade_key, rest = None, text
     words = list(re.finditer(r"[^\s,;]+", text))
-    for count in (3, 2, 1):
+    longest = max(map(len, inventory.grades), default=0)
+    for count in range(len(words), 0, -1):
         for i in range(len(words) - count + 1):
             key = _fold(text[words[i].start() : words[i + count - 1].end()])
+            if len(key) > longest:
+                continue
             if key in inventory.grades and not key.isdigit():
                 grade_key, rest = key, text[: words[i].start()] + " " + text[words[i + count - 1].end() :]
                 break
@@ -102,7 +107,7 @@ def read_mask(query: str, inventory: Inventory) -> Mask:
             break
     group = ROUND_BARS if asked in ROUND_BARS else (asked,) if asked else ()
     profiles = tuple(p for p in group if p in inventory.profiles)
-    tokens = {t.upper() for t in _WORD.findall(rest)}
+    tokens = set(_WORD.findall(rest.upper()))
     named = PROFILE_STEMS.get(asked, ()) if profiles else ()
     terms = tuple(sorted(t for t in tokens if t not in STOPWORDS and not t.isdigit() and not any(t.lower().startswith(s) for s in named)))
     return Mask(text, grade_key, sizes, profiles, asked if profiles else None, terms)
@@ -130,7 +135,7 @@ def mask_search(items: DataFrame, mask: Mask, *, sizes: tuple[str, ...] = ("dim1
     for column, _ in zip(sizes, mask.sizes, strict=False):
         where = where & F.col(column).isNotNull()
     if mask.terms:
-        words = F.regexp_extract_all(F.upper(F.concat_ws(" ", "profile", text, "comment_text")), F.lit(r"[0-9A-ZА-ЯЁ]+(?:[-_/][0-9A-ZА-ЯЁ]+)*"), F.lit(0))
+        words = F.regexp_extract_all(F.upper(F.concat_ws(" ", "profile", text, "comment_text")), F.lit(TERM), F.lit(0))
         for term in mask.terms:
             where = where & _has_term(words, term)
     return mask_columns(items.where(where), mask, sizes)

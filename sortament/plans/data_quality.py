@@ -71,6 +71,10 @@ _UNITS = r"(?:тыс\.? ?штук|тыс\.? ?шт|килограмм|центн
 
 SQL = {
     "p3_found": f"WITH {_CUT} SELECT line_id, reason FROM checked WHERE reason IS NOT NULL",
+    "p3_loaded": f"""WITH {_CUT} SELECT line_id, c[1] AS supplier, c[2] AS description, c[3] AS availability,
+      try_cast(replace(regexp_replace(regexp_replace(c[4], '[\\s\\x{{00A0}}\\x{{202F}}]*(?:руб\\.?|р\\.|₽)?[\\s\\x{{00A0}}\\x{{202F}}]*$', ''), '[ \\x{{00A0}}\\x{{202F}}'']', '', 'g'), ',', '.') AS DECIMAL(18,4)) AS price, c[5] AS grade_hint,
+      try_cast(CASE WHEN trim(c[6]) LIKE '____-__-__' THEN trim(c[6]) WHEN trim(c[6]) LIKE '__.__.____' THEN trim(c[6])[7:10] || '-' || trim(c[6])[4:5] || '-' || trim(c[6])[1:2] END AS DATE) AS price_date
+      FROM checked WHERE reason IS NULL""",
     "p3_parse_stats": f"""WITH {_CUT} SELECT source_file, count(*) AS lines, count(*) FILTER (reason IS NULL) AS loaded, count(reason) AS skipped_rows,
       count(*) FILTER (reason = 'broken_quoting') AS broken_quoting, count(*) FILTER (reason = 'column_count') AS column_count,
       count(*) FILTER (reason = 'invalid_value') AS invalid_value FROM checked GROUP BY source_file""",

@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 
 from sortament.functions import attributes
 from sortament.functions import dimensions as dim
-from sortament.functions import profiles, size_text, text
+from sortament.functions import profiles, size_text, text, values
 from sortament.functions.distances import osa_distance
-from sortament.operators import catalog, decision_log, documents, evidence, mail, metrics, search_catalog, search_mask
+from sortament.operators import catalog, decision_log, documents, evidence, listing, mail, metrics, search_catalog, search_mask
 from sortament.operators.adapters import read_price_lists
 from sortament.operators.candidates import candidates, payload
 from sortament.operators.cells import detect_headers, fill_down, stack_blocks
 from sortament.operators.find_names import find_names
 from sortament.operators.parse_items import parse_items
 from sortament.operators.persist import stable_id
+from sortament.operators.read_grades import grades_in_text, known_names, normalise_grades
 from sortament.operators.reject_rows import split_line
+from sortament.operators.resolve_profile import resolve_profiles
 from sortament.sources.exports import source_text
 from sortament.tables import read_table
 
@@ -38,13 +40,13 @@ def _query(sql: str | None = None):
     return register
 
 
+#: Cyrillic capitals as other signs in SQL, whose distances count bytes.
+_ASCII = "translate({0}, 'АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ', 'abcdefghijklmnopqrstuvwxyz!#$%&;')"
 #: ``compact_key`` in SQL.
 _KEY = r"regexp_replace(translate(upper({0}), 'АВЕКМНОРСТУХЁ', 'ABEKMHOPCTYXE'), '[^\p{{L}}\p{{Nd}}]+', '', 'g')"
 
 
 def _size_search(profile_list: tuple[str, ...], size: str) -> tuple[search_mask.Mask, tuple[str, ...]]:
-
-
     return search_mask.Mask("", sizes=(Decimal(size),), profiles=profile_list, asked_profile=profile_list[0]), profile_list
 
 
@@ -74,11 +76,10 @@ def profile_group_filter(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "offers").where(F.col("profile").isin(*profiles.ROUND_BARS)).select("offer_id", "profile")
 
 
-@_query("""SELECT offer_id, profile AS display_profile, false AS is_profile_alias FROM offers WHERE profile IN ('КРУГ', 'КВАДРАТ')
-  UNION ALL SELECT offer_id, 'ПРУТОК', true FROM offers WHERE profile = 'КРУГ'""")
+@_query("""SELECT offer_id, profile AS display_profile, false AS is_profile_alias FROM offers
+  UNION ALL SELECT offer_id, CASE profile WHEN 'КРУГ' THEN 'ПРУТОК' ELSE 'КРУГ' END, true FROM offers WHERE profile IN ('КРУГ', 'ПРУТОК')""")
 def round_bar_expand(spark: SparkSession, folder: str) -> DataFrame:
-    found = read_table(spark, folder, "offers").where(F.col("profile").isin("КРУГ", "КВАДРАТ"))
-    return search_mask.expand_round_bars(found).select("offer_id", "display_profile", "is_profile_alias")
+    return search_mask.expand_round_bars(read_table(spark, folder, "offers")).select("offer_id", "display_profile", "is_profile_alias")
 
 
 @_query("""WITH h AS (SELECT offer_id, profile, coalesce(dim1 = 20, false) AS fits FROM offers WHERE profile IS NOT NULL)
@@ -86,8 +87,7 @@ def round_bar_expand(spark: SparkSession, folder: str) -> DataFrame:
 def exact_suppresses_near(spark: SparkSession, folder: str) -> DataFrame:
     """Per profile: the offers of diameter 20, or all where there is none."""
     hits = read_table(spark, folder, "offers").where("profile is not null").select("offer_id", "profile", F.coalesce(F.col("dim1") == 20, F.lit(False)).alias("fits"))
-    found = hits.groupBy("profile").agg(F.max("fits").alias("any_fit"))
-    return hits.join(F.broadcast(found), "profile").where("fits or not any_fit").select("offer_id", "fits")  # one row a profile
+    return search_catalog.suppress_near(hits, "profile").select("offer_id", "fits")
 
 
 @_query("""SELECT profile, offer_id, position FROM (SELECT profile, offer_id, row_number() OVER (PARTITION BY profile ORDER BY price_rub_kg, offer_id) AS position
@@ -140,6 +140,22 @@ def catalog_violations(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.catalog_violations(read_table(spark, folder, "grades"), read_table(spark, folder, "aliases"))
 
 
+@_query(
+    f"""WITH c AS (SELECT grade_id, {_KEY.format("written_name")} AS k FROM grade_cards)
+  SELECT 'repeated_canonical_key' AS "check", k AS subject FROM c WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1
+  UNION ALL SELECT 'repeated_grade_id', grade_id FROM grade_cards WHERE grade_id IS NOT NULL GROUP BY 2 HAVING count(*) > 1
+  UNION ALL SELECT DISTINCT 'blank_id', written_name FROM grade_cards WHERE trim(coalesce(grade_id, '')) = ''
+  UNION ALL SELECT DISTINCT 'confirmed_without_source', grade_id FROM grade_cards WHERE status = 'CONFIRMED' AND trim(coalesce(standard_system, '')) = ''
+  UNION ALL SELECT DISTINCT 'relation_to_unknown_grade', CAST(equivalence_id AS VARCHAR) FROM (SELECT equivalence_id, unnest([source_grade_id, target_grade_id]) AS g FROM equivalences)
+    WHERE g IS NULL OR g NOT IN (SELECT grade_id FROM grade_cards WHERE grade_id IS NOT NULL)
+  UNION ALL SELECT DISTINCT 'relation_to_itself', CAST(equivalence_id AS VARCHAR) FROM equivalences WHERE source_grade_id = target_grade_id"""
+)
+def relation_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """The cards as a catalogue, with the statements between them."""
+    cards = read_table(spark, folder, "grade_cards").select("grade_id", F.col("written_name").alias("canonical"), "status", F.col("standard_system").alias("source_reference"))
+    return catalog.catalog_violations(cards, read_table(spark, folder, "aliases").where("false"), read_table(spark, folder, "equivalences"))
+
+
 @_query(f"SELECT k AS key, min(canonical) AS name FROM (SELECT DISTINCT {_KEY.format('canonical')} AS k, canonical FROM (SELECT canonical FROM grades UNION ALL SELECT alias FROM aliases)) WHERE k <> '' GROUP BY k HAVING count(*) = 1")
 def singleton_keys(spark: SparkSession, folder: str) -> DataFrame:
     names = read_table(spark, folder, "grades").select(F.col("canonical").alias("name")).unionByName(read_table(spark, folder, "aliases").select(F.col("alias").alias("name")))
@@ -160,23 +176,76 @@ def unit_compat_filter(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "offers").where(dim.units_agree(F.lit("MM"), F.upper("dim1_unit"))).select("profile", "offer_id")
 
 
-@_query()
+@_query(f"""SELECT DISTINCT profile, CAST(damerau_levenshtein({_ASCII.format("'ТРУАБ'")}, {_ASCII.format("profile")}) AS INT) AS distance FROM offers WHERE profile IS NOT NULL""")
 def profile_typo_distance(spark: SparkSession, folder: str) -> DataFrame:
     """Optimal string alignment of a mistyped profile with the profiles on offer."""
     named = read_table(spark, folder, "offers").where("profile is not null").select("profile").distinct()
     return named.select("profile", osa_distance(F.lit("ТРУАБ"), F.col("profile")).alias("distance"))
 
 
-@_query()
-def catalog_search_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """For every canonical grade as a pipe, bar and sheet query the ten best offers."""
-    grades = read_table(spark, folder, "grades")
+@_query(rf"""WITH p AS (SELECT DISTINCT upper(trim(regexp_replace(profile, '\s+', ' ', 'g'))) AS k FROM offers WHERE trim(coalesce(profile, '')) <> ''),
+  known AS (SELECT k FROM p UNION SELECT CASE k WHEN 'КРУГ' THEN 'ПРУТОК' ELSE 'КРУГ' END FROM p WHERE k IN ('КРУГ', 'ПРУТОК')),
+  q AS (SELECT DISTINCT item_id, coalesce(regexp_extract(upper(translate(description, 'ёЁ', 'еЕ')), '[0-9A-ZА-Я]+'), '') AS query FROM raw_items),
+  d AS (SELECT item_id, query, k, damerau_levenshtein({_ASCII.format('query')}, {_ASCII.format('k')}) AS e FROM q JOIN known ON abs(length(query) - length(k)) <= 2 WHERE query <> ''),
+  near AS (SELECT * FROM d WHERE e <= 1 OR (e = 2 AND greatest(length(query), length(k)) >= 9)),
+  best AS (SELECT query, min(k) AS k, e FROM (SELECT DISTINCT query, k, e, min(e) OVER (PARTITION BY query) AS m FROM near) WHERE e = m GROUP BY query, e HAVING count(*) = 1)
+  SELECT DISTINCT q.query, CASE WHEN q.query = '' THEN 'ALL' WHEN e = 0 THEN 'EXACT' WHEN e IS NOT NULL THEN 'CORRECTED' ELSE 'NOT_FOUND' END AS status, k AS profile, CAST(e AS INT) AS edits FROM q LEFT JOIN best USING (query)""")
+def profile_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    """The first word of every raw description as a typed profile, against the profiles on offer."""
+    first = F.regexp_extract(F.upper(F.translate("description", "ёЁ", "еЕ")), "[0-9A-ZА-Я]+", 0)
+    queries = read_table(spark, folder, "raw_items").select(F.coalesce(first, F.lit("")).alias("query"))
+    return resolve_profiles(read_table(spark, folder, "offers"), queries).select("query", "status", "profile", "edits")
+
+
+def _catalogue_asked(spark: SparkSession, folder: str, size: int | None, unit: str | None) -> tuple[list[DataFrame], DataFrame]:
+    """Every canonical grade as a pipe, bar and sheet query of a size; the tables to search:
+    items, grades, aliases, and relations between grades as the cards of both ends name them."""
+    grades, aliases = read_table(spark, folder, "grades"), read_table(spark, folder, "aliases")
     kinds = F.explode(F.array(F.lit("ТРУБА"), F.lit("КРУГ"), F.lit("ЛИСТ"))).alias("profile")
-    asked = grades.select("grade_id", F.col("canonical").alias("grade"), kinds)
     nothing = F.lit(None).cast("decimal(18,6)")
-    queries = asked.select(F.concat_ws("/", "grade_id", "profile").alias("query_id"), "profile", "grade", F.lit(20).cast("decimal(18,6)").alias("q1"), nothing.alias("q2"), nothing.alias("q3"), F.lit(None).cast("string").alias("q_unit"))
-    items = read_table(spark, folder, "offers").select("offer_id", "supplier", "profile", "grade", "dim1", "dim2", "dim3", "dim1_unit")
-    return search_catalog.catalog_search(queries, items, grades, read_table(spark, folder, "aliases"), limit=10)
+    asked = grades.select("grade_id", F.col("canonical").alias("grade"), kinds)
+    queries = asked.select(F.concat_ws("/", "grade_id", "profile").alias("query_id"), "profile", "grade", F.lit(size).cast("decimal(18,6)").alias("q1"), nothing.alias("q2"), nothing.alias("q3"), F.lit(unit).cast("string").alias("q_unit"))
+    cards = catalog.resolve_names(read_table(spark, folder, "grade_cards").select(F.col("grade_id").alias("card_id"), "written_name"), "written_name", grades, aliases).where("grade_id is not null")
+    ends = [cards.select(F.col("card_id").alias(f"{end}_grade_id"), F.col("grade_id").alias(f"_{end}")) for end in ("source", "target")]
+    related = read_table(spark, folder, "equivalences").join(ends[0], "source_grade_id").join(ends[1], "target_grade_id")
+    relations = related.select("equivalence_id", F.col("_source").alias("source_grade_id"), F.col("_target").alias("target_grade_id"), "relation_type", "status", "bidirectional")
+    items = read_table(spark, folder, "offers").select("offer_id", "supplier", "profile", "grade", "dim1", "dim2", "dim3", F.upper("dim1_unit").alias("dim1_unit"))
+    return [items, grades, aliases, relations], queries
+
+
+@_query()
+def catalog_search_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best offers of each query, by all tiers and with near sizes."""
+    tables, queries = _catalogue_asked(spark, folder, 20, "MM")
+    return search_catalog.catalog_search(queries, *tables, limit=10)
+
+
+_RESOLVED = f"""c AS (SELECT {_KEY.format("canonical")} AS k, min(grade_id) AS id, arg_min(status, grade_id) AS st FROM grades GROUP BY 1),
+  a AS (SELECT {_KEY.format("alias")} AS k, arg_max(canonical_grade_id, alias_id) AS id, arg_max(status, alias_id) AS st FROM aliases WHERE status <> 'REJECTED' GROUP BY 1),
+  names AS (SELECT k, coalesce(c.id, a.id) AS id, CASE WHEN c.id IS NOT NULL THEN c.st ELSE a.st END AS st FROM c FULL JOIN a USING (k))"""
+
+
+@_query(
+    f"""WITH {_RESOLVED},
+  q AS (SELECT grade_id || '/' || p AS query_id, p, {_KEY.format("canonical")} AS qk FROM grades, (VALUES ('ТРУБА'), ('КРУГ'), ('ЛИСТ')) t(p)),
+  q2 AS (SELECT query_id, unnest(CASE WHEN p = 'КРУГ' THEN ['КРУГ', 'ПРУТОК'] ELSE [p] END) AS profile, qk, id AS qid, st AS qs FROM q LEFT JOIN names ON qk = k),
+  i AS (SELECT offer_id, supplier, profile, {_KEY.format("grade")} AS ik FROM offers),
+  i2 AS (SELECT i.*, id AS iid, st AS ist FROM i LEFT JOIN names ON ik = k WHERE ik <> ''),
+  cards AS (SELECT grade_id AS card, id FROM grade_cards JOIN names ON {_KEY.format("written_name")} = k),
+  r AS (SELECT s.id AS a, t.id AS b, relation_type, status, bidirectional, equivalence_id AS n FROM equivalences e JOIN cards s ON e.source_grade_id = s.card JOIN cards t ON e.target_grade_id = t.card WHERE status <> 'REJECTED'),
+  edges AS (SELECT a, b, arg_min(relation_type, n) AS kind, arg_min(status, n) AS st FROM (SELECT a, b, relation_type, status, n FROM r UNION ALL SELECT b, a, relation_type, status, n FROM r WHERE bidirectional) GROUP BY a, b),
+  hits AS (SELECT query_id, offer_id, supplier, CASE WHEN qk = ik THEN 0 WHEN qid = iid THEN 1 WHEN edges.st = 'CONFIRMED' THEN 2 WHEN edges.a IS NOT NULL THEN 3 END AS tier,
+      CASE WHEN qk = ik THEN false WHEN qid = iid THEN NOT coalesce(qs = 'CONFIRMED' AND ist = 'CONFIRMED', false) ELSE NOT coalesce(edges.st = 'CONFIRMED' AND upper(trim(edges.kind)) = 'EQUIVALENT', false) END AS review
+    FROM q2 JOIN i2 USING (profile) LEFT JOIN edges ON qid = edges.a AND iid = edges.b),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, review, lower(supplier) NULLS FIRST, offer_id) AS position FROM hits WHERE tier IS NOT NULL)
+  SELECT query_id, offer_id, ['EXACT', 'ALIAS', 'CONFIRMED_RELATION', 'PROPOSED_RELATION'][tier + 1] AS tier, review AS requires_review, position,
+    [1.0, 0.97, 0.9, 0.72][tier + 1]::DOUBLE AS score FROM ranked WHERE position <= 10"""
+)
+def catalog_search_tiers(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries without size and by all tiers but similar spellings, which SQL can't say."""
+    tables, queries = _catalogue_asked(spark, folder, None, None)
+    found = search_catalog.catalog_search(queries, *tables, limit=10, include_fuzzy=False, include_unruled_near=False)
+    return found.select("query_id", "offer_id", "tier", "requires_review", "position", "score")
 
 
 @_query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
@@ -274,10 +343,17 @@ def document_totals(spark: SparkSession, folder: str) -> DataFrame:
     return documents.document_totals(lines, heads, "o_orderkey")
 
 
-@_query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version FROM orders""")
+@_query("""WITH e AS (SELECT o_custkey AS document_key, CAST(o_orderkey AS VARCHAR) AS content_hash, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS v FROM orders WHERE o_orderdate < '1996-01-01'),
+  n AS (SELECT DISTINCT o_custkey AS document_key, CAST(o_orderkey AS VARCHAR) AS content_hash FROM orders WHERE o_orderdate >= '1995-01-01'),
+  t AS (SELECT document_key, max(v) AS top FROM e GROUP BY 1)
+  SELECT document_key, content_hash, coalesce(v, coalesce(top, 0) + row_number() OVER (PARTITION BY document_key, v IS NULL ORDER BY content_hash)) AS version
+  FROM n LEFT JOIN e USING (document_key, content_hash) LEFT JOIN t USING (document_key)""")
 def document_version(spark: SparkSession, folder: str) -> DataFrame:
-    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return read_table(spark, folder, "orders").select("o_orderkey", F.row_number().over(order).cast("long").alias("version"))
+    """Versions of each customer's orders since 1995, where those before 1996 are stored already."""
+    orders = read_table(spark, folder, "orders").select(F.col("o_custkey").alias("document_key"), F.col("o_orderkey").cast("string").alias("content_hash"), "o_orderkey", "o_orderdate")
+    order = Window.partitionBy("document_key").orderBy("o_orderkey")
+    stored = orders.where("o_orderdate < '1996-01-01'").withColumn("version", F.row_number().over(order).cast("long"))
+    return documents.next_versions(stored, orders.where("o_orderdate >= '1995-01-01'"))
 
 
 @_query(r"""SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{000B}\x{0085}\x{2028}\x{2029}\x{1680}]+', ' ', 'g')) AS plain FROM documents""")
@@ -293,7 +369,7 @@ def sha256_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 @_query(r"""SELECT term, count(*) AS documents FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(upper(text), '[0-9A-ZА-ЯЁ]+(?:[-_/][0-9A-ZА-ЯЁ]+)*'))) AS term FROM documents WHERE text IS NOT NULL) GROUP BY term""")
 def token_terms(spark: SparkSession, folder: str) -> DataFrame:
     """In how many documents each search term occurs."""
-    terms = F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(r"[0-9A-ZА-ЯЁ]+(?:[-_/][0-9A-ZА-ЯЁ]+)*"), F.lit(0)))
+    terms = F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(search_mask.TERM), F.lit(0)))
     return read_table(spark, folder, "documents").where("text is not null").select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
 
 
@@ -351,12 +427,29 @@ def parsed_items(spark: SparkSession, folder: str) -> DataFrame:
     return parse_items(read_table(spark, folder, "raw_items"))
 
 
-@_query()
+@_query("""SELECT source_file AS file, CASE WHEN length(source_file) % 2 = 0 THEN 1 ELSE 2 END AS row_no, 1 AS description, 2 AS availability, 3 AS price_vat, 4 AS grade_hint, 5 AS mapped FROM (SELECT DISTINCT source_file FROM raw_lines)""")
 def header_detection(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of delimited lines as sheets of cells: no header is found in them, by contract."""
-    lines = read_table(spark, folder, "raw_lines").select(F.col("source_file").alias("file"), "line_no", split_line(F.col("raw_line"))["cells"].alias("c"))
-    cells = lines.select("file", F.lit("lines").alias("sheet"), F.lit(0).alias("sheet_ix"), F.col("line_no").alias("row_no"), F.transform("c", lambda v: F.struct(v.alias("v"), F.lit(False).alias("is_num"))).alias("cells"))
-    return detect_headers(cells)
+    """The files of delimited lines as sheets, each with a header above its lines and, in
+    every other file, a title above that."""
+    found = detect_headers(_sheets_of_lines(spark, folder))
+    columns = [F.col("mapping")[f].alias(f) for f in ("description", "availability", "price_vat", "grade_hint")]
+    return found.select("file", "row_no", *columns, F.size("mapping").alias("mapped"))
+
+
+_HEADINGS = ("Поставщик", "Наименование товара", "Остаток, склад", "Цена с НДС, руб/кг", "Марка сплава", "Длина, вес нетто")
+
+
+def _sheets_of_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of the files of delimited lines with a header row and some titles above it."""
+    lines = read_table(spark, folder, "raw_lines").select(F.col("source_file").alias("file"), F.col("line_no").cast("int").alias("line_no"), split_line(F.col("raw_line"))["cells"].alias("c"))
+    above = F.when(F.length("file") % 2 == 0, 1).otherwise(2)
+    cell = lambda v: F.struct(v.alias("v"), F.lit(False).alias("is_num"))
+    body = lines.select("file", (F.col("line_no") + above).alias("row_no"), F.transform("c", cell).alias("cells"))
+    files = lines.select("file").distinct()
+    heads = files.select("file", above.alias("row_no"), F.array(*[cell(F.lit(h)) for h in _HEADINGS]).alias("cells"))
+    titles = files.where(F.length("file") % 2 == 1).select("file", F.lit(1).alias("row_no"), F.array(cell(F.lit("Прайс-лист"))).alias("cells"))
+    whole = body.unionByName(heads).unionByName(titles)
+    return whole.select("file", F.lit("lines").alias("sheet"), F.lit(0).alias("sheet_ix"), "row_no", "cells")
 
 
 _NAMES = "(SELECT min(grade_id) AS name_id, k FROM (SELECT grade_id, {0} AS k FROM grades UNION ALL SELECT canonical_grade_id, {1} FROM aliases WHERE status <> 'REJECTED') WHERE k <> '' GROUP BY k)".format(
@@ -377,42 +470,36 @@ def names_in_text(spark: SparkSession, folder: str) -> DataFrame:
     return find_names(read_table(spark, folder, "offers"), "offer_id", "raw_description", names)
 
 
-@_query("""SELECT offer_id, concat_ws(' ', upper(profile[1]) || lower(profile[2:]), grade) AS shown FROM offers WHERE profile IS NULL OR profile NOT LIKE '% %'""")
+@_query("""SELECT offer_id, concat_ws(' ', array_to_string(list_transform(string_split(lower(profile), ' '), lambda w: upper(w[1]) || w[2:]), ' '), grade) AS shown FROM offers""")
 def display_names(spark: SparkSession, folder: str) -> DataFrame:
-    one_word = F.col("profile").isNull() | ~F.col("profile").contains(" ")
     shown = attributes.display_name(F.col("profile"), F.col("grade"), F.lit(None).cast("string"))
-    return read_table(spark, folder, "offers").where(one_word).select("offer_id", shown.alias("shown"))
+    return read_table(spark, folder, "offers").select("offer_id", shown.alias("shown"))
 
 
-@_query("""SELECT offer_id, CASE WHEN profile IN ('КРУГ', 'ПРОВОЛОКА', 'ШЕСТИГРАННИК', 'ПРУТОК') THEN 2 ELSE 3 END AS sizes FROM offers
-  WHERE dim1 IS NOT NULL AND dim2 IS NOT NULL AND dim3 IS NOT NULL AND profile IS NOT NULL""")
+@_query("""WITH n AS (SELECT offer_id, profile, (dim1 IS NOT NULL)::INT + (dim2 IS NOT NULL)::INT AS a, (dim3 IS NOT NULL)::INT AS b FROM offers)
+  SELECT offer_id, CASE WHEN profile IN ('КРУГ', 'ПРОВОЛОКА', 'ШЕСТИГРАННИК', 'ПРУТОК') THEN least(a, 1) + least(b, 1) WHEN profile = 'ТРУБА' THEN least(a, 2) + least(b, 1) ELSE least(a + b, 3) END AS sizes FROM n""")
 def structured_columns(spark: SparkSession, folder: str) -> DataFrame:
     """How many sizes come out of two columns of sizes."""
-    whole = read_table(spark, folder, "offers").where("dim1 is not null and dim2 is not null and dim3 is not null and profile is not null")
     sizes = attributes.structured_sizes(F.col("profile"), F.concat_ws("x", F.col("dim1").cast("string"), F.col("dim2").cast("string")), F.col("dim3").cast("string"))
-    return whole.select("offer_id", F.size(sizes).alias("sizes"))
+    return read_table(spark, folder, "offers").select("offer_id", F.size(sizes).alias("sizes"))
 
 
 @_query("""SELECT offer_id, list_has(review_reasons, 'business_rule_pending') OR list_has(review_reasons, 'grade_conflict') AS normalisation, coalesce(len(review_reasons), 0) > 0 AS any_reason FROM offers WHERE requires_review""")
 def review_queues(spark: SparkSession, folder: str) -> DataFrame:
     """Offers in review, and whether they belong to the queue of conflicting rows; queues overlap."""
-    conflict = F.array_contains("review_reasons", "business_rule_pending") | F.array_contains("review_reasons", "grade_conflict")
-    return read_table(spark, folder, "offers").where("requires_review").select("offer_id", conflict.alias("normalisation"), (F.coalesce(F.size("review_reasons"), F.lit(0)) > 0).alias("any_reason"))
+    return decision_log.review_queues(read_table(spark, folder, "offers")).select("offer_id", "normalisation", "any_reason")
 
 
 @_query("""SELECT source_file, bool_and(coalesce(step >= 0, true)) AS in_order FROM (SELECT source_file, line_no - lag(line_no) OVER (PARTITION BY source_file ORDER BY line_id) AS step FROM raw_lines) GROUP BY source_file""")
 def order_check(spark: SparkSession, folder: str) -> DataFrame:
     """Whether the lines of each file are numbered in the order of their ids."""
-    step = F.col("line_no") - F.lag("line_no").over(Window.partitionBy("source_file").orderBy("line_id"))
-    return read_table(spark, folder, "raw_lines").withColumn("step", step).groupBy("source_file").agg(F.every(F.coalesce(F.col("step") >= 0, F.lit(True))).alias("in_order"))
+    return metrics.in_order(read_table(spark, folder, "raw_lines"), "source_file", "line_no", "line_id")
 
 
 @_query()
 def price_lists_by_layout(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of delimited lines as cells, read by layout, header or as bare rows."""
-    lines = read_table(spark, folder, "raw_lines").select(F.col("source_file").alias("file"), "line_no", split_line(F.col("raw_line"))["cells"].alias("c"))
-    cells = lines.select("file", F.lit("lines").alias("sheet"), F.lit(0).alias("sheet_ix"), F.col("line_no").alias("row_no"), F.transform("c", lambda v: F.struct(v.alias("v"), F.lit(False).alias("is_num"))).alias("cells"))
-    return read_price_lists(cells)
+    """Files of delimited lines as sheets, read by layout, header or as bare rows."""
+    return read_price_lists(_sheets_of_lines(spark, folder))
 
 
 @_query("""WITH r AS (SELECT offer_id, requires_review, confidence, CASE WHEN grade = 'предпол.' AND NOT list_has(list_distinct(coalesce(review_reasons, [])), 'unconfirmed_grade') THEN len(list_distinct(coalesce(review_reasons, []))) + 1
@@ -428,9 +515,10 @@ def source_texts(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "offers").select("offer_id", source_text().alias("source"))
 
 
-@_query()
+@_query("""SELECT offer_id, CAST(to_json({'source_id': offer_id, 'supplier': supplier, 'description': raw_description, 'current_profile': profile, 'current_grade': grade,
+  'current_dimensions': [CAST(dim1 AS VARCHAR), CAST(dim2 AS VARCHAR), CAST(dim3 AS VARCHAR)], 'requires_review': requires_review, 'review_reasons': review_reasons}) AS VARCHAR) AS payload FROM offers WHERE requires_review""")
 def review_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """What a reviewer is shown of each offer in review."""
+    """What a reviewer or model is shown of each offer in review."""
     return payload(read_table(spark, folder, "offers").where("requires_review"))
 
 
@@ -438,3 +526,47 @@ def review_payloads(spark: SparkSession, folder: str) -> DataFrame:
 def size_sequences(spark: SparkSession, folder: str) -> DataFrame:
     """Whether a description holds a sequence of sizes."""
     return read_table(spark, folder, "raw_items").select("item_id", (F.size(size_text.size_sequences(F.col("description"))) > 0).alias("written"))
+
+
+@_query()
+def stated_grades(spark: SparkSession, folder: str) -> DataFrame:
+    """The grade that each raw description states, and the rule that found it."""
+    items = read_table(spark, folder, "raw_items").select("item_id", "description", profiles.profile_of(F.col("description")).alias("profile"))
+    return grades_in_text(items, "item_id", "description", "profile", read_table(spark, folder, "grades"), read_table(spark, folder, "aliases"))
+
+
+_FULL_KEY = rf"regexp_replace(translate(upper(trim(regexp_replace(grade, '\s+', ' ', 'g'), ' [];,')), 'АВЕКМНОРСТУХЁ', 'ABEKMHOPCTYXE'), '[^\p{{L}}\p{{Nd}}]+', '', 'g')"
+
+
+@_query(
+    f"""WITH n AS (SELECT {_KEY.format("name")} AS k, canonical FROM (SELECT canonical AS name, canonical FROM grades UNION ALL SELECT alias, canonical FROM aliases JOIN grades ON canonical_grade_id = grade_id WHERE aliases.status <> 'REJECTED') WHERE name IS NOT NULL AND canonical IS NOT NULL),
+  one AS (SELECT k, min(canonical) AS known FROM n WHERE k <> '' GROUP BY k HAVING count(DISTINCT canonical) = 1)
+  SELECT offer_id, CASE WHEN trim(coalesce(grade, ''), ' [];,') = '' THEN 'предпол.' ELSE coalesce(known, replace(upper(trim(trim(regexp_replace(grade, '\s+', ' ', 'g'), ' [];,'), '()')), 'Ё', 'Е')) END AS grade FROM offers LEFT JOIN one ON {_FULL_KEY} = k"""
+)
+def typed_grades(spark: SparkSession, folder: str) -> DataFrame:
+    """Grades of offers as the catalogue spells them."""
+    names = known_names(read_table(spark, folder, "grades"), read_table(spark, folder, "aliases"))
+    return normalise_grades(read_table(spark, folder, "offers").select("offer_id", F.col("grade").alias("typed")), "typed", names).select("offer_id", "grade")
+
+
+@_query("""SELECT 'parsed-' || CASE WHEN length(n) < 6 THEN lpad(n, 6, '0') ELSE n END AS id, offer_id FROM (SELECT offer_id,
+  CAST(row_number() OVER (ORDER BY source_file NULLS FIRST, source_sheet NULLS FIRST, source_row NULLS FIRST, source_block NULLS FIRST, offer_id) AS VARCHAR) AS n FROM offers)""")
+def searchable_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Offers with an id by their place in the sources."""
+    order = ("source_file", "source_sheet", "source_row", "source_block", "offer_id")
+    return metrics.positional_ids(read_table(spark, folder, "offers").select(*order), "parsed", 6, *order).select("id", "offer_id")
+
+
+@_query("""SELECT offer_id, shown_profile, CASE WHEN shown_profile = profile THEN comment_text ELSE concat_ws('; ', NULLIF(comment_text, ''), 'Поисковый синоним профиля: ' || shown_profile || '; исходный профиль поставщика: ' || profile || '; не отдельная складская позиция') END AS comment_text
+  FROM offers, (VALUES ('КРУГ'), ('ПРУТОК')) t(shown_profile) WHERE profile IN ('КРУГ', 'ПРУТОК')""")
+def rows_to_show(spark: SparkSession, folder: str) -> DataFrame:
+    """What an export shows of a search for round bars."""
+    return listing.rows_to_show(read_table(spark, folder, "offers"), profiles.ROUND_BARS).select("offer_id", "shown_profile", "comment_text")
+
+
+@_query("""SELECT item_id, CASE WHEN regexp_full_match(a, '-?[0-9]+(?:[.,][0-9]+)?') AND coalesce(u, '') <> '' THEN replace(a, ',', '.') || ' ' || u ELSE a END AS availability
+  FROM (SELECT item_id, trim(regexp_replace(coalesce(availability, ''), '[\\s\\x{00A0}\\x{202F}\\x{2009}]+', ' ', 'g')) AS a, json_extract_string(extra_json, '$.availability_unit') AS u FROM raw_items)""")
+def availability_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Amounts as shown, with the unit of their column."""
+    shown = values.availability_text(F.col("availability"), F.get_json_object("extra_json", "$.availability_unit"))
+    return read_table(spark, folder, "raw_items").select("item_id", shown.alias("availability"))

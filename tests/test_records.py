@@ -3,6 +3,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from sortament.operators import decision_log
 from sortament.operators import decision_log as log
 from sortament.operators import documents, evidence, mail, metrics
 from sortament.operators.persist import append_once, bundle_hash, stable_id
@@ -143,3 +144,35 @@ def test_bundle_and_ids(spark):
     files = spark.createDataFrame([("x/b", bytearray(b"2")), ("y/a", bytearray(b"1"))], "path string, content binary")
     assert bundle_hash(files) == bundle_hash(files.orderBy("path"))
     assert spark.range(1).select(stable_id("of", F.lit("x"), 6)).first()[0] == "of-2d7116"
+
+
+def test_rates_of_rows(spark):
+    schema = "k int, a string, b int, requires_review boolean"
+    results = spark.createDataFrame([(1, "x", 1, True), (2, "y", None, False), (3, "z", 3, True), (9, "w", 1, True)], schema)
+    gold = spark.createDataFrame([(1, "x", 1, False), (2, "y", None, False), (3, "z", 4, True)], schema)
+    assert tuple(metrics.row_accuracy(results, gold, "k", ("a", "b")).first()) == (3, 2, 0.6667, 1, 0.3333)
+    assert tuple(metrics.row_accuracy(results.where("false"), gold, "k", ("a",)).first()) == (0, 0, None, 0, None)
+
+
+def test_summary_of_reconciling(spark):
+    schema = "decision string, final_decision string, removed_warnings array<string>, warnings array<string>"
+    df = spark.createDataFrame([("keep", "KEEP", ["a"], []), ("REVIEW", "KEEP", None, ["b", "c"]), (None, "KEEP", [], [])], schema)
+    assert tuple(metrics.reconciliation_summary(df).first()) == (3, 2, 1, 2, 0.3333)
+    assert tuple(metrics.reconciliation_summary(df.where("false")).first()) == (0, 0, 0, 0, None)
+
+
+def test_manifest_and_places(spark):
+    batches = metrics.in_batches(spark.range(5).withColumnRenamed("id", "k"), 2, "k")
+    answers = spark.createDataFrame([(0,), (1,), (1,), (4,), (None,), (77,)], "k long")
+    assert rows(metrics.batch_manifest(batches, answers, "k")) == [(0, 2, 2, True), (1, 2, 0, False), (2, 1, 1, True)]
+    df = spark.createDataFrame([("b", 2), ("a", 9), ("a", 1), (None, 0)], "file string, row int")
+    got = metrics.positional_ids(df, "parsed", 6, "file", "row").orderBy("id").collect()
+    assert [(r.id, r.file, r.row) for r in got] == [("parsed-000001", None, 0), ("parsed-000002", "a", 1), ("parsed-000003", "a", 9), ("parsed-000004", "b", 2)]
+    assert metrics.positional_ids(df.where("false"), "p", 3, "file").count() == 0
+
+
+def test_queues_and_orders(spark):
+    df = spark.createDataFrame([(1, True, ["grade_conflict", "x"]), (2, True, None), (3, False, ["x"]), (4, True, [])], "k int, requires_review boolean, review_reasons array<string>")
+    assert rows(decision_log.review_queues(df).select("k", "normalisation", "any_reason")) == [(1, True, True), (2, None, False), (4, False, False)]
+    df = spark.createDataFrame([("a", 1, 1), ("a", 3, 2), ("b", 2, 1), ("b", 1, 2), ("c", None, 1), ("c", 1, 2)], "g string, v int, o int")
+    assert rows(metrics.in_order(df, "g", "v", "o")) == [("a", True), ("b", False), ("c", True)]
