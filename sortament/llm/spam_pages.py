@@ -31,10 +31,11 @@ numbers per language.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,8 @@ LEAST_CONTEXTS = 16
 #: A word of lists has less than this part of its occurrences in well-formed sentences;
 #: a function word before it says nothing.
 OF_LISTS = 0.5
+#: Words counted together in a Python worker, which bounds its memory.
+WORDS_AT_ONCE = 2_000_000
 #: Words in well-formed sentences from which a language's function words are learned.
 LEAST_WORDS = 1_000
 #: A unit is no sentence below this part of its language's rate of function words in sentences.
@@ -82,6 +85,7 @@ CODES = {
 SCRIPTS = {"latin": "a-z\u00df-\u024f", "cyrillic": "\u0400-\u052f", "greek": "\u0370-\u03ff", "arabic": "\u0600-\u06ff", "hebrew": "\u0590-\u05ff"}
 
 _LINK = re.compile(r"<a\s[^<>]*+>[^<]*+</a>|\[[^\[\]\n]*+\]\([^)\s\[]*+\)|https?://\S+|(?<![\w.-])(?:[\w-]++\.)++[a-z]{2,24}/[\w/.-]*", re.I)
+_MARKS = frozenset(".!?…")
 _WORD = re.compile(r"[^\W_]+")
 #: Signs after which a unit ends.
 _UNITS = re.compile(r"([.!?…»]+(?=\s+\D|\s*$)|\s[|•]\s)")
@@ -167,6 +171,7 @@ def page_features(text: str, code: str | None, lists: Lists) -> tuple:
                 all_words += found
                 continue
         pieces = _UNITS.split(line)
+        pieces.append("")
         for at in range(0, len(pieces), 2):
             unit = pieces[at]
             parts = _SEPARATOR.split(unit.lower())
@@ -186,9 +191,7 @@ def page_features(text: str, code: str | None, lists: Lists) -> tuple:
                         hits += 1
                         varied.add((w, part[i]))
             n = len(words)
-            marked = at + 1 < len(pieces) and pieces[at + 1][0] in ".!?…"
-            # Well-formed: begins with a capital, ends with a mark, four words or more.
-            formed = marked and n >= 4 and unit.lstrip(" >*«\"'\t")[:1].isupper()
+            formed = _formed(unit, n, pieces[at + 1])
             if formed:
                 good_hits, good_words = good_hits + hits, good_words + n
             if formed and not hits:
@@ -211,21 +214,57 @@ def _code(lang: Column) -> Column:
     return F.when(plain != "", F.coalesce(F.try_element_at(codes, plain), plain))
 
 
+def _formed(unit: str, n: int, mark: str) -> bool:
+    """A well-formed sentence: begins with a capital, ends with a mark, four words or more."""
+    return n >= 4 and mark[:1] in _MARKS and unit.lstrip(" >*«\"'\t")[:1].isupper()
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, word, inside, n, contexts) of some texts: a word's occurrences in well-formed
+    sentences and in all, and as bits the places that a hash gives the words that follow it
+    there. Texts are counted together up to WORDS_AT_ONCE words, whatever their length."""
+    names = ["code", "word", "inside", "n", "contexts"]
+
+    def flush(inside: dict[str | None, list[str]], outside: dict[str | None, list[str]], pairs: dict[str | None, set[tuple[str, str]]]) -> Iterator[pa.RecordBatch]:
+        for code in {*inside, *outside}:
+            within, every = Counter(inside[code]), Counter(outside[code])
+            every.update(within)
+            words = [w for w in every if w.isalpha()]
+            contexts = dict.fromkeys(every, 0)
+            for word, then in pairs[code]:
+                contexts[word] |= 1 << (crc32(then.encode("utf-8", "surrogatepass")) & 63)
+            bits = np.array([contexts[w] for w in words], np.uint64).view(np.int64)
+            arrays = [pa.array([code] * len(words), pa.string()), pa.array(words, pa.string()), pa.array([within[w] for w in words], pa.int64()), pa.array([every[w] for w in words], pa.int64()), pa.array(bits)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    for batch in batches:
+        inside, outside, pairs, held = defaultdict(list), defaultdict(list), defaultdict(set), 0
+        for code, text in zip(batch.column("code").to_pylist(), batch.column("text"), strict=True):
+            for line in text.as_py().split("\n"):
+                pieces = _UNITS.split(line)
+                pieces.append("")
+                for at in range(0, len(pieces), 2):
+                    words = _WORD.findall(pieces[at].lower())
+                    if _formed(pieces[at], len(words), pieces[at + 1]):
+                        inside[code] += words
+                        pairs[code].update(zip(words, words[1:]))
+                    else:
+                        outside[code] += words
+                    held += len(words)
+                if held > WORDS_AT_ONCE:
+                    yield from flush(inside, outside, pairs)
+                    inside, outside, pairs, held = defaultdict(list), defaultdict(list), defaultdict(set), 0
+        yield from flush(inside, outside, pairs)
+
+
 def learn_lists(docs: DataFrame) -> Lists:
     """The lists of ``docs`` (code, text), from all words of all documents. Words are
-    counted per task before they are shuffled; those with digits are left out, and only
+    counted per batch before they are shuffled; those with digits are left out, and only
     words with LEAST_FREQUENCY come to be ranked, so a language ranks 1,000 at most."""
-    units = docs.select("code", F.explode(F.split("text", r"(?<=[.!?…»])\s+(?=\D)|\n|\s[|•]\s")).alias("unit"))
-    ends = F.substring(F.rtrim("unit"), -1, 1).isin(*".!?…")
-    formed = ends & F.col("unit").rlike(r"^[\s>*«\"']*\p{Lu}")
-    words = units.select("code", F.split(F.lower("unit"), r"[^\p{L}\p{N}]+").alias("words"), formed.alias("formed"))
-    # Of neighbours in order only the first is counted; a blank word at either end is left out below.
-    each = words.select("code", (F.col("formed") & (F.size("words") > 4)).alias("formed"), "words", F.posexplode("words").alias("at", "word"))
-    each = each.select("code", "formed", "word", F.get("words", F.col("at") + 1).alias("next"))
-    place = F.when(F.col("formed") & (F.col("next") != ""), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("next"), F.lit(64)).cast("int")))
-    counts = each.groupBy("code", "word").agg(F.count_if("formed").alias("inside"), F.count(F.lit(1)).alias("n"), F.bit_count(F.bit_or(place)).alias("contexts"))
+    each = docs.select("code", "text").mapInArrow(_count_words, "code string, word string, inside bigint, n bigint, contexts bigint")
+    counts = each.groupBy("code", "word").agg(F.sum("inside").alias("inside"), F.sum("n").alias("n"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
     script = F.coalesce(*[F.when(F.col("word").rlike(f"^[{span}]"), F.lit(name)) for name, span in SCRIPTS.items()])
-    counts = materialise(counts.withColumn("script", script).where(F.col("script").isNotNull() & ~F.col("word").rlike(r"\d")))
+    counts = materialise(counts.withColumn("script", script).where("script is not null"))
     # One row per code and script.
     sums = [r for r in counts.groupBy("code", "script").agg(F.sum("inside").alias("n")).collect()]
     scripts: dict[str, str] = {}
@@ -268,7 +307,7 @@ def document_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     ship_package(docs.sparkSession)
     code = _code(F.col(lang)) if lang in docs.columns else F.lit(None).cast("string")
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc"), code.alias("code"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    lists = learn_lists(chosen.select("code", "text"))
+    lists = learn_lists(chosen)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,7 @@
 import pytest
 
 from sortament.llm import queries as q
+from tests.conftest import TESTDATA
 
 COLUMNS = {
     "p1_found": {"offer_id_a": "bigint", "offer_id_b": "bigint"}, "p2_found": {"grade_id": "string", "group_id": "string"}, "p6_found": {"offer_id": "bigint", "grade_id": "string"},
@@ -16,3 +17,18 @@ def test_runs(spark, folder, name):
     assert found.count() > 0
     if name.endswith("_found"):
         assert found.count() == found.distinct().count()
+
+
+@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
+def test_equals_its_sql(spark, folder, name):
+    duckdb = pytest.importorskip("duckdb")
+    found = q.queries()[name](spark, folder)
+    columns = sorted(found.columns)
+    got = sorted((tuple(r[c] for c in columns) for r in found.collect()), key=repr)
+    with duckdb.connect() as c:
+        for path in TESTDATA.glob("*.parquet"):
+            c.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
+        table = c.execute(q.oracle_sql()[name])
+        names = [d[0] for d in table.description]
+        want = sorted((tuple(r[names.index(n)] for n in columns) for r in table.fetchall()), key=repr)
+    assert sorted(names) == columns and got == want
