@@ -22,6 +22,7 @@ from sortament.operators.find_names import find_names
 from sortament.operators.parse_items import parse_items
 from sortament.operators.persist import stable_id
 from sortament.operators.read_grades import grades_in_text, known_names, normalise_grades
+from sortament.operators.read_sizes import sizes_in_text
 from sortament.operators.reject_rows import split_line
 from sortament.operators.resolve_profile import resolve_profiles
 from sortament.sources.exports import source_text
@@ -570,3 +571,10 @@ def availability_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Amounts as shown, with the unit of their column."""
     shown = values.availability_text(F.col("availability"), F.get_json_object("extra_json", "$.availability_unit"))
     return read_table(spark, folder, "raw_items").select("item_id", shown.alias("availability"))
+
+
+@_query()
+def stated_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """The sizes that each raw description states, and the rule that found them."""
+    items = read_table(spark, folder, "raw_items").select("item_id", "description", profiles.profile_of(F.col("description")).alias("profile"), "grade_hint")
+    return sizes_in_text(items, "item_id", "description", "profile", "grade_hint")

@@ -15,6 +15,7 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sortament.session import ship_package
 
@@ -65,10 +66,20 @@ def read_workbook(content: bytes) -> Iterator[tuple[str, int, int, list[tuple[st
                 yield sheet.get("name"), ix, int(row.get("r") or 0), cells
 
 
+def price_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, path, length, readable) of the workbooks directly in a folder, by name
+    whatever the case; Office's lock files are none. Old workbooks (``.xls``) are listed
+    but not readable. A folder that doesn't exist raises."""
+    files = spark.read.format("binaryFile").load(folder).select("path", "length")  # contents aren't read
+    named = files.withColumn("file", F.url_decode(F.regexp_replace(F.regexp_extract("path", r"[^/]+$", 0), r"\+", "%2B")))
+    books = named.where(F.lower("file").rlike(r"\.xlsx?$") & ~F.col("file").startswith("~$"))
+    return books.select("file", "path", "length", F.lower("file").endswith(".xlsx").alias("readable")).orderBy(F.lower("file"), "file")
+
+
 def read_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Cells of the workbooks directly in a folder, without Office's lock files."""
     ship_package(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!~]*.xlsx").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!~]*.[xX][lL][sS][xX]").load(folder).select("path", "content")
 
     def parse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1,12 +1,13 @@
 from decimal import Decimal
 
+import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sortament.operators.cells import carry_mappings, detect_headers, extract_rows, fill_down, stack_blocks
 from sortament.operators.parse_items import parse_items
 from sortament.sources.eml import parse_message, read_messages
 from sortament.sources.jsonl import read_jsonl, write_jsonl
-from sortament.sources.xlsx import column_name, free_name, read_cells, safe_sheet_name, write_workbook
+from sortament.sources.xlsx import column_name, free_name, price_files, read_cells, safe_sheet_name, write_workbook
 from tests.conftest import rows
 
 CELLS = "file string, sheet string, sheet_ix int, row_no int, cells array<struct<v:string,is_num:boolean>>"
@@ -94,6 +95,14 @@ def test_stack(spark):
     assert rows(stack_blocks(df, [["n1", "t1"], ["n2", "t2"]], ["n", "t"])) == [(0, 1, "a"), (1, 2, "b")]
 
 
+def test_folder_of_price_lists(spark, tmp_path):
+    for name in ("b.xlsx", "A b+c.XLSX", "old.xls", "~$b.xlsx", "note.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    assert [(r.file, r.readable) for r in price_files(spark, str(tmp_path)).collect()] == [("A b+c.XLSX", True), ("b.xlsx", True), ("old.xls", False)]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        price_files(spark, str(tmp_path / "none"))
+
+
 def test_workbook_round_trip(spark, tmp_path):
     write_workbook(str(tmp_path / "p.xlsx"), {"Лист/1": [["Наименование", "Цена"], ["Труба <5>", Decimal("20.5")], [None, 7]], "b": []})
     (tmp_path / "~$p.xlsx").write_bytes(b"lock")
