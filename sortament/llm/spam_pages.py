@@ -85,7 +85,7 @@ CODES = {
 SCRIPTS = {"latin": "a-z\u00df-\u024f", "cyrillic": "\u0400-\u052f", "greek": "\u0370-\u03ff", "arabic": "\u0600-\u06ff", "hebrew": "\u0590-\u05ff"}
 
 _LINK = re.compile(r"<a\s[^<>]*+>[^<]*+</a>|\[[^\[\]\n]*+\]\([^)\s\[]*+\)|https?://\S+|(?<![\w.-])(?:[\w-]++\.)++[a-z]{2,24}/[\w/.-]*", re.I)
-_MARKS = frozenset(".!?…")
+_MARKS = (".", "!", "?", "…")
 _WORD = re.compile(r"[^\W_]+")
 #: Signs after which a unit ends.
 _UNITS = re.compile(r"([.!?…»]+(?=\s+\D|\s*$)|\s[|•]\s)")
@@ -158,13 +158,13 @@ def page_features(text: str, code: str | None, lists: Lists) -> tuple:
     lang = lists.language(rest.lower(), code)
     known, listed = lists.words(lang)
     by_bin, rows, plain = [0] * BINS, 0, 0
-    separators = good_hits = good_words = fresh = 0
-    units: Counter[tuple] = Counter()
+    separators = good_hits = good_words = fresh = many = 0
+    units: set[tuple] = set()
     all_words: list[str] = []
     varied: set[tuple] = set()  # function words with the word that follows
     for line in rest.split("\n"):
-        numbers = len(_NUMBER.findall(line))
-        if numbers >= 3 and _DASH.search(line) and _AMOUNT.search(line):
+        # Rows of prices have their amounts after a dash.
+        if ("—" in line or "–" in line or "- " in line) and _DASH.search(line) and len(_NUMBER.findall(line)) >= 3 and _AMOUNT.search(line):
             found = _WORD.findall(line.lower())
             if sum(w in known for w in found) * 8 < len(found):
                 rows += len(found)
@@ -181,15 +181,17 @@ def page_features(text: str, code: str | None, lists: Lists) -> tuple:
                 continue
             separators += len(parts) - 1
             all_words += words
-            units[key := tuple(words)] += 1
-            if units[key] == 1:
+            many += 1
+            if (key := tuple(words)) not in units:
+                units.add(key)
                 fresh += len(words)
             hits = 0
             for part in inner:
-                for i, w in enumerate(part[:-1], 1):
-                    if w in known and part[i] not in listed:
-                        hits += 1
-                        varied.add((w, part[i]))
+                if not known.isdisjoint(part):
+                    for w, then in zip(part, part[1:]):
+                        if w in known and then not in listed:
+                            hits += 1
+                            varied.add((w, then))
             n = len(words)
             formed = _formed(unit, n, pieces[at + 1])
             if formed:
@@ -203,7 +205,7 @@ def page_features(text: str, code: str | None, lists: Lists) -> tuple:
     triples = Counter(zip(all_words, all_words[1:], all_words[2:]))
     total = sum(triples.values())
     repeated = sum(c for c in triples.values() if c > 1) / total if total else 0.0
-    copies = sum(c - 1 for c in units.values()) / max(1, sum(units.values()))
+    copies = (many - len(units)) / max(1, many)
     return lang, n, links, by_bin, rows, plain, separators, top, repeated, copies, good_hits, good_words, len(varied), fresh
 
 
@@ -222,7 +224,7 @@ def _formed(unit: str, n: int, mark: str) -> bool:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(code, word, inside, n, contexts) of some texts: a word's occurrences in well-formed
     sentences and in all, and as bits the places that a hash gives the words that follow it
-    there. Texts are counted together up to WORDS_AT_ONCE words, whatever their length."""
+    there. Texts are counted together until they have WORDS_AT_ONCE words."""
     names = ["code", "word", "inside", "n", "contexts"]
 
     def flush(inside: dict[str | None, list[str]], outside: dict[str | None, list[str]], pairs: dict[str | None, set[tuple[str, str]]]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +232,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             within, every = Counter(inside[code]), Counter(outside[code])
             every.update(within)
             words = [w for w in every if w.isalpha()]
+            place = {w: 1 << (crc32(w.encode("utf-8", "surrogatepass")) & 63) for w in within}
             contexts = dict.fromkeys(every, 0)
             for word, then in pairs[code]:
-                contexts[word] |= 1 << (crc32(then.encode("utf-8", "surrogatepass")) & 63)
+                contexts[word] |= place[then]
             bits = np.array([contexts[w] for w in words], np.uint64).view(np.int64)
             arrays = [pa.array([code] * len(words), pa.string()), pa.array(words, pa.string()), pa.array([within[w] for w in words], pa.int64()), pa.array([every[w] for w in words], pa.int64()), pa.array(bits)]
             yield pa.RecordBatch.from_arrays(arrays, names)
@@ -240,20 +243,21 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         inside, outside, pairs, held = defaultdict(list), defaultdict(list), defaultdict(set), 0
         for code, text in zip(batch.column("code").to_pylist(), batch.column("text"), strict=True):
+            within, without, neighbours = inside[code], outside[code], pairs[code]
             for line in text.as_py().split("\n"):
                 pieces = _UNITS.split(line)
                 pieces.append("")
                 for at in range(0, len(pieces), 2):
                     words = _WORD.findall(pieces[at].lower())
-                    if _formed(pieces[at], len(words), pieces[at + 1]):
-                        inside[code] += words
-                        pairs[code].update(zip(words, words[1:]))
+                    if len(words) >= 4 and _formed(pieces[at], 4, pieces[at + 1]):
+                        within += words
+                        neighbours.update(zip(words, words[1:]))
                     else:
-                        outside[code] += words
+                        without += words
                     held += len(words)
-                if held > WORDS_AT_ONCE:
-                    yield from flush(inside, outside, pairs)
-                    inside, outside, pairs, held = defaultdict(list), defaultdict(list), defaultdict(set), 0
+            if held > WORDS_AT_ONCE:
+                yield from flush(inside, outside, pairs)
+                inside, outside, pairs, held = defaultdict(list), defaultdict(list), defaultdict(set), 0
         yield from flush(inside, outside, pairs)
 
 
