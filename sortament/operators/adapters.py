@@ -138,6 +138,16 @@ def read_price_lists(cells: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) ->
     return reduce(DataFrame.unionByName, parts)
 
 
+def file_counters(cells: DataFrame, items: DataFrame) -> DataFrame:
+    """(file, rows, items, layouts) of every file: rows with a filled cell, items read from
+    it by ``read_price_lists``, and by which layouts."""
+    filled = F.exists("cells", lambda c: F.coalesce(F.trim(c["v"]) != "", F.lit(False)))
+    seen = cells.groupBy("file").agg(F.count_if(filled).alias("rows"))
+    read = items.groupBy("file").agg(F.count(F.lit(1)).alias("items"), F.array_sort(F.collect_set("layout")).alias("layouts"))  # a few layouts
+    joined = seen.join(read, "file", "left")
+    return joined.select("file", "rows", F.coalesce("items", F.lit(0).cast("long")).alias("items"), F.coalesce("layouts", F.array().cast("array<string>")).alias("layouts"))
+
+
 def snapshot(cells: DataFrame) -> DataFrame:
     """``cells`` with ``by_header``: the row's values by the name of their column in the
     sheet's header; unnamed columns are COL_n, repeated names get their number."""

@@ -34,6 +34,7 @@ def catalog_violations(grades: DataFrame, aliases: DataFrame, relations: DataFra
         repeated("repeated_grade_id", grades, F.col("grade_id")),
         repeated("repeated_alias_id", aliases, F.col("alias_id")),
         repeated("repeated_canonical_key", canonical, F.col("key")),
+        rows("blank_alias_id", aliases.where("trim(coalesce(alias_id, '')) = ''"), "alias"),
         rows("blank_id", grades.where("trim(coalesce(grade_id, '')) = ''"), "canonical"),
         rows("confirmed_without_source", grades.where("status = 'CONFIRMED' and trim(coalesce(source_reference, '')) = ''"), "grade_id"),
         rows("alias_without_grade", aliases.join(grades, aliases["canonical_grade_id"] == grades["grade_id"], "left_anti"), "alias_id"),
@@ -41,10 +42,13 @@ def catalog_violations(grades: DataFrame, aliases: DataFrame, relations: DataFra
         rows("alias_of_several_grades", named.groupBy("key").agg(F.countDistinct("canonical_grade_id").alias("n")).where("n > 1"), "key"),
     ]
     if relations is not None:
+        found.append(rows("blank_relation_id", relations.where("equivalence_id is null"), "source_grade_id"))
+        found.append(repeated("repeated_relation_id", relations, F.col("equivalence_id")))
         ends = relations.select("equivalence_id", F.explode(F.array("source_grade_id", "target_grade_id")).alias("grade_id"))
         found.append(rows("relation_to_unknown_grade", ends.join(grades, "grade_id", "left_anti"), "equivalence_id"))
         found.append(rows("relation_to_itself", relations.where("source_grade_id = target_grade_id"), "equivalence_id"))
     if rules is not None:
+        found.append(rows("blank_rule_id", rules.where("trim(coalesce(rule_id, '')) = ''"), "profile"))
         found.append(repeated("repeated_rule_id", rules, F.col("rule_id")))
         found.append(rows("rule_without_source", rules.where("status = 'CONFIRMED' and trim(coalesce(source_reference, '')) = ''"), "rule_id"))
         found.append(rows("negative_tolerance", rules.where("least(tolerance1, tolerance2, tolerance3) < 0"), "rule_id"))

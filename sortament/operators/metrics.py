@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sortament.operators.joins import broadcast_if_small
 from sortament.session import materialise
 
 
@@ -58,10 +59,27 @@ def check_status(checks: DataFrame) -> DataFrame:
 
 def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """(model, input_tokens, output_tokens, cost) of ``usage`` (model, input_tokens,
-    output_tokens) at ``prices`` (model, per_million_in, per_million_out)."""
+    output_tokens) at ``prices`` (model, per_million_in, per_million_out, and ``ordinal``
+    if there is one). A price holds for the models whose name begins with its own; of
+    several the first by ordinal, else the longest. Without price the cost is null."""
     sums = usage.groupBy("model").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
-    cost = (F.col("input_tokens") * F.col("per_million_in") + F.col("output_tokens") * F.col("per_million_out")) / 1e6
-    return sums.join(prices, "model", "left").select("model", "input_tokens", "output_tokens", F.round(cost, 6).alias("cost"))
+    place = F.col("ordinal") if "ordinal" in prices.columns else -F.length("prefix")
+    listed = prices.withColumnRenamed("model", "prefix").withColumn("_place", place)
+    # Prices are a few rows and models as many as there are names.
+    met = sums.select("model").join(broadcast_if_small(listed, 10_000), F.col("model").startswith(F.col("prefix")))
+    best = met.groupBy("model").agg(F.min_by(F.struct("per_million_in", "per_million_out"), F.struct("_place", "prefix")).alias("p"))
+    cost = (F.col("input_tokens") * F.col("p.per_million_in") + F.col("output_tokens") * F.col("p.per_million_out")) / 1e6
+    return sums.join(best, "model", "left").select("model", "input_tokens", "output_tokens", F.round(cost, 6).alias("cost"))
+
+
+def search_stats(hits: DataFrame, exact: str) -> DataFrame:
+    """One row over the hits of a search: all, exact and nearest ones, those with a price
+    and without, and the suppliers in order."""
+    of = F.col("match_type") == exact
+    return hits.agg(
+        F.count(F.lit(1)).alias("hits"), F.count_if(of).alias("exact"), F.count_if(~of).alias("nearest"), F.count("price_rub_kg").alias("priced"),
+        F.count_if(F.col("price_rub_kg").isNull()).alias("unpriced"), F.array_sort(F.collect_set("supplier")).alias("suppliers"),
+    )
 
 
 def in_order(rows: DataFrame, group: str, value: str, *order: str) -> DataFrame:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from sortament.functions import attributes
-from sortament.operators.adapters import layouts_of, read_price_lists, snapshot
+from sortament.operators.adapters import file_counters, layouts_of, read_price_lists, snapshot
 from sortament.operators.find_names import find_names
 from tests.conftest import rows
 
@@ -76,3 +76,9 @@ def test_texts(spark):
     assert value(attributes.redact(F.lit("sk-abcdefgh1 Bearer x.y db://u:pw@h/d"))) == "[REDACTED] Bearer [REDACTED] db://u:***@h/d"
     assert value(attributes.append_comment(F.lit("a; b"), F.lit("b"))) == "a; b" and value(attributes.append_comment(F.lit(None), F.lit("b"))) == "b"
     assert value(attributes.display_name(F.lit("ТРУБА"), F.lit("М1"), F.lit(None).cast("string"))) == "Труба М1"
+
+
+def test_counters_of_files(spark):
+    df = cells(spark, {**FILES, "empty.xlsx": [[None], [" "]]})
+    got = {r.file: (r.rows, r.items, r.layouts) for r in file_counters(df, read_price_lists(df)).collect()}
+    assert got["a.xlsx"] == (6, 2, ["BETA"]) and got["h.xlsx"] == (2, 1, ["HEADER"]) and got["empty.xlsx"] == (0, 0, []) and len(got) == len(FILES) + 1

@@ -176,3 +176,26 @@ def test_queues_and_orders(spark):
     assert rows(decision_log.review_queues(df).select("k", "normalisation", "any_reason")) == [(1, True, True), (2, None, False), (4, False, False)]
     df = spark.createDataFrame([("a", 1, 1), ("a", 3, 2), ("b", 2, 1), ("b", 1, 2), ("c", None, 1), ("c", 1, 2)], "g string, v int, o int")
     assert rows(metrics.in_order(df, "g", "v", "o")) == [("a", True), ("b", False), ("c", True)]
+
+
+def test_prices_of_models(spark):
+    usage = spark.createDataFrame([("m-1-mini", 10, 5), ("m-1-mini", 990_000, 0), ("m-1", 1_000_000, 1_000_000), ("x", 1, 1)], "model string, input_tokens long, output_tokens long")
+    prices = spark.createDataFrame([("m-1", 2.0, 4.0), ("m-1-mini", 0.5, 1.0)], "model string, per_million_in double, per_million_out double")
+    assert rows(metrics.token_cost(usage, prices)) == [("m-1", 1_000_000, 1_000_000, 6.0), ("m-1-mini", 990_010, 5, 0.49501), ("x", 1, 1, None)]
+    first = prices.withColumn("ordinal", F.when(F.col("model") == "m-1", 0).otherwise(1))
+    assert rows(metrics.token_cost(usage.where("model = 'm-1-mini'"), first).select("cost")) == [(1.98004,)]
+
+
+def test_stats_of_a_search(spark):
+    hits = spark.createDataFrame([("E", D(1), "b"), ("N", None, "a"), ("N", D(2), "a")], "match_type string, price_rub_kg decimal(18,4), supplier string")
+    assert tuple(metrics.search_stats(hits, "E").first()) == (3, 1, 2, 2, 1, ["a", "b"])
+
+
+def test_codes_of_evidence(spark):
+    schema = "row_id int, current_grade string, grade string, current_material string, material string, sources array<string>, confidence double, evidence_basis string, research_required boolean"
+    data = [(i, "A1", "Б2", "СТАЛЬ", "СТАЛЬ", ["пруток Б2"], 0.9, "SOURCE", False) for i in range(4)] + [(9, "A1", "A1", "СТАЛЬ", "титан", ["лист Титан"], 0.9, "SOURCE", False)]
+    quotes = [(0, "grade", "Б2"), (0, "grade", "другое"), (1, "grade", "пруток"), (2, "grade", "Б2 х"), (9, "material", "титан")]
+    got = {r.row_id: (r.codes, r.decision) for r in evidence.check_proposals(spark.createDataFrame(data, schema), spark.createDataFrame(quotes, "row_id int, field string, quote string")).collect()}
+    assert got == {
+        0: (["grade:CONFIRMED"], "PROPOSE_CHANGE"), 1: (["grade:VALUE_NOT_STATED"], "REVIEW"), 2: (["grade:NOT_IN_SOURCE"], "REVIEW"), 3: (["grade:NO_EVIDENCE"], "REVIEW"), 9: (["material:CONFIRMED"], "PROPOSE_CHANGE"),
+    }

@@ -35,6 +35,12 @@ def test_cases():
     assert split_all(list(CASES)) == list(CASES.values())
 
 
+def test_every_known_profile_begins_a_position():
+    assert split_all(["Болт М10; Винт М8; Гайка М6", "Винт М8; Шайба 6", "Лом меди | Слиток 5 | Тройник 57", "Балка 20, Рулон 3"]) == [
+        ["Болт М10", "Винт М8", "Гайка М6"], ["Винт М8", "Шайба 6"], ["Лом меди", "Слиток 5", "Тройник 57"], ["Балка 20", "Рулон 3"],
+    ]
+
+
 def test_rows_do_not_depend_on_neighbours():
     random.seed(1)
     for _ in range(30):
