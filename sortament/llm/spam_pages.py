@@ -89,7 +89,8 @@ _MARKS = (".", "!", "?", "…")
 _WORD = re.compile(r"[^\W_]+")
 #: Signs after which a unit ends.
 _UNITS = re.compile(r"([.!?…»]+(?=\s+\D|\s*$)|\s[|•]\s)")
-_SEPARATOR = re.compile(r"[,;:#/()«»\"|•]|\s[—–-]\s")
+_SEPARATOR = re.compile(r"[,;:#/()«»\"|•]")
+_DASHES = (" — ", " – ", " - ")
 _DASH = re.compile(r"[—–-]\s.*\d")
 _NUMBER = re.compile(r"(?<![\w.,])\d+(?:[.,'\s]\d+)*(?!\w)")
 _AMOUNT = re.compile(rf"\d\s*(?:{UNIT}|руб|₽|р\.|\$|€|usd|eur|rub)(?!\w)|(?<!\w)(?:{UNIT})\.?\s*[—–:)-]", re.I)
@@ -174,7 +175,11 @@ def page_features(text: str, code: str | None, lists: Lists) -> tuple:
         pieces.append("")
         for at in range(0, len(pieces), 2):
             unit = pieces[at]
-            parts = _SEPARATOR.split(unit.lower())
+            low = unit.lower()
+            for dash in _DASHES:
+                if dash in low:
+                    low = low.replace(dash, ",")
+            parts = _SEPARATOR.split(low)
             inner = [_WORD.findall(p) for p in parts]
             words = inner[0] if len(inner) == 1 else [w for p in inner for w in p]
             if not words:
