@@ -17,7 +17,7 @@ from sortament.functions.profiles import search_profiles
 from sortament.functions.text import grade_match_key
 from sortament.operators.catalog import first_rule, names_of_grades, relation_edges, resolve_names
 from sortament.operators.joins import broadcast_if_small
-from sortament.session import materialise
+from sortament.session import materialise, shuffle_width
 
 # The weight of a kind of match, and its place in the order.
 TIERS = ("EXACT", "ALIAS", "CONFIRMED_RELATION", "PROPOSED_RELATION", "FUZZY")
@@ -50,6 +50,7 @@ def fuzzy_pairs(asked: DataFrame, spelled: DataFrame, threshold: float) -> DataF
     keys reach, each query meets each spelling."""
     ratio = (threshold - _BESIDE) / 0.82
     spelled, asked = materialise(spelled.where("spelling <> ''").distinct()), materialise(asked.where("qk <> ''").distinct())
+    keys, texts = asked.select("qk").distinct(), materialise(spelled.select("spelling").distinct())
     # Edits bound the matched letters: these are a common subsequence of both.
     a, b = F.length("qk").cast("double"), F.length("spelling").cast("double")
     edits = F.levenshtein("qk", "spelling").cast("double")
@@ -57,13 +58,18 @@ def fuzzy_pairs(asked: DataFrame, spelled: DataFrame, threshold: float) -> DataF
     lengths = 0.15 * F.least(a, b) / F.greatest(a, b)
     reach = 0.82 * 2 * F.least(a, b) / (a + b) + lengths + 0.03 >= threshold - 1e-9
     if ratio > 0:
-        left = broadcast_if_small(asked.withColumn("piece", F.explode(_pieces(F.col("qk"), ratio))))
-        met = spelled.withColumn("piece", F.explode(_pieces(F.col("spelling"), ratio))).join(left, "piece").where(reach)
-        met = met.select("query_grade", "qk", "item_grade", "spelling").distinct()
+        left = keys.withColumn("of_key", _pieces(F.col("qk"), ratio))
+        left = broadcast_if_small(left.select("qk", "of_key", F.explode("of_key").alias("piece")))
+        right = texts.repartition(shuffle_width(texts.sparkSession)).withColumn("of_text", _pieces(F.col("spelling"), ratio))
+        met = right.select("spelling", "of_text", F.explode("of_text").alias("piece")).join(left, "piece").where(reach)
+        # Each pair once: by the first piece of the key that the text has.
+        met = met.where(F.col("piece") == F.get(F.array_intersect("of_key", "of_text"), F.lit(0)))
     else:
-        met = spelled.join(broadcast_if_small(asked), reach)
-    met = met.where(0.82 * (1 - edits / (a + b)) + lengths + 0.03 * same_start >= threshold - 1e-9)
-    return met.withColumn("s", fuzzy_similarity("qk", "spelling")).where(F.col("s") >= threshold).groupBy("query_grade", "item_grade").agg(F.max("s").alias("s"))
+        met = texts.join(broadcast_if_small(keys), reach)
+    met = met.where(0.82 * (1 - edits / (a + b)) + lengths + 0.03 * same_start >= threshold - 1e-9).select("qk", "spelling")
+    similar = materialise(met).withColumn("s", fuzzy_similarity("qk", "spelling")).where(F.col("s") >= threshold)
+    found = spelled.join(asked.join(similar, "qk").select("query_grade", "spelling", "s"), "spelling")
+    return found.groupBy("query_grade", "item_grade").agg(F.max("s").alias("s"))
 
 
 def grade_tiers(
