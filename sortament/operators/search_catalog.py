@@ -161,9 +161,12 @@ def catalog_search(
     else:
         asked = asked.select("*", F.lit(None).cast("string").alias("rule_id"), *[F.lit(None).cast("decimal(18,6)").alias(f"tolerance{n}") for n in (1, 2, 3)])
     asked = asked.withColumn("profile", F.explode(search_profiles(F.col("asked_profile"))))
+    asked = materialise(asked)
+    # Only items of a profile that is asked for are read further, and only their grades compared.
+    items = items.join(broadcast_if_small(asked.select("profile").distinct()), "profile", "left_semi")
     tiers = materialise(grade_tiers(queries, items, grades, aliases, relations, threshold, include_proposed=include_proposed, include_fuzzy=include_fuzzy))
-    wanted = asked.join(tiers, "query_grade")
-    hits = items.withColumnRenamed("grade", "item_grade").join(broadcast_if_small(wanted), ["profile", "item_grade"])
+    met = items.withColumnRenamed("grade", "item_grade").join(broadcast_if_small(tiers, 1_000_000), "item_grade")
+    hits = met.join(broadcast_if_small(asked), ["profile", "query_grade"])
     want, have = [F.col(c) for c in ("q1", "q2", "q3")], [F.col(c) for c in SIZES]
     no_size = F.col("q1").isNull() & F.col("q2").isNull() & F.col("q3").isNull()
     exact = no_size | (sizes_match(want, have) & units_agree(F.col("q_unit"), F.col("dim1_unit")))
