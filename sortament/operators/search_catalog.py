@@ -1,9 +1,11 @@
 """Catalogue search: queries with a profile and a grade against all items.
 
-Queries are a small table; items of any number are scanned once. An item is reached by an
-equi-join on profile, and its grade's tier (exact, alias, relation, fuzzy) is decided on
-the distinct pairs of query and item grades, not on the items. Fuzzy pairs are found by
-the pieces of spelling that they must share, so no grade is compared with every other.
+Queries are a small table; items of any number are scanned once. Items that no query can
+tell apart but by seller and number are one group with its first offers. A group is
+reached by an equi-join on profile and grade key; the tier (exact, alias, relation, fuzzy)
+is decided on the distinct pairs of query and item keys, not on spellings or items. Fuzzy
+pairs are found by the pieces of spelling that they must share, so no grade is compared
+with every other.
 """
 
 from __future__ import annotations
@@ -75,18 +77,21 @@ def fuzzy_pairs(asked: DataFrame, spelled: DataFrame, threshold: float) -> DataF
 def grade_tiers(
     query_grades: DataFrame, item_grades: DataFrame, grades: DataFrame, aliases: DataFrame, relations: DataFrame | None, threshold: float, *, include_proposed: bool = True, include_fuzzy: bool = True
 ) -> DataFrame:
-    """(query_grade, item_grade, tier, grade_score, tier_review, tier_warning) of the
-    distinct pairs that match. An alias needs review unless both names are confirmed. A
-    relation that exists but isn't usable gives no fuzzy fallback."""
+    """(qk, ik, tier, grade_score, tier_review, tier_warning) of the distinct pairs of keys
+    that match: all spellings of a key have its tier. An alias needs review unless both
+    names are confirmed. A relation that exists but isn't usable gives no fuzzy fallback."""
+
+    def named(df: DataFrame, key: str) -> DataFrame:
+        """One spelling of each key, with the name it resolves to."""
+        one = df.select("grade", grade_match_key(F.col("grade")).alias(key)).where(F.col(key).isNotNull()).groupBy(key).agg(F.min("grade").alias("grade"))
+        return resolve_names(one, "grade", grades, aliases)
 
     def tier(df: DataFrame, name: Column | str, score: Column | float, review: Column | bool, warning: Column | None = None) -> DataFrame:
         columns = [F.lit(x) if isinstance(x, (str, float, bool)) else x for x in (name, score, review, warning if warning is not None else F.lit(None).cast("string"))]
-        return df.select("query_grade", "item_grade", *[c.alias(n) for c, n in zip(columns, ("tier", "grade_score", "tier_review", "tier_warning"), strict=True)])
+        return df.select("qk", "ik", *[c.alias(n) for c, n in zip(columns, ("tier", "grade_score", "tier_review", "tier_warning"), strict=True)])
 
-    q = resolve_names(query_grades.select(F.col("grade").alias("query_grade")).distinct(), "query_grade", grades, aliases)
-    i = resolve_names(item_grades.select(F.col("grade").alias("item_grade")).where("item_grade is not null").distinct(), "item_grade", grades, aliases)
-    q = materialise(q.select("query_grade", grade_match_key(F.col("query_grade")).alias("qk"), F.col("grade_id").alias("qid"), F.col("name_status").alias("qs")))
-    i = materialise(i.select("item_grade", grade_match_key(F.col("item_grade")).alias("ik"), F.col("grade_id").alias("iid"), F.col("name_status").alias("i_s")).where("ik <> ''"))
+    q = materialise(named(query_grades, "qk").select("qk", F.col("grade_id").alias("qid"), F.col("name_status").alias("qs")))
+    i = materialise(named(item_grades, "ik").where("ik <> ''").select("ik", F.col("grade_id").alias("iid"), F.col("name_status").alias("i_s")))
     confirmed = F.coalesce((F.col("qs") == "CONFIRMED") & (F.col("i_s") == "CONFIRMED"), F.lit(False))
     exact = tier(q.join(i, q["qk"] == i["ik"]), "EXACT", 1.0, False)
     alias = tier(q.join(i, (q["qid"] == i["iid"]) & (q["qk"] != i["ik"])), "ALIAS", BASE_SCORE["ALIAS"], ~confirmed, F.when(~confirmed, "ALIAS_NOT_CONFIRMED"))
@@ -98,15 +103,15 @@ def grade_tiers(
         kind, score = (F.when(sure, F.lit(x)).otherwise(F.lit(y)) for x, y in (("CONFIRMED_RELATION", "PROPOSED_RELATION"), (BASE_SCORE["CONFIRMED_RELATION"], BASE_SCORE["PROPOSED_RELATION"])))
         warning = F.when(~sure, "RELATION_NOT_CONFIRMED").when(~whole, "RELATION_APPROXIMATE")
         relation = tier(related, kind, score, ~(sure & whole), warning)
-        known = known.unionByName(relation.join(known.select("query_grade", "item_grade"), ["query_grade", "item_grade"], "left_anti"))
-    known = materialise(known)  # distinct pairs of grades, not of items
+        known = known.unionByName(relation.join(known.select("qk", "ik"), ["qk", "ik"], "left_anti"))
+    known = materialise(known)  # distinct pairs of keys, not of items
     shown = known if include_proposed else known.where("tier <> 'PROPOSED_RELATION'")
     if not include_fuzzy:
         return shown
     # The item's spelling and all names of its grade.
-    others = i.join(names_of_grades(grades, aliases).select(F.col("grade_id").alias("iid"), grade_match_key(F.col("name")).alias("spelling")), "iid").select("item_grade", "spelling")
-    spelled = i.select("item_grade", F.col("ik").alias("spelling")).unionByName(others)
-    similar = fuzzy_pairs(q.select("query_grade", "qk"), spelled, threshold).join(known.select("query_grade", "item_grade"), ["query_grade", "item_grade"], "left_anti")
+    others = i.join(names_of_grades(grades, aliases).select(F.col("grade_id").alias("iid"), grade_match_key(F.col("name")).alias("spelling")), "iid").select(F.col("ik").alias("item_grade"), "spelling")
+    spelled = i.select(F.col("ik").alias("item_grade"), F.col("ik").alias("spelling")).unionByName(others)
+    similar = fuzzy_pairs(q.select(F.col("qk").alias("query_grade"), "qk"), spelled, threshold).select(F.col("query_grade").alias("qk"), F.col("item_grade").alias("ik"), "s").join(known.select("qk", "ik"), ["qk", "ik"], "left_anti")
     return shown.unionByName(tier(similar, "FUZZY", F.least("s", F.lit(FUZZY_CEILING)), True, F.lit("FUZZY_IS_NO_EQUIVALENCE")))
 
 
@@ -123,6 +128,22 @@ def suppress_near(hits: DataFrame, by: str) -> DataFrame:
     return hits.join(broadcast_if_small(any_exact), by).where("fits or not _has_exact").drop("_has_exact")
 
 
+def _item_groups(items: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """(gid, profile, ik, dim1, dim2, dim3, dim1_unit, grade, best): items of the profiles
+    asked for that differ in nothing that a query of their profile asks, with one of their
+    spellings and their first ``limit`` by seller and number. Sizes and units that no query
+    of the profile asks for are null."""
+    sized = F.col("q1").isNotNull() | F.col("q2").isNotNull() | F.col("q3").isNotNull()
+    asks = asked.groupBy("profile").agg(*[F.bool_or(F.col(f"q{n}").isNotNull()).alias(f"asks{n}") for n in (1, 2, 3)], F.bool_or(F.col("q_unit").isNotNull() & sized).alias("asks_unit"))
+    used = [F.when(F.col(f"asks{n}"), F.col(c)).alias(c) for n, c in enumerate(SIZES, 1)]
+    rows = items.join(broadcast_if_small(asks), "profile").select("profile", grade_match_key(F.col("grade")).alias("ik"), *used, F.when(F.col("asks_unit"), F.col("dim1_unit")).alias("dim1_unit"), "grade", F.lower("supplier").alias("seller"), "offer_id")
+    by = ["profile", "ik", *SIZES, "dim1_unit"]
+    # A window limit: no group is gathered beyond its first ``limit`` items.
+    first = rows.where("ik <> ''").withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("seller", "offer_id"))).where(F.col("n") <= limit)
+    groups = first.groupBy(*by).agg(F.min("grade").alias("grade"), F.sort_array(F.collect_list(F.struct("seller", "offer_id"))).alias("best"))
+    return materialise(groups.withColumn("gid", F.monotonically_increasing_id()))
+
+
 def catalog_search(
     queries: DataFrame,
     items: DataFrame,
@@ -154,19 +175,17 @@ def catalog_search(
     """
     if not 1 <= limit <= 200 or not 0 <= threshold <= 1:
         raise ValueError("limit is 1 to 200 and threshold 0 to 1")
-    asked = queries.select("query_id", F.upper(F.trim("profile")).alias("asked_profile"), F.col("grade").alias("query_grade"), "q1", "q2", "q3", "q_unit")
+    asked = queries.where("query_id is not null").select("query_id", F.upper(F.trim("profile")).alias("asked_profile"), grade_match_key(F.col("grade")).alias("qk"), "q1", "q2", "q3", "q_unit")
     if rules is not None:
         first = first_rule(rules).select(F.upper(F.trim("profile")).alias("asked_profile"), "rule_id", "tolerance1", "tolerance2", "tolerance3")
         asked = asked.join(broadcast_if_small(first), "asked_profile", "left")
     else:
         asked = asked.select("*", F.lit(None).cast("string").alias("rule_id"), *[F.lit(None).cast("decimal(18,6)").alias(f"tolerance{n}") for n in (1, 2, 3)])
-    asked = asked.withColumn("profile", F.explode(search_profiles(F.col("asked_profile"))))
-    asked = materialise(asked)
+    asked = materialise(asked.withColumn("profile", F.explode(search_profiles(F.col("asked_profile")))))
     # Only items of a profile that is asked for are read further, and only their grades compared.
-    items = items.join(broadcast_if_small(asked.select("profile").distinct()), "profile", "left_semi")
-    tiers = materialise(grade_tiers(queries, items, grades, aliases, relations, threshold, include_proposed=include_proposed, include_fuzzy=include_fuzzy))
-    met = items.withColumnRenamed("grade", "item_grade").join(broadcast_if_small(tiers, 1_000_000), "item_grade")
-    hits = met.join(broadcast_if_small(asked), ["profile", "query_grade"])
+    groups = _item_groups(items, asked, limit)
+    tiers = grade_tiers(queries, groups, grades, aliases, relations, threshold, include_proposed=include_proposed, include_fuzzy=include_fuzzy)
+    wanted = materialise(asked.join(tiers, "qk"))
     want, have = [F.col(c) for c in ("q1", "q2", "q3")], [F.col(c) for c in SIZES]
     no_size = F.col("q1").isNull() & F.col("q2").isNull() & F.col("q3").isNull()
     exact = no_size | (sizes_match(want, have) & units_agree(F.col("q_unit"), F.col("dim1_unit")))
@@ -175,27 +194,42 @@ def catalog_search(
     for n, (w, h) in enumerate(zip(want, have, strict=True), 1):
         within = within & (w.isNull() | F.coalesce(F.abs(w - h) <= F.col(f"tolerance{n}"), F.lit(False)))
     allowed = F.when(F.col("rule_id").isNotNull(), within).otherwise(F.lit(include_unruled_near))
-    hits = materialise(hits.withColumn("fits", exact).withColumn("near", near).where("fits or near > 0").withColumn("allowed", allowed))
-    # Whether a query has an exact item, and how many grades share a fuzzy score, are
-    # aggregates of few rows joined back: no window gathers all hits of a query.
-    kept = suppress_near(hits, "query_id").where("fits or allowed")
-    sizes_score = F.when(no_size, F.lit(None).cast("double")).otherwise(F.when(F.col("fits"), 1.0).otherwise(F.col("near")))
-    kept = kept.withColumn("score", F.round(combined_score(F.col("grade_score"), sizes_score), 6))
-    kept = kept.withColumn("match_type", F.when(F.col("fits"), F.col("tier")).otherwise("NEAR_DIMENSION")).withColumn("requires_review", F.col("tier_review") | ~F.col("fits"))
-    kept = kept.withColumn("tg", F.round("grade_score", 6)).withColumn("ts", F.round(F.coalesce(sizes_score, F.lit(-1.0)), 6))
-    fuzzy = kept.where("match_type = 'FUZZY'").select("query_id", "tg", "ts", grade_match_key(F.col("item_grade")).alias("k"))
-    ties = fuzzy.groupBy("query_id", "tg", "ts").agg(F.countDistinct("k").alias("grades_at")).where("grades_at > 1")
-    kept = kept.join(broadcast_if_small(ties), ["query_id", "tg", "ts"], "left")
-    kept = kept.withColumn("tie", (F.col("match_type") == "FUZZY") & F.col("grades_at").isNotNull())
-    of_query = kept.groupBy("query_id").agg(F.every("requires_review").alias("all_review"), F.max("tie").alias("any_tie"))
-    kept = kept.join(broadcast_if_small(of_query), "query_id")
+    width = shuffle_width(asked.sparkSession)
+
+    def hits(wanted: DataFrame, which: Column, fits: bool) -> DataFrame:
+        """The groups that ``wanted`` reach, scored; written without those not ``which``."""
+        met = groups.repartition(width, "profile", "ik").join(wanted.repartition(width, "profile", "ik"), ["profile", "ik"]).where(which)
+        sizes_score = F.when(no_size, F.lit(None).cast("double")).otherwise(F.lit(1.0) if fits else near)
+        deltas = [F.abs(w - h).alias(f"delta{n}") for n, (w, h) in enumerate(zip(want, have, strict=True), 1)]
+        first = F.col("best")[0]
+        return materialise(met.select(
+            "query_id", "gid", "ik", "tier", "tier_warning", "rule_id", F.lit(fits).alias("fits"), (F.col("tier_review") | F.lit(not fits)).alias("requires_review"),
+            F.round(combined_score(F.col("grade_score"), sizes_score), 6).alias("score"), F.round("grade_score", 6).alias("tg"), F.round(F.coalesce(sizes_score, F.lit(-1.0)), 6).alias("ts"),
+            *deltas, first["seller"].alias("seller"), first["offer_id"].alias("offer_id"),
+        ))
+
+    # Near sizes are looked for only by queries that no item fits.
+    fitting = hits(wanted, exact, True)
+    rest = materialise(wanted.join(fitting.select("query_id").distinct(), "query_id", "left_anti"))
+    kept = fitting.unionByName(hits(rest, ~exact & (near > 0) & allowed, False))
+    kept = kept.withColumn("match_type", F.when(F.col("fits"), F.col("tier")).otherwise("NEAR_DIMENSION"))
+    # Whether all hits need review, and whether grades share a fuzzy score, are aggregates
+    # of few rows joined to the best hits: no window gathers all hits of a query.
+    key = F.when(F.col("match_type") == "FUZZY", F.col("ik"))
+    scores = materialise(kept.groupBy("query_id", "tg", "ts").agg(F.every("requires_review").alias("review"), F.coalesce(F.min(key) < F.max(key), F.lit(False)).alias("tied")))
+    of_query = scores.groupBy("query_id").agg(F.every("review").alias("all_review"), F.bool_or("tied").alias("any_tie"))
+    deltas = [F.col(f"delta{n}").asc_nulls_last() for n in (1, 2, 3)]
+    best = Window.partitionBy("query_id").orderBy(_order(F.col("tier"), ~F.col("fits")), "requires_review", F.col("score").desc(), *deltas, "seller", "offer_id")
+    # A group stands where its first item does, so the best ``limit`` items are in the best
+    # ``limit`` groups. Spark keeps these of each query before the shuffle.
+    leading = kept.withColumn("position", F.row_number().over(best)).where(F.col("position") <= limit).drop("position", "seller", "offer_id")
+    listed = leading.join(groups.select("gid", "best"), "gid").select("*", F.inline("best")).drop("best")
+    top = listed.withColumn("position", F.row_number().over(best)).where(F.col("position") <= limit)
+    top = top.join(scores.select("query_id", "tg", "ts", "tied"), ["query_id", "tg", "ts"]).join(of_query, "query_id")
+    top = top.withColumn("tie", (F.col("match_type") == "FUZZY") & F.col("tied"))
     near_warning = F.when(~F.col("fits"), F.when(F.col("rule_id").isNull(), "NEAR_SIZE_WITHOUT_RULE").otherwise("NEAR_SIZE_NEEDS_CONFIRMATION"))
     warnings = F.array_compact(F.array("tier_warning", near_warning, F.when(F.col("tie"), "AMBIGUOUS_FUZZY_TIE")))
     about = F.array_compact(F.array(F.when(F.col("any_tie"), "AMBIGUOUS_FUZZY_TIE"), F.when(F.col("all_review"), "ALL_NEED_REVIEW")))
-    deltas = [F.abs(w - h).asc_nulls_last() for w, h in zip(want, have, strict=True)]
-    best = Window.partitionBy("query_id").orderBy(_order(F.col("tier"), ~F.col("fits")), "requires_review", F.col("score").desc(), *deltas, F.lower("supplier"), "offer_id")
-    # A window limit: Spark keeps the first ``limit`` rows of each query before the shuffle.
-    top = kept.withColumn("position", F.row_number().over(best)).where(F.col("position") <= limit)
     rule = F.when(~F.col("fits"), F.col("rule_id")).alias("rule_id")
     return top.select("query_id", "offer_id", "tier", "match_type", "score", "requires_review", "tie", rule, warnings.alias("warnings"), about.alias("query_warnings"), F.col("position").cast("long").alias("position"))
 

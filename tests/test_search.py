@@ -1,3 +1,4 @@
+import itertools
 import random
 from decimal import Decimal as D
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sortament.functions.distances import _similarity
-from sortament.operators import catalog
+from sortament.operators import catalog, search_catalog
 from sortament.operators.resolve_profile import resolve_profiles
 from sortament.operators.search_catalog import catalog_search, fuzzy_pairs, search_warnings
 from sortament.operators.search_mask import EXACT, Inventory, expand_round_bars, inventory_of, mask_search, ranked, read_mask
@@ -181,6 +182,24 @@ def test_limits(spark, lists):
         search(spark, ("КРУГ", "304L", (None, None, None)), data, lists, limit=0)
 
 
+def test_spellings_and_repeated_items_are_searched_once(spark, lists, monkeypatch):
+    written, write = [], search_catalog.materialise
+    monkeypatch.setattr(search_catalog, "materialise", lambda df: written.append((table := write(df)).count()) or table)
+    spelled = ["".join(x) for x in itertools.product("3", ("", " ", "-", "."), "0", ("", " ", "-", "."), "4", ("", " ", "-", "."), "L")]
+    sizes = [("20", "1", None), ("20", "2", None), ("25", "1", None)]
+    data = [(i, "КРУГ", grade, size, (None, "MM")[i % 2]) for i, (grade, size) in enumerate(itertools.product(spelled, sizes))]
+    asked = [("any", None, None, None), ("20", D(20), None, "MM"), ("24", D(24), None, "MM"), ("inch", D(20), None, "INCH"), ("20x2", D(20), D(2), None), ("25x3", D(25), D(3), None)]
+    queries = spark.createDataFrame([(q, "КРУГ", "304 L", a, b, None, unit) for q, a, b, unit in asked], QUERY)
+    got = {}
+    for r in sorted(catalog_search(queries, stock(spark, data), *lists, limit=9).collect(), key=lambda r: r.position):
+        got.setdefault(r.query_id, []).append((r.offer_id, r.match_type))
+    # Groups of equal rank (here of either unit) come in the order of their items.
+    fit = {"any": range(192), "20": [i for i in range(192) if i % 3 < 2], "20x2": range(1, 192, 3), "inch": [i for i in range(0, 192, 2) if i % 3 < 2]}
+    near = {"24": range(2, 192, 3), "25x3": range(1, 192, 3)}
+    assert got == {q: [(i, kind) for i in list(ids)[:9]] for kind, of in (("EXACT", fit), ("NEAR_DIMENSION", near)) for q, ids in of.items()}
+    assert max(written) <= 6 * 6  # 6 queries and 6 groups, of 192 items in 64 spellings
+
+
 def test_catalog(spark, lists):
     grades, aliases, relations = lists
     named = spark.createDataFrame([("12x18h10t",), ("c 17200",), ("OLD",), (None,)], "grade string")
