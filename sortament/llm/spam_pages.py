@@ -31,10 +31,12 @@ numbers per language.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import count
 from zlib import crc32
 
 import numpy as np
@@ -61,6 +63,8 @@ LEAST_CONTEXTS = 16
 OF_LISTS = 0.5
 #: Words counted together in a Python worker, which bounds its memory.
 WORDS_AT_ONCE = 2_000_000
+#: Stands behind a sentence among the numbers of words, which begin at 0.
+END = -1
 #: Words in well-formed sentences from which a language's function words are learned.
 LEAST_WORDS = 1_000
 #: A unit is no sentence below this part of its language's rate of function words in sentences.
@@ -85,15 +89,34 @@ CODES = {
 SCRIPTS = {"latin": "a-z\u00df-\u024f", "cyrillic": "\u0400-\u052f", "greek": "\u0370-\u03ff", "arabic": "\u0600-\u06ff", "hebrew": "\u0590-\u05ff"}
 
 _LINK = re.compile(r"<a\s[^<>]*+>[^<]*+</a>|\[[^\[\]\n]*+\]\([^)\s\[]*+\)|https?://\S+|(?<![\w.-])(?:[\w-]++\.)++[a-z]{2,24}/[\w/.-]*", re.I)
+#: Every link has one of these, which are found faster.
+_MAY_LINK = re.compile(r"<[aA]\s|\]\(|://|\.[^\W\d_]{2,24}/")
 _MARKS = (".", "!", "?", "…")
-_WORD = re.compile(r"[^\W_]+")
+
+
+def _letters_and_digits() -> str:
+    """What [^\\W_] stands for in the Basic Multilingual Plane, as ranges. Python looks up a
+    set of signs in a table, where it asks for the properties of a class one by one."""
+    is_one = np.array([chr(c).isalnum() for c in range(1 << 16)] + [False])
+    edges = np.flatnonzero(np.diff(is_one, prepend=False)).reshape(-1, 2)
+    return "".join(f"\\u{first:04x}-\\u{end - 1:04x}" for first, end in edges.tolist())
+
+
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+#: Letters and digits of a text without signs beyond that plane, and of a text with some.
+_ALNUM = (f"[{_letters_and_digits()}]", r"[^\W_]")
+_WORDS = tuple(re.compile(f"{a}+").findall for a in _ALNUM)
+_WORDS_AND_COMMAS = tuple(re.compile(f"{a}+|,").findall for a in _ALNUM)
 #: Signs after which a unit ends.
 _UNITS = re.compile(r"([.!?…»]+(?=\s+\D|\s*$)|\s[|•]\s)")
-_SEPARATOR = re.compile(r"[,;:#/()«»\"|•]")
+#: The same for texts without these two signs; patterns that begin with a set of signs skip to them.
+_SENTENCES = re.compile(r"([.!?…»][.!?…»]*(?=\s+\D|\s*$))")
+_SEPARATORS = ",;:#/()«»\"|•"
 _DASHES = (" — ", " – ", " - ")
 _DASH = re.compile(r"[—–-]\s.*\d")
-_NUMBER = re.compile(r"(?<![\w.,])\d+(?:[.,'\s]\d+)*(?!\w)")
-_AMOUNT = re.compile(rf"\d\s*(?:{UNIT}|руб|₽|р\.|\$|€|usd|eur|rub)(?!\w)|(?<!\w)(?:{UNIT})\.?\s*[—–:)-]", re.I)
+_NUMBER = re.compile(r"\d(?<![\w.,]\d)\d*(?:[.,'\s]\d+)*(?!\w)")
+_NUMBER_UNIT = re.compile(rf"\d\s*(?=[^\W\d_]|[₽$€])(?:{UNIT}|руб|₽|р\.|\$|€|usd|eur|rub)(?!\w)", re.I)
+_UNIT_NUMBER = re.compile(rf"(?<!\w)(?=[^\W\d_])(?:{UNIT})\.?\s*[—–:)-]", re.I)
 _NAMES = ("", *SCRIPTS)
 
 
@@ -132,14 +155,15 @@ class Lists:
 
     def words(self, lang: str) -> tuple[frozenset[str], frozenset[str]]:
         """Function words and words of lists of a language and of the commonest ones of
-        the other scripts, as a text may quote them."""
+        the other scripts, as a text may quote them. A comma counts as a word of lists."""
         if lang not in self.cache:
             self.cache[lang] = self._words(lang)
         return self.cache[lang]
 
     def _words(self, lang: str) -> tuple[frozenset[str], frozenset[str]]:
         used = [lang, *(c for s, c in self.common.items() if s != self.scripts.get(lang))]
-        return tuple(frozenset().union(*[of.get(c, ()) for c in used]) for of in (self.functions, self.listed))
+        functions, listed = (frozenset().union(*[of.get(c, ()) for c in used]) for of in (self.functions, self.listed))
+        return functions, listed | {","}
 
 
 def page_features(text: str, code: str | None, lists: Lists) -> tuple:
@@ -149,15 +173,19 @@ def page_features(text: str, code: str | None, lists: Lists) -> tuple:
     well-formed sentences, function words before ever other words, words of different
     units)."""
     links = 0
+    beyond = _BEYOND.search(text) is not None
+    words_in, tokens_in = _WORDS[beyond], _WORDS_AND_COMMAS[beyond]
 
     def cut(m: re.Match) -> str:
         nonlocal links
-        links += len(_WORD.findall(m[0]))
+        links += len(words_in(m[0]))
         return "\n"
 
-    rest = _LINK.sub(cut, text) if ("/" in text or "<" in text) else text
+    rest = _LINK.sub(cut, text) if _MAY_LINK.search(text) else text
     lang = lists.language(rest.lower(), code)
     known, listed = lists.words(lang)
+    split = _units_of(rest)
+    signs = [sign for sign in (*_DASHES, *_SEPARATORS) if sign != "," and sign in rest]
     by_bin, rows, plain = [0] * BINS, 0, 0
     separators = good_hits = good_words = fresh = many = 0
     units: set[tuple] = set()
@@ -165,38 +193,34 @@ def page_features(text: str, code: str | None, lists: Lists) -> tuple:
     varied: set[tuple] = set()  # function words with the word that follows
     for line in rest.split("\n"):
         # Rows of prices have their amounts after a dash.
-        if ("—" in line or "–" in line or "- " in line) and _DASH.search(line) and len(_NUMBER.findall(line)) >= 3 and _AMOUNT.search(line):
-            found = _WORD.findall(line.lower())
+        if ("—" in line or "–" in line or "- " in line) and _DASH.search(line) and len(_NUMBER.findall(line)) >= 3 and (_NUMBER_UNIT.search(line) or _UNIT_NUMBER.search(line)):
+            found = words_in(line.lower())
             if sum(w in known for w in found) * 8 < len(found):
                 rows += len(found)
                 all_words += found
                 continue
-        pieces = _UNITS.split(line)
+        pieces = split(line)
         pieces.append("")
         for at in range(0, len(pieces), 2):
             unit = pieces[at]
             low = unit.lower()
-            for dash in _DASHES:
-                if dash in low:
-                    low = low.replace(dash, ",")
-            parts = _SEPARATOR.split(low)
-            inner = [_WORD.findall(p) for p in parts]
-            words = inner[0] if len(inner) == 1 else [w for p in inner for w in p]
+            for sign in signs:
+                low = low.replace(sign, ",")
+            tokens = tokens_in(low)
+            words = [w for w in tokens if w != ","] if "," in low else tokens
             if not words:
                 continue
-            separators += len(parts) - 1
+            separators += len(tokens) - len(words)
             all_words += words
             many += 1
             if (key := tuple(words)) not in units:
                 units.add(key)
                 fresh += len(words)
             hits = 0
-            for part in inner:
-                if not known.isdisjoint(part):
-                    for w, then in zip(part, part[1:]):
-                        if w in known and then not in listed:
-                            hits += 1
-                            varied.add((w, then))
+            if not known.isdisjoint(words):
+                pairs = [(w, then) for w, then in zip(tokens, tokens[1:]) if w in known and then not in listed]
+                hits = len(pairs)
+                varied.update(pairs)
             n = len(words)
             formed = _formed(unit, n, pieces[at + 1])
             if formed:
@@ -206,9 +230,12 @@ def page_features(text: str, code: str | None, lists: Lists) -> tuple:
             else:
                 by_bin[min(BINS - 1, int(hits / n / STEP))] += n
     n = len(all_words) + links
-    top = max(Counter(all_words).values()) / n if all_words else 0.0
-    triples = Counter(zip(all_words, all_words[1:], all_words[2:]))
-    total = sum(triples.values())
+    often = Counter(all_words)
+    top = max(often.values()) / n if all_words else 0.0
+    # A repeated triple has repeated words only.
+    again = {w for w, c in often.items() if c > 1}
+    triples = Counter([(a, b, c) for a, b, c in zip(all_words, all_words[1:], all_words[2:]) if a in again and b in again and c in again])
+    total = max(0, len(all_words) - 2)
     repeated = sum(c for c in triples.values() if c > 1) / total if total else 0.0
     copies = (many - len(units)) / max(1, many)
     return lang, n, links, by_bin, rows, plain, separators, top, repeated, copies, good_hits, good_words, len(varied), fresh
@@ -221,6 +248,11 @@ def _code(lang: Column) -> Column:
     return F.when(plain != "", F.coalesce(F.try_element_at(codes, plain), plain))
 
 
+def _units_of(text: str) -> Callable[[str], list[str]]:
+    """What cuts the lines of a text into units: unit, the signs after it, unit ..."""
+    return _UNITS.split if "|" in text or "•" in text else _SENTENCES.split
+
+
 def _formed(unit: str, n: int, mark: str) -> bool:
     """A well-formed sentence: begins with a capital, ends with a mark, four words or more."""
     return n >= 4 and mark[:1] in _MARKS and unit.lstrip(" >*«\"'\t")[:1].isupper()
@@ -232,38 +264,47 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     there. Texts are counted together until they have WORDS_AT_ONCE words."""
     names = ["code", "word", "inside", "n", "contexts"]
 
-    def flush(inside: dict[str | None, list[str]], outside: dict[str | None, list[str]], pairs: dict[str | None, set[tuple[str, str]]]) -> Iterator[pa.RecordBatch]:
-        for code in {*inside, *outside}:
-            within, every = Counter(inside[code]), Counter(outside[code])
-            every.update(within)
-            words = [w for w in every if w.isalpha()]
-            place = {w: 1 << (crc32(w.encode("utf-8", "surrogatepass")) & 63) for w in within}
-            contexts = dict.fromkeys(every, 0)
-            for word, then in pairs[code]:
-                contexts[word] |= place[then]
-            bits = np.array([contexts[w] for w in words], np.uint64).view(np.int64)
-            arrays = [pa.array([code] * len(words), pa.string()), pa.array(words, pa.string()), pa.array([within[w] for w in words], pa.int64()), pa.array([every[w] for w in words], pa.int64()), pa.array(bits)]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+    def counted(ids: dict[str, int], inside: array, outside: array) -> list[pa.Array]:
+        words, within = list(ids), np.array(inside, np.int32)
+        inner = np.bincount(within[within > END], minlength=len(words))
+        every = inner + np.bincount(np.array(outside, np.int32), minlength=len(words))
+        place = np.array([1 << (crc32(w.encode("utf-8", "surrogatepass")) & 63) if n else 0 for w, n in zip(words, inner.tolist(), strict=True)], np.uint64)
+        word, then = within[:-1], within[1:]
+        both = (word > END) & (then > END)
+        contexts = np.zeros(len(words), np.uint64)
+        np.bitwise_or.at(contexts, word[both], place[then[both]])
+        kept = np.array([w.isalpha() for w in words], bool)
+        return [pa.array(words, pa.string()).filter(pa.array(kept)), *(pa.array(x[kept]) for x in (inner, every, contexts.view(np.int64)))]
+
+    def flush(held: dict[str | None, tuple]) -> Iterator[pa.RecordBatch]:
+        for code, of in held.items():
+            words, *counts = counted(*of)
+            yield pa.RecordBatch.from_arrays([pa.array([code] * len(words), pa.string()), words, *counts], names)
+
+    def nothing() -> tuple[dict[str, int], array, array]:
+        """Numbers of words; those in sentences, each with END behind it; and the others."""
+        return defaultdict(count().__next__), array("i"), array("i")
 
     for batch in batches:
-        inside, outside, pairs, held = defaultdict(list), defaultdict(list), defaultdict(set), 0
+        of, held = defaultdict(nothing), 0
         for code, text in zip(batch.column("code").to_pylist(), batch.column("text"), strict=True):
-            within, without, neighbours = inside[code], outside[code], pairs[code]
-            for line in text.as_py().split("\n"):
-                pieces = _UNITS.split(line)
+            (ids, inside, outside), text = of[code], text.as_py()
+            number, split, words_in = ids.__getitem__, _units_of(text), _WORDS[_BEYOND.search(text) is not None]
+            for line in text.split("\n"):
+                pieces = split(line)
                 pieces.append("")
                 for at in range(0, len(pieces), 2):
-                    words = _WORD.findall(pieces[at].lower())
+                    words = words_in(pieces[at].lower())
                     if len(words) >= 4 and _formed(pieces[at], 4, pieces[at + 1]):
-                        within += words
-                        neighbours.update(zip(words, words[1:]))
+                        inside.extend(map(number, words))
+                        inside.append(END)
                     else:
-                        without += words
+                        outside.extend(map(number, words))
                     held += len(words)
             if held > WORDS_AT_ONCE:
-                yield from flush(inside, outside, pairs)
-                inside, outside, pairs, held = defaultdict(list), defaultdict(list), defaultdict(set), 0
-        yield from flush(inside, outside, pairs)
+                yield from flush(of)
+                of, held = defaultdict(nothing), 0
+        yield from flush(of)
 
 
 def learn_lists(docs: DataFrame) -> Lists:

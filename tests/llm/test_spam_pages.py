@@ -1,9 +1,16 @@
 import random
+import re
+from collections import Counter, defaultdict
+from time import process_time
+from zlib import crc32
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sortament.llm import spam_pages as spam
 from sortament.llm.spam_pages import Lists, learn_lists, page_features, score_pages, spam_pages
+from sortament.operators.units import SPELLINGS, UNIT
 from tests.conftest import rows
 
 random.seed(7)
@@ -166,3 +173,83 @@ def test_languages_with_too_few_sentences(spark):
         **{f"prose{i}": (GERMAN, "de") for i in range(5)},
     }
     assert _more(spark, texts) == ["english", "keywords"]
+
+
+# The plain patterns that the quick ones stand for.
+PLAIN_WORD = re.compile(r"[^\W_]+")
+PLAIN_UNITS = re.compile(r"([.!?…»]+(?=\s+\D|\s*$)|\s[|•]\s)")
+PLAIN_NUMBER = re.compile(r"(?<![\w.,])\d+(?:[.,'\s]\d+)*(?!\w)")
+PLAIN_AMOUNT = re.compile(rf"\d\s*(?:{UNIT}|руб|₽|р\.|\$|€|usd|eur|rub)(?!\w)|(?<!\w)(?:{UNIT})\.?\s*[—–:)-]", re.I)
+
+
+def test_quick_patterns_find_what_plain_ones_find():
+    signs = "".join(map(chr, (*range(0xD800), *range(0xE000, 1 << 16))))
+    for text in (signs, *map("-".join, zip(signs)), "𝒜𝒷 x_1 😀²"):
+        assert spam._WORDS[spam._BEYOND.search(text) is not None](text) == PLAIN_WORD.findall(text)
+    pick = random.Random(3)
+    spellings = [w for ws in SPELLINGS.values() for w in ws]
+    bits = [*".!?…»|•,;:#/()«\"—–-_'> \n\t\r", " — ", " | ", ". ", ".» ", "шт.", " руб", "5 ₽", "$", "1 912", "24,06", "K", "ſ", "İ", "<a b>c</A>", "[a](b)", "HTTPſ://x", "foo.bK/x", *spellings]
+    amounts = 0
+    for _ in range(20_000):
+        text = "".join(pick.choice(bits) if pick.random() < 0.7 else str(pick.randrange(99)) for _ in range(pick.choice((3, 8, 14))))
+        amounts += bool(PLAIN_AMOUNT.search(text))
+        assert bool(spam._NUMBER_UNIT.search(text) or spam._UNIT_NUMBER.search(text)) == bool(PLAIN_AMOUNT.search(text)), text
+        assert spam._NUMBER.findall(text) == PLAIN_NUMBER.findall(text), text
+        assert spam._MAY_LINK.search(text) or not spam._LINK.search(text), text
+        assert spam._units_of(text)(text) == PLAIN_UNITS.split(text), text
+    assert 2_000 < amounts < 18_000
+    for w in spellings:
+        assert spam._NUMBER_UNIT.search(f"5 {w}") and spam._UNIT_NUMBER.search(f"{w} — 5"), w
+
+
+def test_repeated_triples_and_separators():
+    def features(text):
+        return page_features(text, "x", Lists({"x": frozenset({"in"})}, {"x": frozenset({"listed"})}, {"latin": "x"}, {"x": "latin"}))
+
+    _, n, *_, separators, top, repeated, _, hits, _, varied, _ = features("A b c a b c a b. D a b c d, in listed; In steel in, steel in copper.")
+    words = "a b c a b c a b d a b c d in listed in steel in steel in copper".split()
+    triples = Counter(zip(words, words[1:], words[2:]))
+    assert (n, separators, top) == (len(words), 3, 4 / len(words))
+    assert repeated == sum(c for c in triples.values() if c > 1) / sum(triples.values())
+    assert (hits, varied) == (2, 2)  # before a listed word or a comma one says nothing
+    assert features("One two")[9] == features("")[9] == 0.0
+
+
+def test_words_in_sentences_are_counted_with_what_follows():
+    texts = ["Один два три четыре. Один пять два три! один шесть | Семь один два три.", None, "Один 7 семь x1 два.", "𝒜𝒷 один."]
+    codes = ["ru", "ru", "en", None]
+    read = [(c, t) for c, t in zip(codes, texts) if t is not None]
+    batch = pa.RecordBatch.from_arrays([pa.array([c for c, _ in read]), pa.array([t for _, t in read])], ["code", "text"])
+    inside, every, then = Counter(), Counter(), defaultdict(set)
+    for code, text in read:
+        pieces = [*PLAIN_UNITS.split(text), ""]
+        for unit, mark in zip(pieces[::2], pieces[1::2]):
+            words = PLAIN_WORD.findall(unit.lower())
+            every.update((code, w) for w in words)
+            if spam._formed(unit, len(words), mark):
+                inside.update((code, w) for w in words)
+                for w, after in zip(words, words[1:]):
+                    then[code, w].add(crc32(after.encode()) & 63)
+    found = {(r["code"], r["word"]): (r["inside"], r["n"], r["contexts"] & (2**64 - 1)) for b in spam._count_words(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()}
+    assert found == {k: (inside[k], n, sum(1 << place for place in then[k])) for k, n in every.items() if k[1].isalpha()}
+
+
+def test_cost_by_that_of_finding_words():
+    """CPU time of both passes, by that of a plain search for the same words."""
+
+    def seconds(f):
+        def once():
+            begun = process_time()
+            f()
+            return process_time() - begun
+
+        return min(once() for _ in range(7))
+
+    def words(pages):
+        return seconds(lambda: [PLAIN_WORD.findall(t.lower()) for t in pages])
+
+    lists = ["\n".join(f"{i}) труба 5{i}х{i},5х5300 — остаток — 8 9{i}, 1 9{i}2" for i in range(40))] * 50
+    assert seconds(lambda: [page_features(t, "ru", NONE) for t in lists]) < 14 * words(lists)  # 21 by a search for amounts from every sign
+    pages = [t for t, _ in BACKGROUND] * 10
+    batch = pa.RecordBatch.from_arrays([pa.array(["ru"] * len(pages)), pa.array(pages)], ["code", "text"])
+    assert seconds(lambda: list(spam._count_words(iter([batch])))) < 3.3 * words(pages)  # 4 with pairs of words in sets
